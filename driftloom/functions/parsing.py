@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from driftloom.functions.let import let
+
 # Fixed vocabulary of boolean readings.
 TRUE_WORDS = ("true", "yes", "1", "in stock")
 FALSE_WORDS = ("false", "no", "0", "out of stock")
@@ -42,20 +44,20 @@ def parse_bool(s: Column) -> Column:
 def parse_date(s: Column) -> Column:
     """ISO-8601 dates and moments, ``Z`` accepted; a moment without offset is read as UTC."""
     text = F.replace(s, F.lit("Z"), F.lit("+00:00"))
+    groups = F.array(*[F.nullif(F.regexp_extract(text, ISO_MOMENT, i), F.lit("")) for i in range(14)])
+    return F.when(text.rlike(ISO_MOMENT), let(groups, _moment))
 
-    def part(i: int) -> Column:
-        return F.nullif(F.regexp_extract(text, ISO_MOMENT, i), F.lit(""))
 
-    def num(i: int, alternative: int | None = None) -> Column:
-        found = part(i) if alternative is None else F.coalesce(part(i), part(alternative))
-        return F.coalesce(found.cast("int"), F.lit(0))
+def _moment(g: Column) -> Column:
+    def num(*alternatives: int) -> Column:
+        return F.coalesce(*[g[i].cast("int") for i in alternatives], F.lit(0))
 
-    fraction = F.concat(F.lit("0."), F.substring(F.coalesce(part(9), F.lit("0")), 1, 6))
+    fraction = F.concat(F.lit("0."), F.substring(F.coalesce(g[9], F.lit("0")), 1, 6))
     second = num(8) + fraction.cast("decimal(8,6)")
     moment = F.try_make_timestamp(num(1), num(2, 4), num(3, 5), num(6), num(7), second)
-    offset = (num(11) * 3600 + num(12) * 60 + num(13)) * F.when(part(10) == "-", -1).otherwise(1)
-    readable = text.rlike(ISO_MOMENT) & (num(6) < 24) & (num(8) < 60)
-    return F.when(readable, F.timestamp_micros(F.unix_micros(moment) - offset.cast("bigint") * 1_000_000))
+    offset = (num(11) * 3600 + num(12) * 60 + num(13)) * F.when(g[10] == "-", -1).otherwise(1)
+    in_range = (num(6) < 24) & (num(8) < 60)
+    return F.when(in_range, F.timestamp_micros(F.unix_micros(moment) - offset.cast("bigint") * 1_000_000))
 
 
 def is_http_url(s: Column) -> Column:

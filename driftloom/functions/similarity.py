@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftloom.functions.let import let
+
 # Fixed weights and scores.
 W_STRUCTURE, W_TEXT, W_ROLE, W_FORMAT = 0.30, 0.30, 0.25, 0.15
 NO_BASELINE_FACTOR = 0.85
@@ -17,22 +19,27 @@ def words(s: Column) -> Column:
     return F.regexp_extract_all(F.lower(s), F.lit(WORD), F.lit(0))
 
 
+def _letters(s: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(s), F.lit("[a-z]+"), F.lit(0)))
+
+
+def _empty_cases(p: Column, score: Column) -> Column:
+    no_left, no_right = F.size(p["l"]) == 0, F.size(p["r"]) == 0
+    return F.when(no_left & no_right, F.lit(1.0)).when(no_left | no_right, F.lit(0.5)).otherwise(score)
+
+
 def structure_similarity(a: Column, b: Column) -> Column:
     """Jaccard of the letter-run sets; both empty 1.0, one empty 0.5."""
-    left = F.array_distinct(F.regexp_extract_all(F.lower(a), F.lit("[a-z]+"), F.lit(0)))
-    right = F.array_distinct(F.regexp_extract_all(F.lower(b), F.lit("[a-z]+"), F.lit(0)))
-    return (
-        F.when((F.size(left) == 0) & (F.size(right) == 0), F.lit(1.0))
-        .when((F.size(left) == 0) | (F.size(right) == 0), F.lit(0.5))
-        .otherwise(
-            F.size(F.array_intersect(left, right)) / F.size(F.array_union(left, right)).cast("double")
-        )
-    )
+
+    def jaccard(p: Column) -> Column:
+        shared = F.size(F.array_intersect(p["l"], p["r"]))
+        return _empty_cases(p, shared / (F.size(p["l"]) + F.size(p["r"]) - shared).cast("double"))
+
+    return let(F.struct(_letters(a).alias("l"), _letters(b).alias("r")), jaccard)
 
 
 def text_similarity(a: Column, b: Column) -> Column:
     """Cosine of word counts, for field-sized texts; see ``cosine_pairs`` for whole documents."""
-    left, right = words(a), words(b)
 
     def count(bag: Column, term: Column) -> Column:
         return F.size(F.filter(bag, lambda w: w == term)).cast("double")
@@ -42,14 +49,15 @@ def text_similarity(a: Column, b: Column) -> Column:
             F.aggregate(F.array_distinct(bag), F.lit(0.0), lambda acc, t: acc + F.pow(count(bag, t), F.lit(2.0)))
         )
 
-    dot = F.aggregate(
-        F.array_intersect(left, right), F.lit(0.0), lambda acc, t: acc + count(left, t) * count(right, t)
-    )
-    return (
-        F.when((F.size(left) == 0) & (F.size(right) == 0), F.lit(1.0))
-        .when((F.size(left) == 0) | (F.size(right) == 0), F.lit(0.5))
-        .otherwise(dot / (norm(left) * norm(right)))
-    )
+    def cosine(p: Column) -> Column:
+        dot = F.aggregate(
+            F.array_intersect(p["l"], p["r"]),
+            F.lit(0.0),
+            lambda acc, t: acc + count(p["l"], t) * count(p["r"], t),
+        )
+        return _empty_cases(p, dot / (norm(p["l"]) * norm(p["r"])))
+
+    return let(F.struct(words(a).alias("l"), words(b).alias("r")), cosine)
 
 
 def cosine_pairs(pairs: DataFrame, keys: list[str], left: str, right: str) -> DataFrame:
@@ -104,7 +112,7 @@ def format_class(s: Column) -> Column:
     """Any digit makes a value ``currency_or_number``, so a numeric date is never ``date``."""
     t = F.trim(s)
     return (
-        F.when(t.rlike("[0-9]"), F.lit("currency_or_number"))
+        F.when(t.rlike(r"\p{Nd}"), F.lit("currency_or_number"))
         .when(F.contains(t, F.lit("@")) & F.contains(t, F.lit(".")), F.lit("email"))
         .otherwise(F.lit("string"))
     )

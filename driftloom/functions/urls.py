@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from driftloom.functions.let import let
+
 _SPLIT = r"^(?:([a-zA-Z][a-zA-Z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(\?[^#]*)?(#.*)?$"
 
 
@@ -87,33 +89,34 @@ def ipv4_number(ip: Column) -> Column:
 
 def ipv6_hex(ip: Column) -> Column:
     """IPv6 text as 32 hex digits; null when it is not one."""
-    dotted = F.regexp_extract(ip, r":([0-9.]+)$", 1)
-    tail = ipv4_number(dotted)
-    as_hex = F.lower(F.lpad(F.hex(tail), 8, "0"))
-    ip = F.when(
-        tail.isNotNull(),
-        F.concat(
-            F.regexp_replace(ip, r"[0-9.]+$", ""),
-            F.substring(as_hex, 1, 4), F.lit(":"), F.substring(as_hex, 5, 4),
-        ),
-    ).otherwise(ip)
-    halves = F.split(F.lower(ip), "::", -1)
-
-    def groups(i: int) -> Column:
+
+    def undotted(ip: Column) -> Column:
+        tail = ipv4_number(F.regexp_extract(ip, r":([0-9.]+)$", 1))
+        as_hex = F.lower(F.lpad(F.hex(tail), 8, "0"))
+        head = F.regexp_replace(ip, r"[0-9.]+$", "")
+        joined = F.concat(head, F.substring(as_hex, 1, 4), F.lit(":"), F.substring(as_hex, 5, 4))
+        return F.lower(F.coalesce(joined, ip))
+
+    def groups(halves: Column, i: int) -> Column:
         half = F.coalesce(F.get(halves, F.lit(i)), F.lit(""))
         return F.when(half == "", F.array().cast("array<string>")).otherwise(F.split(half, ":", -1))
 
-    head, rest = groups(0), groups(1)
-    missing = 8 - F.size(head) - F.size(rest)
-    full = F.concat(head, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), rest)
-    shortened = F.size(halves) == 2
-    valid = (
-        ip.rlike("^[0-9a-fA-F:]+$")
-        & (F.size(halves) <= 2)
-        & F.when(shortened, missing >= 1).otherwise(missing == 0)
-        & F.forall(full, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+    def filled(h: Column) -> Column:
+        missing = 8 - F.size(h["head"]) - F.size(h["rest"])
+        valid = F.when(h["n"] == 2, missing >= 1).otherwise((h["n"] == 1) & (missing == 0))
+        zeros = F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0)))
+        return F.when(valid, F.concat(h["head"], zeros, h["rest"]))
+
+    def packed(full: Column) -> Column:
+        valid = F.forall(full, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+        return F.when(valid, F.array_join(F.transform(full, lambda g: F.lpad(g, 4, "0")), ""))
+
+    halves = let(undotted(ip), lambda t: F.split(t, "::", -1))
+    split = let(
+        halves,
+        lambda h: F.struct(F.size(h).alias("n"), groups(h, 0).alias("head"), groups(h, 1).alias("rest")),
     )
-    return F.when(valid, F.array_join(F.transform(full, lambda g: F.lpad(g, 4, "0")), ""))
+    return let(let(split, filled), packed)
 
 
 def cidr_bounds(cidr: str) -> tuple[int, int]:
@@ -136,61 +139,66 @@ def is_private_ip(ip: Column) -> Column:
     def v4_blocked(number: Column) -> Column:
         return _any_range(number, IPV4_BLOCKED, F.lit) & ~_any_range(number, IPV4_OPEN, F.lit)
 
-    v6 = ipv6_hex(ip)
-    mapped = F.conv(F.substring(v6, 25, 8), 16, 10).cast("bigint")
 
     def as_hex(n: int) -> Column:
         return F.lit(f"{n:032x}")
 
-    v6_blocked = _any_range(v6, IPV6_BLOCKED, as_hex) & ~_any_range(v6, IPV6_OPEN, as_hex)
-    verdict = (
-        F.when(~F.contains(ip, F.lit(":")), v4_blocked(ipv4_number(ip)))
-        .when(F.startswith(v6, F.lit("0" * 20 + "ffff")), v4_blocked(mapped))
-        .otherwise(v6_blocked)
-    )
+    def v6_verdict(v6: Column) -> Column:
+        mapped = F.conv(F.substring(v6, 25, 8), 16, 10).cast("bigint")
+        blocked = _any_range(v6, IPV6_BLOCKED, as_hex) & ~_any_range(v6, IPV6_OPEN, as_hex)
+        return F.when(F.startswith(v6, F.lit("0" * 20 + "ffff")), let(mapped, v4_blocked)).otherwise(blocked)
+
+    v4_verdict = let(ipv4_number(ip), v4_blocked)
+    verdict = F.when(F.contains(ip, F.lit(":")), let(ipv6_hex(ip), v6_verdict)).otherwise(v4_verdict)
     return F.coalesce(verdict, F.lit(False))
 
 
 def resolve_url(base: Column, href: Column) -> Column:
     """Absolute form of ``href`` seen on ``base``, with ``.`` and ``..`` segments folded."""
-    scheme, netloc = _piece(base, 1), _piece(base, 2)
-    base_path, base_query = _piece(base, 3), _piece(base, 4)
-    own_scheme, own_netloc = _piece(href, 1), _piece(href, 2)
-    path, query, fragment = _piece(href, 3), _piece(href, 4), _piece(href, 5)
-    has_netloc = F.startswith(href, F.lit("//"))
-    rooted = F.startswith(path, F.lit("/"))
-    folder = F.regexp_extract(base_path, "^(.*/)", 1)
-    joined = (
-        F.when(rooted | has_netloc, path)
-        .when(path == "", base_path)
-        .otherwise(F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), path))
-    )
-    # An absent own path keeps the base path as written; everything else is folded.
-    folded = F.when(path == "", joined).otherwise(fold_dots(joined))
-    query = F.when((path == "") & (query == "") & ~has_netloc, base_query).otherwise(query)
-    absolute = F.concat(
-        scheme, F.lit("://"), F.when(has_netloc, own_netloc).otherwise(netloc), folded, query, fragment
+    parts = F.struct(
+        base.alias("base"), href.alias("href"),
+        _piece(base, 1).alias("scheme"), _piece(base, 2).alias("netloc"),
+        _piece(base, 3).alias("base_path"), _piece(base, 4).alias("base_query"),
+        _piece(href, 1).alias("own_scheme"), _piece(href, 2).alias("own_netloc"),
+        _piece(href, 3).alias("path"), _piece(href, 4).alias("query"), _piece(href, 5).alias("fragment"),
+    )
+    return let(parts, _resolved)
+
+
+def _resolved(p: Column) -> Column:
+    has_netloc = F.startswith(p["href"], F.lit("//"))
+    folder = F.regexp_extract(p["base_path"], "^(.*/)", 1)
+    joined = F.when(F.startswith(p["path"], F.lit("/")) | has_netloc, p["path"]).otherwise(
+        F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), p["path"])
     )
-    return F.when(own_scheme != "", href).when(href == "", base).otherwise(absolute)
+    own_path = (p["path"] != "") | has_netloc
+    # Without a path of its own a reference keeps the base path as written.
+    path = F.when(own_path, fold_dots(joined)).otherwise(p["base_path"])
+    query = F.when(own_path | (p["query"] != ""), p["query"]).otherwise(p["base_query"])
+    netloc = F.when(has_netloc, p["own_netloc"]).otherwise(p["netloc"])
+    absolute = F.concat(p["scheme"], F.lit("://"), netloc, path, query, p["fragment"])
+    return F.when(p["own_scheme"] != "", p["href"]).when(p["href"] == "", p["base"]).otherwise(absolute)
 
 
 def fold_dots(path: Column) -> Column:
     """Remove dot segments: each ``..`` takes the segment before it, never the root."""
-    segments = F.split(path, "/", -1)
-    last = F.element_at(segments, -1)
     nothing = F.array().cast("array<string>")
 
     def step(kept: Column, segment: Column) -> Column:
-        popped = F.when(F.size(kept) > 1, F.slice(kept, F.lit(1), F.size(kept) - 1)).otherwise(kept)
+        popped = F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(1)))
         return (
             F.when(segment == "..", popped)
             .when(segment == ".", kept)
             .otherwise(F.concat(kept, F.array(segment)))
         )
 
-    def close(kept: Column) -> Column:
-        trailing = F.when(last.isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
-        return F.array_join(trailing, "/")
+    def folded(p: Column) -> Column:
+        kept = F.array_join(F.aggregate(F.split(p, "/", -1), nothing, step), "/")
+        ends_in_dots = p.rlike(r"(^|/)\.{1,2}$")
+        return (
+            F.when(ends_in_dots, F.concat(kept, F.lit("/")))
+            .when(p.rlike(r"(^|/)\.{1,2}/"), kept)
+            .otherwise(p)
+        )
 
-    needs = path.rlike(r"(^|/)\.{1,2}(/|$)")
-    return F.when(needs, F.aggregate(segments, nothing, step, close)).otherwise(path)
+    return let(path, folded)
