@@ -23,10 +23,7 @@ def _check(kind: str, passed: Column, reason: Column) -> Column:
 
 def business_checks(rule_list: Column, value: Column, context: Column) -> Column:
     """Verdict array of the applicable rules; no applicable rule gives an empty array."""
-    applicable = F.filter(
-        F.coalesce(rule_list, F.array().cast("array<int>")) if rule_list is None else rule_list,
-        lambda r: rules.context_matches(r["context"], context),
-    )
+    applicable = F.filter(rule_list, lambda r: rules.context_matches(r["context"], context))
 
     def judged(r: Column) -> Column:
         ok = rules.rule_check(r["op"], value, r["value"], r["values"])
