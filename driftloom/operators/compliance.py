@@ -86,8 +86,8 @@ def robots_hosts(rules: DataFrame, agent: str = "*") -> DataFrame:
     )
     return groups.select(
         "host",
-        F.when("_named", F.col("_mine")).otherwise(F.col("_any")).alias("rules"),
-        F.when("_named", F.col("_delay")).otherwise(F.col("_any_delay")).alias("crawl_delay"),
+        F.when(F.col("_named"), F.col("_mine")).otherwise(F.col("_any")).alias("rules"),
+        F.when(F.col("_named"), F.col("_delay")).otherwise(F.col("_any_delay")).alias("crawl_delay"),
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftloom.operators.chunks import CHUNK_SECONDS, running
 
@@ -71,7 +72,7 @@ def admit(
         rows = rows.where(~expired).drop("expires_at")
     periods = busy_periods(rows, ts, [ts, row_id], chunk_seconds)
     ordered = periods.repartition("domain", "_period").sortWithinPartitions("domain", "_period", ts, row_id)
-    schema = requests.schema
+    schema = T.StructType(list(requests.schema))
     for name, kind in (("allowed", "boolean"), ("tokens_left", "double"), ("wait_seconds", "double")):
         schema = schema.add(name, kind)
     kept = requests.columns

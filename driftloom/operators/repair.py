@@ -122,7 +122,8 @@ def decide(
     defined = fields.select("domain", F.col("name").alias("field_name"))
     locked = locks.select(*FIELD_KEYS).distinct().withColumn("_locked", F.lit(True))
     rows = (
-        failed.join(defined, FIELD_KEYS, "left_semi")
+        failed.select("page_id", "page_url", *FIELD_KEYS, "selector_used")
+        .join(defined, FIELD_KEYS, "left_semi")
         .join(scored, ["page_id", *FIELD_KEYS], "left")
         .join(verdicts, SELECTOR_KEYS, "left")
         .join(locked, FIELD_KEYS, "left")

@@ -91,45 +91,62 @@ def gated_zscore(
     ts: str = "ts",
     row_id: str = "id",
     value: str = "value",
-    chunk_seconds: int = CHUNK_SECONDS,
+    rows_per_chunk: int = 1_000_000,
 ) -> DataFrame:
     """Like ``rolling_zscore``, but only values that passed enter the history.
 
-    Each verdict depends on the ones before it. Time chunks of a key are still judged in
-    parallel: start from the ungated totals, let every chunk report what it accepted, carry
-    those totals forward and repeat until nothing changes. A stable state is the sequential
-    answer, because the first chunk is right after one round and each round extends the right
-    prefix; in practice two or three rounds settle it. Only chunk totals are checkpointed.
+    Each verdict depends on the ones before it. A key of up to ``rows_per_chunk`` values is read
+    in order in one pass. A hotter key is cut into chunks of hours that are judged in parallel:
+    start from the ungated totals, let every chunk report what it accepted, carry those totals
+    forward and repeat until nothing changes. A stable state is the sequential answer: the first
+    chunk is right after one round, and each round extends the right prefix by at least one.
+    Only chunk totals are checkpointed between rounds.
     """
     x = F.col(value)
     rows = with_chunk(
-        values.where(x.isNotNull()).select(*keys, ts, row_id, value, sigma.cast("double").alias("_sigma")),
-        ts,
-        chunk_seconds,
-    )
-    sums = ["_n", "_s", "_ss"]
-    deltas = rows.groupBy(*keys, "_chunk").agg(
-        F.count(x).cast("double").alias("_n"), F.sum(x).cast("double").alias("_s"), F.sum(x * x).cast("double").alias("_ss")
+        values.where(x.isNotNull()).select(*keys, ts, row_id, value, sigma.cast("double").alias("_sigma")), ts
+    ).withColumnRenamed("_chunk", "_hour")
+    before = W.partitionBy(*keys).orderBy("_hour").rowsBetween(W.unboundedPreceding, -1)
+    hours = rows.groupBy(*keys, "_hour").agg(F.count(F.lit(1)).alias("_rows")).select(
+        *keys,
+        "_hour",
+        F.floor(F.coalesce(F.sum("_rows").over(before), F.lit(0)) / rows_per_chunk).alias("_chunk"),
+        F.sum("_rows").over(W.partitionBy(*keys)).alias("_all"),
     )
+    hot = reliable_checkpoint(hours.where(F.col("_all") > rows_per_chunk).drop("_all"))
+    zero = {"_in_n": F.lit(0.0), "_in_s": F.lit(0.0), "_in_ss": F.lit(0.0)}
+    if hot.isEmpty():
+        one = rows.drop("_hour").withColumns({"_chunk": F.lit(0).cast("bigint"), **zero})
+        return _chunk_verdicts(_in_order(one, keys, ts, row_id), keys, ts, row_id, value)
+    chunked = rows.join(hot, [*keys, "_hour"], "left").drop("_hour")
+    cold = chunked.where(F.col("_chunk").isNull()).withColumns({"_chunk": F.lit(0).cast("bigint"), **zero})
+    hot_rows = chunked.where(F.col("_chunk").isNotNull())
+    carry = _settled_carry(hot_rows, keys, ts, row_id, value)
+    both = hot_rows.join(carry, [*keys, "_chunk"]).unionByName(cold)
+    return _chunk_verdicts(_in_order(both, keys, ts, row_id), keys, ts, row_id, value)
 
-    before = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
 
-    def carried(d: DataFrame) -> DataFrame:
-        return d.select(
-            *keys, "_chunk", *[F.coalesce(F.sum(c).over(before), F.lit(0.0)).alias("_in" + c) for c in sums]
-        )
+def _in_order(rows: DataFrame, keys: list[str], ts: str, row_id: str) -> DataFrame:
+    return rows.repartition(*keys, "_chunk").sortWithinPartitions(*keys, "_chunk", ts, row_id)
+
 
-    def judged(carry: DataFrame) -> DataFrame:
-        return (
-            rows.join(carry, [*keys, "_chunk"])
-            .repartition(*keys, "_chunk")
-            .sortWithinPartitions(*keys, "_chunk", ts, row_id)
-        )
+def _settled_carry(rows: DataFrame, keys: list[str], ts: str, row_id: str, value: str) -> DataFrame:
+    """Totals accepted before each chunk, by rounds over the hot rows."""
+    sums = ["_n", "_s", "_ss"]
+    x = F.col(value)
+    before = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
 
-    carry = reliable_checkpoint(carried(deltas))
+    def carried(totals: DataFrame) -> DataFrame:
+        prior = [F.coalesce(F.sum(c).over(before), F.lit(0.0)).alias("_in" + c) for c in sums]
+        return reliable_checkpoint(totals.select(*keys, "_chunk", *prior))
+
+    ungated = rows.groupBy(*keys, "_chunk").agg(
+        F.count(x).cast("double").alias("_n"), F.sum(x).cast("double").alias("_s"), F.sum(x * x).cast("double").alias("_ss")
+    )
+    carry = carried(ungated)
     while True:
-        found = _chunk_totals(judged(carry), keys, value)
-        fresh = reliable_checkpoint(carried(found))
+        judged = _in_order(rows.join(carry, [*keys, "_chunk"]), keys, ts, row_id)
+        fresh = carried(_chunk_totals(judged, keys, value))
         old = carry.select(*keys, "_chunk", *[F.col("_in" + c).alias("_old" + c) for c in sums])
         moved = F.lit(False)
         for c in sums:
@@ -137,7 +154,7 @@ def gated_zscore(
         settled = fresh.join(old, [*keys, "_chunk"]).where(moved).isEmpty()
         carry = fresh
         if settled:
-            return _chunk_verdicts(judged(carry), keys, ts, row_id, value)
+            return carry
 
 
 def _chunk_totals(rows: DataFrame, keys: list[str], value: str) -> DataFrame:

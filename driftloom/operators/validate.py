@@ -14,7 +14,9 @@ CHECK = "struct<check_type:string,passed:boolean,failure_reason:string>"
 def rules_by_field(rule_table: DataFrame) -> DataFrame:
     """One row per field with its rules in order. A group is configuration, never data."""
     rule = F.struct("position", F.lower("op").alias("op"), "value", "values", "context", "description")
-    return rule_table.groupBy("field").agg(F.sort_array(F.collect_list(rule)).alias("_rules"))
+    return rule_table.groupBy("field").agg(
+        F.array_sort(F.collect_list(rule), lambda a, b: a["position"] - b["position"]).alias("_rules")
+    )
 
 
 def _check(kind: str, passed: Column, reason: Column) -> Column:
