@@ -44,19 +44,18 @@ def parse_bool(s: Column) -> Column:
 def parse_date(s: Column) -> Column:
     """ISO-8601 dates and moments, ``Z`` accepted; a moment without offset is read as UTC."""
     text = F.replace(s, F.lit("Z"), F.lit("+00:00"))
-    groups = F.array(*[F.nullif(F.regexp_extract(text, ISO_MOMENT, i), F.lit("")) for i in range(14)])
+    groups = F.split(F.regexp_replace(text, ISO_MOMENT, "$1|$2$4|$3$5|$6|$7|$8|$9|$10|$11|$12|$13"), r"\|", -1)
     return F.when(text.rlike(ISO_MOMENT), let(groups, _moment))
 
 
 def _moment(g: Column) -> Column:
-    def num(*alternatives: int) -> Column:
-        return F.coalesce(*[g[i].cast("int") for i in alternatives], F.lit(0))
-
-    fraction = F.concat(F.lit("0."), F.substring(F.coalesce(g[9], F.lit("0")), 1, 6))
-    second = num(8) + fraction.cast("decimal(8,6)")
-    moment = F.try_make_timestamp(num(1), num(2, 4), num(3, 5), num(6), num(7), second)
-    offset = (num(11) * 3600 + num(12) * 60 + num(13)) * F.when(g[10] == "-", -1).otherwise(1)
-    in_range = (num(6) < 24) & (num(8) < 60)
+    def num(i: int) -> Column:
+        return F.coalesce(F.nullif(g[i], F.lit("")).cast("int"), F.lit(0))
+
+    second = num(5) + F.concat(F.lit("0."), F.substring(g[6], 1, 6), F.lit("0")).cast("decimal(8,6)")
+    moment = F.try_make_timestamp(num(0), num(1), num(2), num(3), num(4), second)
+    offset = (num(8) * 3600 + num(9) * 60 + num(10)) * F.when(g[7] == "-", -1).otherwise(1)
+    in_range = (num(3) < 24) & (num(5) < 60)
     return F.when(in_range, F.timestamp_micros(F.unix_micros(moment) - offset.cast("bigint") * 1_000_000))
 
 
@@ -94,4 +93,4 @@ def type_failure(value: Column, field_type: Column, required: Column) -> Column:
 def type_check(value: Column, field_type: Column, required: Column) -> Column:
     """``struct(passed, reason)``."""
     reason = type_failure(value, field_type, required)
-    return F.struct(reason.isNull().alias("passed"), reason.alias("reason"))
+    return let(reason, lambda r: F.struct(r.isNull().alias("passed"), r.alias("reason")))

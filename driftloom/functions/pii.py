@@ -77,16 +77,13 @@ def spans(text: Column, kind: str) -> Column:
 
 def scan(text: Column) -> Column:
     """``array<struct<type,start,end,match>>`` over the unredacted text, all kinds."""
-    return F.flatten(
-        F.array(
-            *[
-                F.transform(
-                    spans(text, kind),
-                    lambda s, kind=kind: F.struct(
-                        F.lit(kind).alias("type"), s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("match")
-                    ),
-                )
-                for kind in PATTERNS
-            ]
-        )
+    return F.flatten(F.array(*[_typed_spans(text, kind) for kind in PATTERNS]))
+
+
+def _typed_spans(text: Column, kind: str) -> Column:
+    return F.transform(
+        spans(text, kind),
+        lambda s: F.struct(
+            F.lit(kind).alias("type"), s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("match")
+        ),
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftloom.functions import page, text
+from driftloom.operators.sized import join_small
 
 MAX_PAGE_BYTES = 50 * 1024 * 1024
 FIELD = ["name", "selector", "strategy", "field_type", "volatility", "required"]
@@ -56,11 +57,8 @@ def extract_fields(pages: DataFrame, fields: DataFrame, engine: str = "auto") ->
     if engine == "native":
         native = page.selector_pattern("selector", "strategy").isNotNull()
         fields = fields.where(native)
-    joined = (
-        pages.where(~oversize(F.octet_length("html")))
-        .select("page_id", "url", "domain", "html")
-        .join(bundle_fields(fields), "domain")
-    )
+    wide = pages.where(~oversize(F.octet_length("html"))).select("page_id", "url", "domain", "html")
+    joined = join_small(wide, bundle_fields(fields), ["domain"])
     if engine == "parser":
         nodes = hits(F.col("html"), F.col("wanted"))
     elif engine == "native":

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from driftloom.functions import items as I
 from driftloom.functions import page, urls
 from driftloom.operators.extract import FIELD, oversize
+from driftloom.operators.sized import join_small
 
 
 def extract_cards(pages: DataFrame, domains: DataFrame) -> DataFrame:
@@ -18,10 +19,9 @@ def extract_cards(pages: DataFrame, domains: DataFrame) -> DataFrame:
     """
     wanted = F.transform("fields", lambda f: F.struct(*[f[c].alias(c) for c in FIELD[:4]]))
     conf = domains.select("domain", "item_container", wanted.alias("wanted"))
+    wide = pages.where(~oversize(F.octet_length("html"))).select("page_id", "url", "domain", "html")
     found = (
-        pages.where(~oversize(F.octet_length("html")))
-        .select("page_id", "url", "domain", "html")
-        .join(conf, "domain")
+        join_small(wide, conf, ["domain"])
         .select("page_id", "url", "domain", "wanted", page.select_cards("html", "item_container", "wanted").alias("_f"))
     )
     cards = found.select(

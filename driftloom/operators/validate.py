@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from driftloom.functions import ids, parsing, rules
 from driftloom.operators import stats
+from driftloom.operators.sized import join_small
 
 CHECK = "struct<check_type:string,passed:boolean,failure_reason:string>"
 
@@ -14,7 +15,7 @@ CHECK = "struct<check_type:string,passed:boolean,failure_reason:string>"
 def rules_by_field(rule_table: DataFrame) -> DataFrame:
     """One row per field with its rules in order. A group is configuration, never data."""
     rule = F.struct("position", F.lower("op").alias("op"), "value", "values", "context", "description")
-    return rule_table.groupBy("field").agg(
+    return rule_table.groupBy(F.col("field").alias("field_name")).agg(
         F.array_sort(F.collect_list(rule), lambda a, b: a["position"] - b["position"]).alias("_rules")
     )
 
@@ -42,7 +43,7 @@ def check_values(extractions: DataFrame, rule_table: DataFrame, stored_stats: Da
     ``stored_stats`` also domain and item_key. Business rules run only on values of the right
     type, the statistical check only on numbers that passed every rule.
     """
-    rows = extractions.join(rules_by_field(rule_table), F.col("field_name") == F.col("field"), "left").drop("field")
+    rows = join_small(extractions, rules_by_field(rule_table), ["field_name"], "left")
     reason = parsing.type_failure(F.col("value"), F.col("field_type"), F.col("required"))
     rows = rows.withColumn("_type", _check("type", reason.isNull(), reason))
     nothing = F.array().cast(f"array<{CHECK}>")

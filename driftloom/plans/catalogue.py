@@ -391,7 +391,7 @@ def _rounded_stats(df):
     n, s, ss = (F.col(c) for c in ("value_count", "value_sum", "value_sum_sq"))
     return df.select(
         *stats.KEYS, "value_count", F.round("value_sum", 4).alias("value_sum"), F.round("value_sum_sq", 4).alias("value_sum_sq"),
-        "last_value", F.round(stats.mean(n, s), 4).alias("mean"), F.round(stats.stddev(n, s, ss), 4).alias("stddev"),
+        "last_value", F.round(stats.mean(n, s), 8).alias("mean"), F.round(stats.stddev(n, s, ss), 4).alias("stddev"),
     )
 
 
@@ -489,7 +489,9 @@ def lkg_rollback(spark, sf):
 
 @query
 def lkg_history(spark, sf):
-    return latest.lkg_history(inputs.snapshots(spark, sf), "tionble.example.org", "page_title", 3).select(SAMPLE)
+    rows = inputs.snapshots(spark, sf)
+    first_domain = rows.agg(F.min("domain")).first()[0]
+    return latest.lkg_history(rows, first_domain, "page_title", 3).select(SAMPLE)
 
 
 @query

@@ -18,9 +18,25 @@ RESPONSE = (
 )
 
 
+SMALL_BYTES_PER_CORE = 16 << 20
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Raw pages with their domain."""
-    return with_domain(spark.read.parquet(path))
+    """Raw pages with their domain.
+
+    A table too small to give every core a scan split is spread over the cores, since a page
+    costs far more to parse than to move. Larger tables keep their scan partitions.
+    """
+    pages = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    if _bytes(spark, path) < cores * SMALL_BYTES_PER_CORE:
+        pages = pages.repartition(cores)
+    return with_domain(pages)
+
+
+def _bytes(spark: SparkSession, path: str) -> int:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
 
 
 def with_domain(pages: DataFrame) -> DataFrame:
