@@ -12,6 +12,7 @@ from driftloom.operators import (
     compliance, drift, extract, items, latest, metrics, network, quarantine, ratelimit, repair, reports, stats, validate,
 )
 from driftloom.plans import inputs
+from driftloom.plans.run import run_site
 from driftloom.sources import config, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1130,3 +1131,32 @@ def provider_ingest(spark, sf):
     })
     checked = validate.check_values(typed, inputs.rules(spark))
     return checked.select("page_url", "domain", "field_name", "value", "success", "all_passed", F.size("checks").alias("n_checks"))
+
+
+@query
+def site_run(spark, sf):
+    """All gates, extraction, drift, repairs and quarantine over the page table."""
+    pages = inputs.pages(spark, sf).withColumn("requested_at", inputs.fetched_at(F.col("page_id")))
+    domains = inputs.pages(spark, sf).select("domain").distinct()
+    status = F.when(F.col("page_id") % 5 == 0, 403).otherwise(200)
+    out = run_site(
+        pages,
+        inputs.fields(spark, sf),
+        F.lit("2024-02-01").cast("timestamp"),
+        postures=_postures(spark, sf),
+        manifests=_manifests(spark, sf),
+        robots=compliance.robots_hosts(_robots(spark, sf)),
+        fetches=_fetches(spark, sf),
+        responses=pages.select("page_id", status.alias("status")),
+        rates=domains.select("domain", F.lit(2.0).alias("capacity"), F.lit(1 / 36000.0).alias("rate")),
+        open_breakers=domains.where(F.length("domain") == 20),
+        candidates=inputs.candidates(spark, sf),
+        holdouts=inputs.holdouts(spark, sf),
+        lkg=latest.lkg_latest(inputs.snapshots(spark, sf)).withColumn("field_name", F.lit("title")),
+        locks=inputs.fields(spark, sf).where("name = 'price' and domain like 'm.%'").select("domain", F.col("name").alias("field_name")),
+    )
+    m = F.col("fields")
+    return out["responses"].select(
+        "page_id", "domain", "success", "error", m["title"].alias("title"), m["first_link"].alias("first_link"),
+        F.array_join("quarantined_fields", ",").alias("quarantined_fields"),
+    )

@@ -649,3 +649,27 @@ t AS (SELECT page_url, 'title' AS field_name, title AS value, length(title) BETW
   UNION ALL SELECT page_url, 'size', CAST(p_size AS VARCHAR), p_size BETWEEN 0 AND 45, 2 FROM b)
 SELECT page_url, 'shop.example' AS domain, field_name, value, value IS NOT NULL AS success, coalesce(ok, false) AS all_passed,
   CAST(CASE WHEN value IS NULL THEN 1 ELSE 1 + rules END AS INTEGER) AS n_checks FROM t"""
+
+_SITE = f"""
+{DECIDED}, {POSTURE.split('AS domain FROM pages),', 1)[1]}, {_robots(False)},
+au AS (SELECT p.page_id, p.url, p.domain, CASE WHEN p.domain LIKE 'spam-farm%' THEN 'no_configuration' WHEN NOT robots_allowed THEN 'compliance:robots_disallow'
+    WHEN pe.posture = 'strict_compliance' AND p.page_id % 5 = 0 THEN 'compliance:response_blocked' END AS error
+  FROM p JOIN pe USING (domain) JOIN ra ON ra.page_id = p.page_id),
+o AS (SELECT page_id, domain, page_id * 60 AS sec, row_number() OVER (PARTITION BY domain ORDER BY page_id) AS rn FROM au WHERE error IS NULL),
+tb AS (SELECT page_id, domain, rn, sec, true AS allowed, CAST(1 AS DOUBLE) AS tokens FROM o WHERE rn = 1
+  UNION ALL SELECT page_id, domain, rn, sec, t >= 1, CASE WHEN t >= 1 THEN t - 1 ELSE t END
+  FROM (SELECT o.page_id, o.domain, o.rn, o.sec, least(2, tb.tokens + (o.sec - tb.sec) / 36000) AS t FROM tb JOIN o ON o.domain = tb.domain AND o.rn = tb.rn + 1)),
+en AS (SELECT au.page_id, au.domain, CASE WHEN au.error IS NOT NULL THEN au.error WHEN NOT tb.allowed THEN 'rate_limited'
+    WHEN length(au.domain) = 20 THEN 'breaker_open' END AS error FROM au LEFT JOIN tb ON tb.page_id = au.page_id),
+{CLASSIFIED},
+vv AS (SELECT x.page_id, x.field_name, coalesce(CASE WHEN dec.outcome = 'auto_approved' THEN dec.v END, x.value) AS value,
+    coalesce(dec.outcome <> 'auto_approved', false) AS held
+  FROM x JOIN kd ON kd.page_id = x.page_id LEFT JOIN dec ON dec.page_id = x.page_id AND dec.field_name = x.field_name AND kd.drift_type = 'local'),
+an AS (SELECT page_id, max(value) FILTER (field_name = 'title') AS title, max(value) FILTER (field_name = 'first_link') AS first_link,
+    coalesce(string_agg(field_name, ',' ORDER BY field_name) FILTER (held), '') AS quarantined_fields FROM vv GROUP BY page_id),
+fi AS (SELECT en.page_id, en.domain, en.error AS gate, coalesce(en.error, CASE WHEN kd.drift_type = 'global' THEN 'global_drift' END) AS error
+  FROM en LEFT JOIN kd ON kd.page_id = en.page_id)
+SELECT fi.page_id, fi.domain, fi.error IS NULL AS success, fi.error, CASE WHEN gate IS NULL THEN title END AS title,
+  CASE WHEN gate IS NULL THEN first_link END AS first_link, CASE WHEN gate IS NULL THEN quarantined_fields END AS quarantined_fields
+FROM fi LEFT JOIN an ON an.page_id = fi.page_id"""
+ORACLES["site_run"] = _SITE.replace("WITH p AS", "WITH RECURSIVE p AS", 1)
