@@ -76,7 +76,7 @@ def thrash_stream(
     window_hours: int = drift.THRASH_WINDOW_HOURS,
 ) -> DataFrame:
     """Sticky thrash lock per field; the state holds the repair times of one window and the lock."""
-    output = _schema(log, repairs="bigint", locked="boolean")
+    output = _schema(log, repairs="long", locked="boolean")
     window = window_hours * 3600.0
 
     def step(key, pdfs, state):
@@ -99,7 +99,7 @@ def thrash_stream(
 
 def anomaly_stream(values: DataFrame, keys: list[str], sigma: float, ts: str = "ts", row_id: str = "id", value: str = "value") -> DataFrame:
     """Gated anomaly verdicts: only passing values enter the running totals."""
-    output = _schema(values, prior_n="bigint", zscore="double", valid="boolean")
+    output = _schema(values, prior_n="long", zscore="double", valid="boolean")
 
     def step(key, pdfs, state):
         n, s, ss = state.get if state.exists else (0.0, 0.0, 0.0)
@@ -122,7 +122,7 @@ def anomaly_stream(values: DataFrame, keys: list[str], sigma: float, ts: str = "
 
 def debounce_stream(verdicts: DataFrame, ts: str = "ts", row_id: str = "id", retries: int = drift.DEBOUNCE_RETRIES) -> DataFrame:
     """Domain breaker: closed until ``retries`` global verdicts since the last reset, then open."""
-    output = _schema(verdicts, global_failures="bigint", state="string")
+    output = _schema(verdicts, global_failures="long", state="string")
 
     def step(key, pdfs, state):
         failures = state.get[0] if state.exists else 0
