@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
-from html.parser import HTMLParser
+from html import unescape
 
 # Fixed lists from the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -32,12 +32,23 @@ ROLES = {
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "children", "start", "end")
+    __slots__ = ("tag", "raw", "parent", "children", "start", "end", "_attrs")
 
-    def __init__(self, tag, attrs, parent, start):
-        self.tag, self.attrs, self.parent, self.start = tag, attrs, parent, start
+    def __init__(self, tag, raw, parent, start):
+        self.tag, self.raw, self.parent, self.start = tag, raw, parent, start
         self.children: list = []
-        self.end = None
+        self.end = self._attrs = None
+
+    @property
+    def attrs(self) -> dict[str, str]:
+        """Parsed on first use: most nodes are never asked."""
+        if self._attrs is None:
+            found: dict[str, str] = {}
+            for m in _ATTRIBUTE.finditer(self.raw):
+                value = m[2] or m[3] or m[4] or ""
+                found.setdefault(m[1].lower(), unescape(value) if "&" in value else value)
+            self._attrs = found
+        return self._attrs
 
     def text(self) -> str:
         out, stack = [], [self]
@@ -53,57 +64,84 @@ class Node:
         return [c for c in self.children if not isinstance(c, str)]
 
 
-class _Builder(HTMLParser):
-    """Tree of one page; ``nodes`` is in document order. Offsets are filled when asked for."""
+# Quotes only open a value after an equals sign; nothing here backtracks.
+_TOKEN = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:=\s*+(?:"[^"]*+"|'[^']*+')|[^>=]++|=)*+)>|<[!?][^>]*+>""", re.S
+)
+_ATTRIBUTE = re.compile(r"""([^\s=/>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in ("script", "style", "iframe", "title", "textarea")}
+_DECODED = ("title", "textarea")
+
+
+class Page:
+    """Tree of one page; ``nodes`` is in document order and carries source offsets."""
+
+    __slots__ = ("root", "nodes")
 
-    def __init__(self, html: str, offsets: bool = False):
-        super().__init__(convert_charrefs=True)
-        self.root = Node("", {}, None, 0)
+    def __init__(self, html: str):
+        self.root = Node("", "", None, 0)
         self.nodes: list[Node] = []
-        self._stack = [self.root]
-        self._lines = None
-        if offsets:
-            self._lines = [0] + [m.end() for m in re.finditer("\n", html)]
-        self.feed(html)
-        self.close()
-
-    def _at(self) -> int:
-        if self._lines is None:
-            return 0
-        line, column = self.getpos()
-        return self._lines[line - 1] + column
-
-    def handle_starttag(self, tag, attrs):
-        at = self._at()
-        closed = CLOSES.get(tag)
-        if closed or tag in CLOSES_P:
-            for i in range(len(self._stack) - 1, 0, -1):
-                open_tag = self._stack[i].tag
-                if (closed and open_tag in closed) or (tag in CLOSES_P and open_tag == "p"):
-                    self._close_from(i, at)
-                elif open_tag in BARRIER:
-                    break
-        node = Node(tag, {k: v if v is not None else "" for k, v in reversed(attrs)}, self._stack[-1], at)
-        self._stack[-1].children.append(node)
-        self.nodes.append(node)
-        if tag in VOID:
-            node.end = at + len(self.get_starttag_text() or "")
-        else:
-            self._stack.append(node)
-
-    def handle_endtag(self, tag):
-        for i in range(len(self._stack) - 1, 0, -1):
-            if self._stack[i].tag == tag:
-                self._close_from(i + 1, self._at())
-                self._stack.pop().end = -1 - self._at()
-                return
-
-    def _close_from(self, i, at):
-        while len(self._stack) > i:
-            self._stack.pop().end = at
-
-    def handle_data(self, data):
-        self._stack[-1].children.append(data)
+        stack, at, search, size = [self.root], 0, _TOKEN.search, len(html)
+        while at < size:
+            m = search(html, at)
+            data = html[at : m.start() if m else size]
+            if data:
+                stack[-1].children.append(unescape(data) if "&" in data else data)
+            if not m:
+                break
+            at = m.end()
+            if m[2] is None:
+                continue
+            tag = m[2].lower()
+            if m[1]:
+                _close(stack, tag, m.start(), at)
+                continue
+            _close_implied(stack, tag, m.start())
+            node = Node(tag, m[3], stack[-1], m.start())
+            stack[-1].children.append(node)
+            self.nodes.append(node)
+            if tag in VOID:
+                node.end = at
+            elif tag in _RAW_END:
+                at = _raw_text(node, html, at)
+            else:
+                stack.append(node)
+        for node in stack:
+            node.end = size
+
+
+def _close(stack: list[Node], tag: str, start: int, end: int) -> None:
+    for i in range(len(stack) - 1, 0, -1):
+        if stack[i].tag == tag:
+            for inner in stack[i + 1 :]:
+                inner.end = start
+            stack[i].end = end
+            del stack[i:]
+            return
+
+
+def _close_implied(stack: list[Node], tag: str, start: int) -> None:
+    closed, closes_p = CLOSES.get(tag, ()), tag in CLOSES_P
+    if not closed and not closes_p:
+        return
+    for i in range(len(stack) - 1, 0, -1):
+        open_tag = stack[i].tag
+        if open_tag in closed or (closes_p and open_tag == "p"):
+            for inner in stack[i:]:
+                inner.end = start
+            del stack[i:]
+        elif open_tag in BARRIER:
+            return
+
+
+def _raw_text(node: Node, html: str, at: int) -> int:
+    """Content without markup, up to the element's end tag or the end of the page."""
+    stop = _RAW_END[node.tag].search(html, at)
+    data = html[at : stop.start() if stop else len(html)]
+    if data:
+        node.children.append(unescape(data) if node.tag in _DECODED else data)
+    node.end = stop.end() if stop else len(html)
+    return node.end
 
 
 _PART = re.compile(
@@ -281,30 +319,21 @@ def _text_test(wanted: str):
     return lambda n: n.tag not in skip and holds(n) and not any(holds(c) for c in n.elements())
 
 
-def parse(html: str) -> _Builder:
-    return _Builder(html)
+def parse(html: str) -> Page:
+    return Page(html)
 
 
-def first(page: _Builder, selector: str, strategy: str):
+def first(page: Page, selector: str, strategy: str):
     test = compile_selector(selector, strategy)
     return next((n for n in page.nodes if test(n)), None)
 
 
 def drop_hidden(html: str) -> str:
     """Cut out of the source every subtree that is hidden by attribute or inline style."""
-    page = _Builder(html, offsets=True)
     cuts: list[tuple[int, int]] = []
-    for n in page.nodes:
-        if not _hidden(n):
-            continue
-        end = n.end
-        if end is None:
-            end = len(html)
-        elif end < 0:  # closed by its own end tag, which starts at -1 - end
-            stop = html.find(">", -1 - end)
-            end = len(html) if stop < 0 else stop + 1
-        if not cuts or n.start >= cuts[-1][1]:
-            cuts.append((n.start, end))
+    for n in parse(html).nodes:
+        if _hidden(n) and (not cuts or n.start >= cuts[-1][1]):
+            cuts.append((n.start, n.end))
     out, at = [], 0
     for lo, hi in cuts:
         out.append(html[at:lo])

@@ -121,20 +121,11 @@ def _drop_hidden(html: pd.Series) -> pd.Series:
     return html.map(lambda h: None if h is None else dom.drop_hidden(h))
 
 
-@F.pandas_udf(_S)
-def selector_pattern(selector: pd.Series, strategy: pd.Series) -> pd.Series:
+def selector_pattern(selector: Column, strategy: Column) -> Column:
     """Regex that finds the selector's element exactly, or null when a parse is needed."""
-    import re
-
-    def one(sel, strat):
-        if strat != "css":
-            return None
-        m = re.match(r"^([a-z][a-z0-9]*)$", (sel or "").strip().lower())
-        if not m or m[1] not in FLAT_TAGS:
-            return None
-        return rf"(?is)<{m[1]}(?:\s[^>]*)?>.*?</{m[1]}\s*>"
-
-    return pd.Series([one(s, t) for s, t in zip(selector, strategy)], dtype=object)
+    tag = F.lower(F.trim(selector))
+    pattern = F.concat(F.lit("(?is)<"), tag, F.lit(r"(?:\s[^>]*)?>.*?</"), tag, F.lit(r"\s*>"))
+    return F.when((strategy == "css") & tag.isin(*FLAT_TAGS), pattern)
 
 
 def without_code(html: Column) -> Column:

@@ -38,7 +38,7 @@ def valid_manifest_domains(domains: DataFrame, manifests: DataFrame, now: Column
     return (
         domains.select("domain")
         .distinct()
-        .withColumn("_suffix", F.explode(domain_suffixes(F.col("domain"))))
+        .withColumn("_suffix", F.explode_outer(domain_suffixes(F.col("domain"))))
         .join(names, "_suffix", "left_semi")
         .select("domain")
         .distinct()

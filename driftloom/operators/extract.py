@@ -23,7 +23,7 @@ def bundle_fields(fields: DataFrame) -> DataFrame:
     ``parse`` tells whether any selector of the domain needs a parsed page. A group is one
     domain's configuration, never its data.
     """
-    defs = fields.withColumn("pattern", page.selector_pattern("selector", "strategy"))
+    defs = fields.withColumn("pattern", page.selector_pattern(F.col("selector"), F.col("strategy")))
     member = F.struct("position", *FIELD, "pattern")
     return (
         defs.groupBy("domain")
@@ -55,7 +55,7 @@ def extract_fields(pages: DataFrame, fields: DataFrame, engine: str = "auto") ->
     that no exact pattern covers, ``native`` leaves such selectors out.
     """
     if engine == "native":
-        native = page.selector_pattern("selector", "strategy").isNotNull()
+        native = page.selector_pattern(F.col("selector"), F.col("strategy")).isNotNull()
         fields = fields.where(native)
     wide = pages.where(~oversize(F.octet_length("html"))).select("page_id", "url", "domain", "html")
     joined = join_small(wide, bundle_fields(fields), ["domain"])
@@ -68,7 +68,8 @@ def extract_fields(pages: DataFrame, fields: DataFrame, engine: str = "auto") ->
     pairs = joined.select(
         "page_id", F.col("url").alias("page_url"), "domain", F.arrays_zip("wanted", nodes.alias("node")).alias("_pairs")
     )
-    return pairs.select("page_id", "page_url", "domain", F.explode("_pairs").alias("_p")).select(
+    # The outer form: for the plain one a filter would be inferred that parses the page again.
+    return pairs.select("page_id", "page_url", "domain", F.explode_outer("_pairs").alias("_p")).select(
         "page_id",
         "page_url",
         "domain",

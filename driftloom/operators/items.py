@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from driftloom.functions import items as I
 from driftloom.functions import page, urls
 from driftloom.operators.extract import FIELD, oversize
+from driftloom.operators.once import with_once
 from driftloom.operators.sized import join_small
 
 
@@ -40,7 +41,9 @@ def extract_cards(pages: DataFrame, domains: DataFrame) -> DataFrame:
         guess = I.heuristic_value(name, kind, F.col("_card.text"), F.col("_card.label"))
         return F.struct(name.alias("name"), kind.alias("field_type"), F.coalesce(found, guess).alias("value"))
 
-    return cards.select("page_id", "url", "domain", "container", "pos", F.transform(zipped, filled).alias("values"))
+    return with_once(cards, "values", F.transform(zipped, filled)).select(
+        "page_id", "url", "domain", "container", "pos", "values"
+    )
 
 
 def extract_items(pages: DataFrame, domains: DataFrame) -> DataFrame:
@@ -48,7 +51,7 @@ def extract_items(pages: DataFrame, domains: DataFrame) -> DataFrame:
 
     The first-of-key step is an aggregate whose map side already sees a whole page.
     """
-    keyed = extract_cards(pages, domains).withColumn("dedup_key", I.dedup_key(F.col("values")))
+    keyed = with_once(extract_cards(pages, domains), "dedup_key", I.dedup_key(F.col("values")))
     first = F.min_by(F.struct("url", "domain", "container", "values"), "pos").alias("_first")
     return (
         keyed.where(F.col("dedup_key").isNotNull())

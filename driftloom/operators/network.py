@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from driftloom.functions import urls
+from driftloom.operators.once import with_once
+from driftloom.operators.sized import join_small
 
 MAX_HOPS = 5
 
@@ -22,11 +24,11 @@ def cidr_join(hosts: DataFrame, ranges: DataFrame, ip: str = "ip") -> DataFrame:
         "_block",
         F.explode(F.sequence(F.floor(F.col("lo") / block), F.floor(F.col("hi") / block))),
     )
-    numbered = hosts.withColumn("ip_number", urls.ipv4_number(F.col(ip))).withColumn(
+    numbered = with_once(hosts, "ip_number", urls.ipv4_number(F.col(ip))).withColumn(
         "_block", F.floor(F.col("ip_number") / block)
     )
-    inside = F.col("ip_number").between(F.col("lo"), F.col("hi"))
-    return numbered.join(listed, (numbered["_block"] == listed["_block"]) & inside).drop("_block")
+    joined = join_small(numbered, listed, ["_block"])
+    return joined.where(F.col("ip_number").between(F.col("lo"), F.col("hi"))).drop("_block")
 
 
 def url_verdict(url: Column) -> Column:

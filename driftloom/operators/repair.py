@@ -23,7 +23,7 @@ def score_candidates(candidates: DataFrame, pages: DataFrame, lkg: DataFrame) ->
     nodes = (
         per_page.join(pages.select("page_id", "html"), "page_id")
         .select("page_id", "domain", "_c", page.select_nodes("html", "_c").alias("_n"), page.page_outline(F.col("html")).alias("_page"))
-        .select("page_id", "domain", "_page", F.explode(F.arrays_zip("_c", "_n")).alias("_z"))
+        .select("page_id", "domain", "_page", F.explode_outer(F.arrays_zip("_c", "_n")).alias("_z"))
         .select("page_id", "domain", "_page", "_z._c.*", "_z._n.tag", "_z._n.value")
     )
     known = lkg.select(

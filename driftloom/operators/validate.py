@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftloom.functions import ids, parsing, rules
+from driftloom.functions.let import let
 from driftloom.operators import stats
 from driftloom.operators.sized import join_small
 
@@ -29,9 +30,9 @@ def business_checks(rule_list: Column, value: Column, context: Column) -> Column
     applicable = F.filter(rule_list, lambda r: rules.context_matches(r["context"], context))
 
     def judged(r: Column) -> Column:
-        ok = rules.rule_check(r["op"], value, r["value"], r["values"])
         reason = F.concat_ws(" ", r["op"], F.coalesce(r["value"], F.array_join(r["values"], ",")))
-        return _check("business_rule", ok, F.when(~ok, reason))
+        ok = rules.rule_check(r["op"], value, r["value"], r["values"])
+        return let(ok, lambda passed: _check("business_rule", passed, F.when(~passed, reason)))
 
     return F.coalesce(F.transform(applicable, judged), F.array().cast(f"array<{CHECK}>"))
 
@@ -43,35 +44,48 @@ def check_values(extractions: DataFrame, rule_table: DataFrame, stored_stats: Da
     ``stored_stats`` also domain and item_key. Business rules run only on values of the right
     type, the statistical check only on numbers that passed every rule.
     """
-    rows = join_small(extractions, rules_by_field(rule_table), ["field_name"], "left")
-    reason = parsing.type_failure(F.col("value"), F.col("field_type"), F.col("required"))
-    rows = rows.withColumn("_type", _check("type", reason.isNull(), reason))
-    nothing = F.array().cast(f"array<{CHECK}>")
-    business = F.when(F.col("_type.passed"), business_checks(F.col("_rules"), F.col("value"), F.col("context")))
-    rows = rows.withColumn("_business", F.coalesce(business, nothing))
-    rows = rows.withColumn("_so_far", F.col("_type.passed") & F.forall("_business", lambda c: c["passed"]))
-    statistical = nothing
+    rows = extractions
     if stored_stats is not None:
+        # The one shuffle carries the values as they came, before rules and verdicts widen them.
         totals = stored_stats.select(
             *stats.KEYS, F.col("value_count").alias("_n"), F.col("value_sum").alias("_s"), F.col("value_sum_sq").alias("_ss")
         )
-        number = parsing.numeric_for_stats(F.col("value"))
-        rows = rows.join(totals, stats.KEYS, "left").withColumn("_x", number)
-        z = stats.zscore(F.col("_x"), F.coalesce("_n", F.lit(0)), F.col("_s"), F.col("_ss"))
-        limit = ids.sigma(F.col("volatility"))
-        ok = F.coalesce(z <= limit, F.lit(True))
-        tested = F.col("_so_far") & F.col("field_type").isin("float", "int") & F.col("_x").isNotNull()
-        verdict = _check("statistical", ok, F.when(~ok, F.lit("beyond_sigma")))
-        statistical = F.when(tested, F.array(verdict)).otherwise(nothing)
-    rows = rows.withColumn("checks", F.concat(F.array("_type"), F.col("_business"), statistical))
-    return rows.withColumn("all_passed", F.forall("checks", lambda c: c["passed"])).drop(
-        "_type", "_business", "_so_far", "_rules", "_n", "_s", "_ss", "_x"
+        rows = rows.join(totals, stats.KEYS, "left")
+    rows = join_small(rows, rules_by_field(rule_table), ["field_name"], "left")
+    value, nothing = F.col("value"), F.array().cast(f"array<{CHECK}>")
+    reason = parsing.type_failure(value, F.col("field_type"), F.col("required"))
+    typed = rows.withColumn("_type", let(reason, lambda r: _check("type", r.isNull(), r)))
+    business = F.when(F.col("_type.passed"), business_checks(F.col("_rules"), value, F.col("context")))
+    judged = typed.withColumn("_business", F.coalesce(business, nothing))
+    so_far = F.col("_type.passed") & F.forall("_business", lambda c: c["passed"])
+    statistical = nothing
+    if stored_stats is not None:
+        statistical = F.when(so_far & F.col("field_type").isin("float", "int"), _statistical(value))
+    checks = F.concat(F.array("_type"), F.col("_business"), F.coalesce(statistical, nothing))
+    return (
+        judged.withColumn("checks", checks)
+        .withColumn("all_passed", F.forall("checks", lambda c: c["passed"]))
+        .drop("_type", "_business", "_rules", "_n", "_s", "_ss")
     )
 
 
+def _statistical(value: Column) -> Column:
+    """Verdict on a number; none when the value is not a plain number."""
+    limit = ids.sigma(F.col("volatility"))
+
+    def judged(x: Column) -> Column:
+        z = stats.zscore(x, F.coalesce("_n", F.lit(0)), F.col("_s"), F.col("_ss"))
+        verdict = let(
+            F.coalesce(z <= limit, F.lit(True)), lambda ok: _check("statistical", ok, F.when(~ok, F.lit("beyond_sigma")))
+        )
+        return F.when(x.isNotNull(), F.array(verdict))
+
+    return let(parsing.numeric_for_stats(value), judged)
+
+
 def explode_checks(checked: DataFrame, keys: list[str]) -> DataFrame:
     """Long validation table: keys and one row per verdict."""
-    return checked.select(*keys, F.inline("checks"))
+    return checked.select(*keys, F.inline_outer("checks"))
 
 
 def accepted_stats(checked: DataFrame) -> DataFrame:

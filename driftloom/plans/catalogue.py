@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,7 +48,8 @@ def resolve_links(spark, sf):
     )
     return (
         inputs.pages(spark, sf)
-        .select("page_id", "url", F.posexplode(turned).alias("pos", "href"))
+        .select("page_id", "url", F.posexplode_outer(turned).alias("pos", "href"))
+        .where("href is not null")
         .select("page_id", "pos", "href", urls.resolve_url(F.col("url"), F.col("href")).alias("resolved"))
     )
 
@@ -67,7 +69,8 @@ def screen_urls(spark, sf):
 @query
 def private_ip(spark, sf):
     found = F.regexp_extract_all("text", F.lit(r"\b(?:\d{1,3}\.){3}\d{1,3}\b"), F.lit(0))
-    rows = inputs.table(spark, sf, "documents").select("doc_id", F.posexplode(found).alias("pos", "ip"))
+    rows = inputs.table(spark, sf, "documents").select("doc_id", F.posexplode_outer(found).alias("pos", "ip"))
+    rows = rows.where("ip is not null")
     moved = F.when(F.col("doc_id") % 2 == 0, F.regexp_replace("ip", r"^\d+\.", "10.")).otherwise(F.col("ip"))
     return rows.select("doc_id", "pos", moved.alias("ip")).withColumn("is_private", urls.is_private_ip(F.col("ip")))
 
@@ -309,7 +312,7 @@ def _catalogue_values(spark, sf):
         F.create_map(F.lit("product_type"), kind).alias("context"),
         F.lit(True).alias("required"),
         F.lit("medium").alias("volatility"),
-        F.inline(cells),
+        F.inline_outer(cells),
     )
 
 
@@ -575,43 +578,48 @@ def role_and_format_scores(spark, sf):
     )
 
 
-def _scored(spark, sf):
+def _scored(spark, sf, found):
     lkg = latest.lkg_latest(inputs.snapshots(spark, sf)).withColumn("field_name", F.lit("title"))
-    return repair.score_candidates(inputs.candidates(spark, sf), inputs.pages(spark, sf), lkg)
+    return repair.score_candidates(inputs.candidates(found), inputs.pages(spark, sf), lkg)
 
 
-def _holdout_verdicts(spark, sf):
-    return repair.cross_validate(inputs.candidates(spark, sf), inputs.holdouts(spark, sf), inputs.fields(spark, sf))
+def _holdout_verdicts(spark, sf, found):
+    return repair.cross_validate(inputs.candidates(found), inputs.holdouts(spark, sf), inputs.fields(spark, sf))
 
 
 @query
 def score_candidates(spark, sf):
-    return _scored(spark, sf).select("page_id", "field_name", "selector", "candidate_value", r6("confidence").alias("confidence"))
+    found = inputs.extractions(spark, sf)
+    return _scored(spark, sf, found).select("page_id", "field_name", "selector", "candidate_value", r6("confidence").alias("confidence"))
 
 
 @query
 def cross_validate(spark, sf):
-    return _holdout_verdicts(spark, sf).drop("strategy")
+    return _holdout_verdicts(spark, sf, inputs.extractions(spark, sf)).drop("strategy")
 
 
 @query
 def uniform_failure(spark, sf):
-    return repair.uniform_failure(_holdout_verdicts(spark, sf)).select("domain", "field_name", "selector", "total")
+    verdicts = _holdout_verdicts(spark, sf, inputs.extractions(spark, sf))
+    return repair.uniform_failure(verdicts).select("domain", "field_name", "selector", "total")
 
 
 @query
 def confidence_gate(spark, sf):
-    approved, held = repair.confidence_split(_scored(spark, sf))
+    scored = _scored(spark, sf, inputs.extractions(spark, sf)).persist(StorageLevel.MEMORY_AND_DISK)
+    approved, held = repair.confidence_split(scored)
     both = approved.withColumn("gate", F.lit("approved")).unionByName(held.withColumn("gate", F.lit("quarantine")))
     return both.groupBy("domain", "field_name", "gate").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _decisions(spark, sf):
-    failed = inputs.extractions(spark, sf).where("not success")
+    found = inputs.kept_extractions(spark, sf)
     locks = inputs.fields(spark, sf).where("name = 'price' and domain like 'm.%'").select(
         "domain", F.col("name").alias("field_name")
     )
-    return repair.decide(failed, inputs.fields(spark, sf), _scored(spark, sf), _holdout_verdicts(spark, sf), locks)
+    return repair.decide(
+        found.where("not success"), inputs.fields(spark, sf), _scored(spark, sf, found), _holdout_verdicts(spark, sf, found), locks
+    )
 
 
 @query
@@ -624,7 +632,7 @@ def decide(spark, sf):
 @query
 def repair_log(spark, sf):
     now = F.lit("2024-02-01").cast("timestamp")
-    decisions = _decisions(spark, sf)
+    decisions = _decisions(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)
     log = repair.repair_log(decisions, now).groupBy("domain", "field_name", "new_selector").agg(F.count(F.lit(1)).alias("repairs"))
     reloads = repair.registry_updates(decisions, now)
     current = latest.latest(reloads, latest.LKG_KEYS, ["updated_at", "seq"]).select(
@@ -739,7 +747,11 @@ def null_quarantined(spark, sf):
 def quarantine_content(spark, sf):
     """Decisions to quarantine rows with cleaned, redacted page outlines."""
     now = F.lit("2024-02-01").cast("timestamp")
-    held = _decisions(spark, sf).withColumn("outcome", F.when(F.col("outcome") == "rejected_overfit", F.lit("quarantined")).otherwise(F.col("outcome")))
+    decisions = _decisions(spark, sf)
+    overfit = F.col("outcome") == "rejected_overfit"
+    held = decisions.withColumn("outcome", F.when(overfit, F.lit("quarantined")).otherwise(F.col("outcome"))).persist(
+        StorageLevel.MEMORY_AND_DISK
+    )
     out = quarantine.quarantine(held, inputs.pages(spark, sf), now)
     return out.select("snapshot_id", "domain", "field_name", "page_url", "content")
 
@@ -778,7 +790,8 @@ def pii_redact_field(spark, sf):
 
 
 def _pii_hits(spark, sf):
-    return inputs.table(spark, sf, "documents").select("doc_id", "source", F.inline(pii.scan(F.col("text"))))
+    hits = inputs.table(spark, sf, "documents").select("doc_id", "source", F.inline_outer(pii.scan(F.col("text"))))
+    return hits.where("type is not null")
 
 
 @query
@@ -1150,7 +1163,7 @@ def site_run(spark, sf):
         responses=pages.select("page_id", status.alias("status")),
         rates=domains.select("domain", F.lit(2.0).alias("capacity"), F.lit(1 / 36000.0).alias("rate")),
         open_breakers=domains.where(F.length("domain") == 20),
-        candidates=inputs.candidates(spark, sf),
+        candidates=inputs.candidates(inputs.kept_extractions(spark, sf)),
         holdouts=inputs.holdouts(spark, sf),
         lkg=latest.lkg_latest(inputs.snapshots(spark, sf)).withColumn("field_name", F.lit("title")),
         locks=inputs.fields(spark, sf).where("name = 'price' and domain like 'm.%'").select("domain", F.col("name").alias("field_name")),

@@ -1,7 +1,13 @@
-"""Tables the registered queries share, all derived by Spark from the given tables."""
+"""Tables the registered queries share, all derived by Spark from the given tables.
+
+Only plans are remembered between queries, never data.
+"""
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,14 +15,17 @@ from driftloom.operators import extract, latest
 from driftloom.sources import tables
 
 
+@lru_cache
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return tables.read_spread(spark, f"{sf}/{name}.parquet")
 
 
+@lru_cache
 def pages(spark: SparkSession, sf: str) -> DataFrame:
     return tables.read_pages(spark, f"{sf}/pages.parquet")
 
 
+@lru_cache
 def events(spark: SparkSession, sf: str) -> DataFrame:
     """id, ts as a timestamp, user_id, event_type, value."""
     return table(spark, sf, "events").select(
@@ -24,6 +33,7 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@lru_cache
 def domain_configs(spark: SparkSession, sf: str) -> DataFrame:
     """A configuration per crawled domain, except the spam farm, which has none.
 
@@ -67,16 +77,24 @@ def _field(name: str, selector: Column, strategy: str, kind: str, volatility: st
     )
 
 
+@lru_cache
 def fields(spark: SparkSession, sf: str) -> DataFrame:
     return domain_configs(spark, sf).select("domain", F.posexplode("fields").alias("position", "_f")).select(
         "domain", "position", "_f.*"
     )
 
 
+@lru_cache
 def extractions(spark: SparkSession, sf: str) -> DataFrame:
     return extract.extract_fields(pages(spark, sf), fields(spark, sf))
 
 
+def kept_extractions(spark: SparkSession, sf: str) -> DataFrame:
+    """For queries that read the extractions more than once: parsed once, spilled when large."""
+    return extractions(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+@lru_cache
 def listing_domains(spark: SparkSession, sf: str) -> DataFrame:
     """Every domain as a listing of its navigation entries."""
     cards = (
@@ -94,6 +112,7 @@ def fetched_at(page_id: Column) -> Column:
     return F.timestamp_seconds(F.lit(1704067200) + page_id * 60)
 
 
+@lru_cache
 def snapshots(spark: SparkSession, sf: str) -> DataFrame:
     """Last-known-good candidates: the page title of every page of its domain."""
     only = fields(spark, sf).where("name = 'page_title'")
@@ -101,6 +120,7 @@ def snapshots(spark: SparkSession, sf: str) -> DataFrame:
     return extract.lkg_snapshots(found, fetched_at(F.col("page_id")))
 
 
+@lru_cache
 def run_log(spark: SparkSession, sf: str) -> DataFrame:
     """Per ten-user domain and day: the share of error events as failed fields, and resets.
 
@@ -123,6 +143,7 @@ def run_log(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@lru_cache
 def repair_events(spark: SparkSession, sf: str) -> DataFrame:
     """Errors are repairs of a field (event family of a domain), a fifth of sign-ups are resets."""
     e = events(spark, sf)
@@ -136,9 +157,9 @@ def repair_events(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def candidates(spark: SparkSession, sf: str) -> DataFrame:
-    """A proposal for every failed title and first link: a right one, an overfit one, a bad one."""
-    failed = extractions(spark, sf).where("not success")
+def candidates(found: DataFrame) -> DataFrame:
+    """A proposal for every failed field of the extractions: right ones and one that finds nothing."""
+    failed = found.where("not success")
     selector = (
         F.when(F.col("field_name") == "title", F.when(F.col("page_id") % 2 == 0, F.lit("h1")).otherwise(F.lit("article h1")))
         .when(F.col("field_name") == "first_link", F.lit("nav a"))
@@ -155,6 +176,7 @@ def candidates(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@lru_cache
 def holdouts(spark: SparkSession, sf: str) -> DataFrame:
     """The newest three pages of each domain; every seventh page did not load."""
     newest = latest.newest_n(pages(spark, sf), ["domain"], ["page_id"], 3)

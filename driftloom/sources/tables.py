@@ -21,17 +21,19 @@ RESPONSE = (
 SMALL_BYTES_PER_CORE = 16 << 20
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Raw pages with their domain.
+def read_spread(spark: SparkSession, path: str) -> DataFrame:
+    """A parquet table, spread over the cores if it is too small to give each a scan split.
 
-    A table too small to give every core a scan split is spread over the cores, since a page
-    costs far more to parse than to move. Larger tables keep their scan partitions.
+    Such a table costs far more to work on than to move. Larger ones keep their scan partitions.
     """
-    pages = spark.read.parquet(path)
+    df = spark.read.parquet(path)
     cores = spark.sparkContext.defaultParallelism
-    if _bytes(spark, path) < cores * SMALL_BYTES_PER_CORE:
-        pages = pages.repartition(cores)
-    return with_domain(pages)
+    return df.repartition(cores) if _bytes(spark, path) < cores * SMALL_BYTES_PER_CORE else df
+
+
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Raw pages with their domain."""
+    return with_domain(read_spread(spark, path))
 
 
 def _bytes(spark: SparkSession, path: str) -> int:
@@ -74,7 +76,7 @@ def provider_extractions(records: DataFrame, fields: list[str]) -> DataFrame:
         *[F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("value")) for f in fields]
     )
     value = F.nullif("value", F.lit("N/A"))
-    return records.select("url", F.inline(cells)).select(
+    return records.select("url", F.inline_outer(cells)).select(
         F.col("url").alias("page_url"),
         urls.domain_of(F.col("url")).alias("domain"),
         "field_name",
