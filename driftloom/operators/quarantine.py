@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from driftloom.functions import ids, page, pii
 from driftloom.operators.latest import latest
+from driftloom.operators.sized import MAX_BROADCAST_IDS, join_small
 
 COLUMNS = [
     "snapshot_id", "domain", "field_name", "page_url", "broken_selector", "proposed_selector",
@@ -17,7 +18,8 @@ COLUMNS = [
 def quarantine(decisions: DataFrame, pages: DataFrame, now: Column, pii_order: str = "reference") -> DataFrame:
     """Quarantine rows with the cleaned and redacted outline of their page as ``content``."""
     held = decisions.where("outcome = 'quarantined'")
-    outlines = pages.join(held.select("page_id").distinct(), "page_id", "left_semi").select(
+    wide = pages.select("page_id", "html")
+    outlines = join_small(wide, held.select("page_id").distinct(), ["page_id"], "left_semi", MAX_BROADCAST_IDS).select(
         "page_id", pii.redact(page.sanitize(page.page_outline(F.col("html"))), pii_order).alias("content")
     )
     key = ids.snapshot_id(F.col("domain"), F.col("field_name"), F.col("page_url"), F.col("old_selector"))

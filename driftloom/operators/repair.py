@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftloom.functions import ids, page, parsing, similarity
+from driftloom.operators.sized import join_small
 
 THRESHOLD = 0.75
 FIELD_KEYS = ["domain", "field_name"]
@@ -21,7 +22,7 @@ def score_candidates(candidates: DataFrame, pages: DataFrame, lkg: DataFrame) ->
     proposal = F.struct("field_name", "selector", "strategy", "role_name", "role_type")
     per_page = candidates.groupBy("page_id", "domain").agg(F.collect_list(proposal).alias("_c"))
     nodes = (
-        per_page.join(pages.select("page_id", "html"), "page_id")
+        join_small(pages.select("page_id", "html"), per_page, ["page_id"])
         .select("page_id", "domain", "_c", page.select_nodes("html", "_c").alias("_n"), page.page_outline(F.col("html")).alias("_page"))
         .select("page_id", "domain", "_page", F.explode_outer(F.arrays_zip("_c", "_n")).alias("_z"))
         .select("page_id", "domain", "_page", "_z._c.*", "_z._n.tag", "_z._n.value")

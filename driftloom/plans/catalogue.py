@@ -589,7 +589,7 @@ def _holdout_verdicts(spark, sf, found):
 
 @query
 def score_candidates(spark, sf):
-    found = inputs.extractions(spark, sf)
+    found = inputs.kept_extractions(spark, sf)
     return _scored(spark, sf, found).select("page_id", "field_name", "selector", "candidate_value", r6("confidence").alias("confidence"))
 
 
@@ -606,7 +606,7 @@ def uniform_failure(spark, sf):
 
 @query
 def confidence_gate(spark, sf):
-    scored = _scored(spark, sf, inputs.extractions(spark, sf)).persist(StorageLevel.MEMORY_AND_DISK)
+    scored = _scored(spark, sf, inputs.kept_extractions(spark, sf)).persist(StorageLevel.MEMORY_AND_DISK)
     approved, held = repair.confidence_split(scored)
     both = approved.withColumn("gate", F.lit("approved")).unionByName(held.withColumn("gate", F.lit("quarantine")))
     return both.groupBy("domain", "field_name", "gate").agg(F.count(F.lit(1)).alias("n"))

@@ -444,6 +444,11 @@ ORACLES["null_quarantined"] = f"""
 {EXTRACTIONS}, {SAMPLES} SELECT snapshot_id AS page_id, CASE WHEN snapshot_id % 3 = 0 THEN sample_value END AS value, snapshot_id % 3 <> 0 AS quarantined,
   CASE WHEN snapshot_id % 3 <> 0 OR sample_value IS NULL THEN 'QUARANTINED' ELSE 'SUCCESS' END AS status FROM s"""
 
+_CONTENT = r"""
+oc AS (SELECT page_id, regexp_replace(html, '(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>', '', 'g') AS h FROM p),
+om AS (SELECT page_id, regexp_replace(h, '(?i)<(h[1-6]|a|li|p|nav|article|footer|header|main|button|td|th|div)\b[^>]*>', chr(10) || '- \1 ', 'g') AS h FROM oc),
+ot AS (SELECT page_id, regexp_replace(regexp_replace(h, '(?s)<[^>]*>', ' ', 'g'), '[ \t]+', ' ', 'g') AS h FROM om)"""
+
 # --- personal data, secrets, untrusted content
 
 PII = {
@@ -461,6 +466,15 @@ def redacted(s: str, order: tuple[str, ...] = tuple(PII)) -> str:
     return s
 
 
+_OUTLINE = f"regexp_replace({unescape('h')}, '^\\s+|\\s+$', '', 'g')"
+ORACLES["quarantine_content"] = f"""
+{DECIDED}, {_CONTENT},
+oo AS (SELECT page_id, {_OUTLINE} AS o FROM ot),
+of AS (SELECT page_id, '<untrusted_scraped_content>' || chr(10) || CASE WHEN length(o) > 500 THEN left(o, 500) || '...' ELSE o END
+  || chr(10) || '</untrusted_scraped_content>' AS c FROM oo)
+SELECT sha256(concat_ws('#', domain, field_name, url, old_selector)) AS snapshot_id, domain, field_name, url AS page_url, {redacted('c')} AS content
+FROM dec JOIN of ON of.page_id = dec.page_id WHERE outcome IN ('quarantined', 'rejected_overfit')"""
+
 ORACLES["pii_redact"] = f"SELECT doc_id, {redacted('text')} AS text FROM documents"
 ORACLES["pii_redact_safe"] = f"SELECT doc_id, {redacted('text', ('CREDIT_CARD', 'SSN', 'EMAIL', 'IPV4', 'PHONE'))} AS text FROM documents"
 ORACLES["pii_redact_pages"] = f"SELECT page_id, {redacted('html')} AS html FROM pages"

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftloom.operators import compliance, drift, extract, quarantine, ratelimit, repair, reports
+from driftloom.operators.sized import MAX_BROADCAST_IDS, join_small
 
 
 def run_site(
@@ -56,10 +57,11 @@ def run_site(
         .select("page_id", "url", "domain", "error")
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
-    passed = entry.where("error is null").select("page_id")
-    extractions = extract.extract_fields(pages.join(passed, "page_id", "left_semi"), fields).persist(
-        StorageLevel.MEMORY_AND_DISK
-    )
+    # The few stopped pages are taken out, rather than the many others joined in: the pages
+    # themselves are only shuffled when there are too many stops to broadcast.
+    stopped = entry.where("error is not null").select("page_id")
+    passed = join_small(pages, stopped, ["page_id"], "left_anti", MAX_BROADCAST_IDS)
+    extractions = extract.extract_fields(passed, fields).persist(StorageLevel.MEMORY_AND_DISK)
     verdicts = drift.classify_drift(extractions)
     local = verdicts.where("drift_type = 'local'").select("page_id")
     failed = extractions.where("not success").join(local, "page_id", "left_semi")
