@@ -1146,13 +1146,12 @@ def provider_ingest(spark, sf):
     return checked.select("page_url", "domain", "field_name", "value", "success", "all_passed", F.size("checks").alias("n_checks"))
 
 
-@query
-def site_run(spark, sf):
-    """All gates, extraction, drift, repairs and quarantine over the page table."""
+def site_outputs(spark, sf):
+    """A run over the page table with every gate in play."""
     pages = inputs.pages(spark, sf).withColumn("requested_at", inputs.fetched_at(F.col("page_id")))
     domains = inputs.pages(spark, sf).select("domain").distinct()
     status = F.when(F.col("page_id") % 5 == 0, 403).otherwise(200)
-    out = run_site(
+    return run_site(
         pages,
         inputs.fields(spark, sf),
         F.lit("2024-02-01").cast("timestamp"),
@@ -1168,8 +1167,13 @@ def site_run(spark, sf):
         lkg=latest.lkg_latest(inputs.snapshots(spark, sf)).withColumn("field_name", F.lit("title")),
         locks=inputs.fields(spark, sf).where("name = 'price' and domain like 'm.%'").select("domain", F.col("name").alias("field_name")),
     )
+
+
+@query
+def site_run(spark, sf):
+    """All gates, extraction, drift and repairs, one row per page."""
     m = F.col("fields")
-    return out["responses"].select(
+    return site_outputs(spark, sf).responses().select(
         "page_id", "domain", "success", "error", m["title"].alias("title"), m["first_link"].alias("first_link"),
         F.array_join("quarantined_fields", ",").alias("quarantined_fields"),
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +12,60 @@ from driftloom.operators import compliance, drift, extract, quarantine, ratelimi
 from driftloom.operators.sized import MAX_BROADCAST_IDS, join_small
 
 
+@dataclass(frozen=True)
+class SiteRun:
+    """Output tables of one run. The tables several outputs share are kept until ``release``."""
+
+    pages: DataFrame
+    now: Column
+    entry: DataFrame
+    extractions: DataFrame
+    drift: DataFrame
+    decisions: DataFrame
+    holdout_verdicts: DataFrame
+
+    def responses(self) -> DataFrame:
+        """One row per page: success or the first error, the field map, the fields held back."""
+        healed = self.decisions.select("page_id", "field_name", "outcome", F.col("value").alias("_healed"))
+        values = (
+            self.extractions.select("page_id", "field_name", "value")
+            .join(healed, ["page_id", "field_name"], "left")
+            .select(
+                "page_id",
+                "field_name",
+                F.coalesce("_healed", "value").alias("value"),
+                F.coalesce(F.col("outcome") != "auto_approved", F.lit(False)).alias("quarantined"),
+            )
+        )
+        answers = reports.assemble_response(values, ["page_id"])
+        whole = self.drift.where("drift_type = 'global'").select("page_id", F.lit("global_drift").alias("_drift"))
+        return (
+            self.entry.join(whole, "page_id", "left")
+            .join(answers, "page_id", "left")
+            .withColumn("error", F.coalesce("error", "_drift"))
+            .select("page_id", "url", "domain", F.col("error").isNull().alias("success"), "error", "fields", "quarantined_fields")
+        )
+
+    def snapshots(self) -> DataFrame:
+        return extract.lkg_snapshots(self.extractions, self.now)
+
+    def quarantine(self) -> DataFrame:
+        return quarantine.quarantine(self.decisions, self.pages, self.now)
+
+    def registry_updates(self) -> DataFrame:
+        return repair.registry_updates(self.decisions, self.now)
+
+    def repair_log(self) -> DataFrame:
+        return repair.repair_log(self.decisions, self.now)
+
+    def global_failures(self) -> DataFrame:
+        return repair.uniform_failure(self.holdout_verdicts)
+
+    def release(self) -> None:
+        for kept in (self.entry, self.extractions, self.decisions):
+            kept.unpersist()
+
+
 def run_site(
     pages: DataFrame,
     fields: DataFrame,
@@ -27,13 +83,12 @@ def run_site(
     lkg: DataFrame,
     locks: DataFrame,
     threshold: float = repair.THRESHOLD,
-) -> dict[str, DataFrame]:
-    """Every output table of a run, lazily.
+) -> SiteRun:
+    """Gate, extract, classify and decide; the result builds each output table when asked.
 
     ``pages``: page_id, url, html, domain, requested_at. ``open_breakers``: domains whose breaker
     is open. The gates run on narrow columns; pages are read again only to be parsed, and only
-    those that passed. Extractions feed several outputs and are kept (``extractions`` in the
-    result; unpersist it when the run is written).
+    those that passed.
     """
     narrow = pages.select("page_id", "url", "domain", "requested_at")
     known = fields.select("domain").distinct().withColumn("_known", F.lit(True))
@@ -69,34 +124,4 @@ def run_site(
     scored = repair.score_candidates(proposals, pages, lkg)
     checked = repair.cross_validate(proposals, holdouts, fields)
     decisions = repair.decide(failed, fields, scored, checked, locks, threshold).persist(StorageLevel.MEMORY_AND_DISK)
-    healed = decisions.select("page_id", "field_name", "outcome", F.col("value").alias("_healed"))
-    values = (
-        extractions.select("page_id", "field_name", "value")
-        .join(healed, ["page_id", "field_name"], "left")
-        .select(
-            "page_id",
-            "field_name",
-            F.coalesce("_healed", "value").alias("value"),
-            F.coalesce(F.col("outcome") != "auto_approved", F.lit(False)).alias("quarantined"),
-        )
-    )
-    answers = reports.assemble_response(values, ["page_id"])
-    whole = verdicts.where("drift_type = 'global'").select("page_id", F.lit("global_drift").alias("_drift"))
-    final = (
-        entry.join(whole, "page_id", "left")
-        .join(answers, "page_id", "left")
-        .withColumn("error", F.coalesce("error", "_drift"))
-        .select("page_id", "url", "domain", F.col("error").isNull().alias("success"), "error", "fields", "quarantined_fields")
-    )
-    return {
-        "responses": final,
-        "entry": entry,
-        "extractions": extractions,
-        "drift": verdicts,
-        "decisions": decisions,
-        "snapshots": extract.lkg_snapshots(extractions, now),
-        "quarantine": quarantine.quarantine(decisions, pages, now),
-        "registry": repair.registry_updates(decisions, now),
-        "repairs": repair.repair_log(decisions, now),
-        "global_failures": repair.uniform_failure(checked),
-    }
+    return SiteRun(pages, now, entry, extractions, verdicts, decisions, checked)

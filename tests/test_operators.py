@@ -318,3 +318,17 @@ def test_hot_keys_are_not_read_by_one_task(spark, sf):
     windows = [line for line in plan.splitlines() if "Window [" in line]
     row_windows = [w for w in windows if "ts#" in w]
     assert row_windows and all("_chunk#" in w for w in row_windows)
+
+
+def test_site_run_outputs_fit_together(spark, sf):
+    from driftloom.plans import catalogue
+
+    run = catalogue.site_outputs(spark, sf)
+    approved = run.decisions.where("outcome = 'auto_approved'").count()
+    assert run.registry_updates().count() == run.repair_log().count() == approved
+    held = run.decisions.where("outcome = 'quarantined'").count()
+    assert run.quarantine().count() == held
+    assert run.snapshots().count() == run.extractions.where("success").count()
+    assert run.responses().count() == run.pages.count()
+    assert run.global_failures().where("pass_count > 0").isEmpty()
+    run.release()
