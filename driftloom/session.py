@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +25,8 @@ def local_session(app: str = "driftloom", cores: str | int = "*", partitions: in
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("DRIFTLOOM_DRIVER_MEMORY", "8g"))
         .config("spark.sql.shuffle.partitions", str(partitions))
+        .config("spark.checkpoint.dir", os.environ.get("DRIFTLOOM_CHECKPOINTS", "/tmp/driftloom-checkpoints"))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in DEFAULTS.items():
         builder = builder.config(key, value)
@@ -34,19 +35,17 @@ def local_session(app: str = "driftloom", cores: str | int = "*", partitions: in
     return spark
 
 
-def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage with a checkpoint in the folder the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir`` of the session."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    return folder.rstrip("/")
+
 
-    Only a local master may fall back to a temporary folder: on a cluster a machine-local
-    folder would not survive the loss of its executor.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+def reliable_checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage with a checkpoint in the folder the cluster names."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="driftloom-checkpoint-")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
