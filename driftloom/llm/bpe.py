@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 #: Words remembered by a worker; those of more characters than ``TOGETHER`` are not.
-MEMO_WORDS = 800_000
+MEMO_WORDS = 250_000
 
 #: Longest piece that is merged together with others, and the characters of text cut into pieces at a time.
 TOGETHER, CUT_CHARS = 64, 1_500_000
