@@ -32,14 +32,15 @@ from pyspark.sql import types as T
 #: The default vocabulary: byte-level BPE with 50,257 entries.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
-#: Words remembered by a worker; those of more characters than ``TOGETHER`` are not.
-MEMO_WORDS = 250_000
+#: Words remembered by a worker, twice at most; those of more characters than ``TOGETHER`` are not.
+MEMO_WORDS = 200_000
 
 #: Longest piece that is merged together with others, and the characters of text cut into pieces at a time.
 TOGETHER, CUT_CHARS = 64, 1_500_000
 
 _NONE = 1 << 60
 _WIDE = re.compile(r" (?!\S)")
+_LAST = frozenset(".,;:!?")
 _GAP = re.compile(r"(?= \S)")
 
 
@@ -205,12 +206,11 @@ class Tokenizer:
         self.table = PairTable(self.ranks, self.start, len(self.bytes_of))
         self.special_ids = {p: np.int32(i).tobytes() for p, i in self.special.items()}
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def learn(self, words: Iterable[str]) -> dict[str, bytes]:
         """The ids of new words, of one or more pieces each, as bytes of int32."""
-        # Tuples of strings hold no cycles: the collector lets go of them, as it doesn't of lists.
-        findall = self.pieces.findall
-        cut = {w: tuple(findall(w)) for w in words}
+        cut = {w: self.split(w) for w in words}
         ids: dict[str, bytes] = {}
         by_size: dict[int, list[bytes]] = {}
         for text in set().union(*cut.values()):
@@ -225,6 +225,14 @@ class Tokenizer:
                 ids.update(zip(map(bytes.decode, part), self.table.merge_together(part, leaves)))
         return {w: b"".join([ids[p] for p in own]) for w, own in cut.items()}
 
+    def split(self, word: str) -> tuple[str, ...]:
+        """The pattern's pieces of a word; letters alone, and letters with a mark after them, are cut without it."""
+        if word[1:].isalpha():
+            return (word,)
+        if word[-1:] in _LAST and word[1:-1].isalpha():
+            return (word[:-1], word[-1])
+        return tuple(self.pieces.findall(word))
+
     def words(self, text: str) -> list[str]:
         """A text cut at special tokens, and before each space that a visible character follows.
 
@@ -250,10 +258,14 @@ class Tokenizer:
 
     def _ids(self, held: list[list[str]]) -> Iterator[np.ndarray]:
         words = set().union(*held)
-        if len(self.memo) + len(words) > MEMO_WORDS:
-            self.memo = {w: self.memo[w] for w in words if w in self.memo}
+        if len(self.memo) > MEMO_WORDS:
+            # Words that are met again come back from the older half; the others go with it.
+            self.memo, self.older = {}, self.memo
+        new = words.difference(self.memo)
+        again = new.intersection(self.older)
+        self.memo.update({w: self.older[w] for w in again})
         self.memo.update(self.special_ids)
-        self.memo.update(self.learn(words.difference(self.memo)))
+        self.memo.update(self.learn(new.difference(again)))
         known = self.memo.__getitem__
         for own in held:
             yield np.frombuffer(b"".join(map(known, own)), dtype=np.int32)
@@ -265,7 +277,7 @@ class Tokenizer:
 
     def decode(self, ids: Iterable[int] | None) -> str:
         table = self.bytes_of
-        return b"".join([table[i] for i in ids]).decode("utf-8", "replace") if ids is not None else ""
+        return b"".join(map(table.__getitem__, ids)).decode("utf-8", "replace") if ids is not None else ""
 
 
 @functools.lru_cache(maxsize=2)
@@ -297,7 +309,23 @@ def decode(ids: Column, path: str = VOCABULARY) -> Column:
     return text(ids)
 
 
+def round_trip(text: Column, path: str = VOCABULARY) -> Column:
+    """``encode`` and then ``decode``, as a struct of ids and decoded, in one visit of a Python worker."""
+
+    @F.pandas_udf(T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("decoded", T.StringType())]))
+    def both(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        known = tokenizer(path)
+        for batch in texts:
+            ids = list(known.encode_batch(batch))
+            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series([known.decode(x.tolist()) for x in ids], dtype=object)})
+
+    return both(text)
+
+
 def with_tokens(df: DataFrame, text: str = "text", ids: str = "ids", decoded: str | None = None, path: str = VOCABULARY) -> DataFrame:
     """Add the ids of ``text`` and, on request, what they decode to. Columns of these names are replaced."""
-    out = df.withColumn(ids, encode(F.col(text), path))
-    return out.withColumn(decoded, decode(F.col(ids), path)) if decoded else out
+    if decoded is None:
+        return df.withColumn(ids, encode(F.col(text), path))
+    kept = [df[c] for c in df.columns if c not in (ids, decoded)]
+    both = "_both" + "_" * max(map(len, df.columns))  # longer than any name that is there
+    return df.withColumn(both, round_trip(F.col(text), path)).select(*kept, F.col(f"{both}.ids").alias(ids), F.col(f"{both}.decoded").alias(decoded))
