@@ -24,6 +24,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,10 +35,10 @@ from pyspark.sql import types as T
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 #: Words remembered by a worker, twice at most; those of more characters than ``TOGETHER`` are not.
-MEMO_WORDS = 200_000
+MEMO_WORDS = 150_000
 
 #: Longest piece that is merged together with others, and the characters of text cut into pieces at a time.
-TOGETHER, CUT_CHARS = 64, 1_500_000
+TOGETHER, CUT_CHARS = 64, 1_000_000
 
 _NONE = 1 << 60
 _WIDE = re.compile(r" (?!\S)")
@@ -309,23 +311,36 @@ def decode(ids: Column, path: str = VOCABULARY) -> Column:
     return text(ids)
 
 
-def round_trip(text: Column, path: str = VOCABULARY) -> Column:
-    """``encode`` and then ``decode``, as a struct of ids and decoded, in one visit of a Python worker."""
+def slices(batch: pa.RecordBatch, column: str, size: int = CUT_CHARS) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about ``size`` bytes of a text column, of one row at least."""
+    if not batch.num_rows:
+        return
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + size, side="right")))
+        yield batch.slice(start, end - start)
+        start = end
 
-    @F.pandas_udf(T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("decoded", T.StringType())]))
-    def both(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        known = tokenizer(path)
-        for batch in texts:
-            ids = list(known.encode_batch(batch))
-            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series([known.decode(x.tolist()) for x in ids], dtype=object)})
 
-    return both(text)
+def with_tokens(df: DataFrame, text: str = "text", ids: str = "ids", decoded: str | None = None, path: str = VOCABULARY) -> DataFrame:
+    """Add the ids of ``text`` and, on request, what they decode to. Columns of these names are replaced.
 
+    Rows pass as Arrow batches and leave in small parts, so a worker never holds the ids of a whole batch.
+    """
+    kept = [c for c in df.columns if c not in (ids, decoded)]
+    fields = [df.schema[c] for c in kept] + [T.StructField(ids, T.ArrayType(T.IntegerType(), True))] + [T.StructField(decoded, T.StringType())] * bool(decoded)
 
-def with_tokens(df: DataFrame, text: str = "text", ids: str = "ids", decoded: str | None = None, path: str = VOCABULARY) -> DataFrame:
-    """Add the ids of ``text`` and, on request, what they decode to. Columns of these names are replaced."""
-    if decoded is None:
-        return df.withColumn(ids, encode(F.col(text), path))
-    kept = [df[c] for c in df.columns if c not in (ids, decoded)]
-    both = "_both" + "_" * max(map(len, df.columns))  # longer than any name that is there
-    return df.withColumn(both, round_trip(F.col(text), path)).select(*kept, F.col(f"{both}.ids").alias(ids), F.col(f"{both}.decoded").alias(decoded))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = tokenizer(path)
+        for batch in batches:
+            for part in slices(batch, text):
+                rows = list(known.encode_batch(part.column(text).to_pylist()))
+                ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+                out = [part.column(c) for c in kept] + [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(rows)))]
+                if decoded:
+                    out.append(pa.array([known.decode(x.tolist()) for x in rows], pa.string()))
+                yield pa.RecordBatch.from_arrays(out, [f.name for f in fields])
+
+    return df.mapInArrow(run, T.StructType(fields))
