@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftloom.llm import bpe, ftrl
+from driftloom.llm import bpe, ftrl, jaccard_join
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -43,5 +43,10 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return scored(ftrl.with_toxicity(docs, table(spark, sf, "labels")), "toxicity", 0.3)
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op10_toxicity": op10_toxicity}
+def op5_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's shingle count and its component of near copies."""
+    return jaccard_join.join(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op5_jaccard_join": op5_jaccard_join, "op10_toxicity": op10_toxicity}
 ORACLES: dict[str, str] = {}
