@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftloom.llm import bpe, ftrl, jaccard_join
+from driftloom.llm import bpe, decontaminate, ftrl, jaccard_join
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -48,5 +48,12 @@ def op5_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op5_jaccard_join": op5_jaccard_join, "op10_toxicity": op10_toxicity}
+def op8_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    """A row for each document and benchmark item that leaks into it: where, and how alike."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found = decontaminate.with_leaks(docs, table(spark, sf, "benchmark"))
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op5_jaccard_join": op5_jaccard_join, "op8_decontaminate": op8_decontaminate, "op10_toxicity": op10_toxicity}
 ORACLES: dict[str, str] = {}
