@@ -10,18 +10,47 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftloom.llm import bpe
+from driftloom.llm import bpe, decontaminate, ftrl, jaccard_join, secret_scan
 from driftloom.session import shared_folder
 
+#: Documents at this toxicity or more are rejected.
+TOXIC = 0.3
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that the classifier calls toxic."""
+    scored = ftrl.with_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "_toxicity")
+    return scored.filter(F.col("_toxicity") < TOXIC).select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near copies: the one of the smallest id. Of rows that repeat an id one stays as well;
+    rows without an id are in no group and stay."""
+    found = jaccard_join.join(docs)
+    first = found.filter("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.union(docs.filter("doc_id IS NULL")).select(*docs.columns)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that hold a benchmark item."""
+    found = decontaminate.with_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "_leaks")
+    return found.filter(F.size("_leaks") == 0).select(*docs.columns)
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace every secret by a mark; ``n_chars`` follows the text."""
+    return secret_scan.redacted(docs)
+
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the text that they decode to."""
     return bpe.with_tokens(docs, decoded="decoded").withColumn("n_tokens", F.size("ids").cast("long"))
 
 
-STAGES = [("bpe", encode)]
+STAGES = [("toxicity", toxicity), ("near_copies", near_copies), ("decontamination", decontaminated), ("secrets", without_secrets), ("bpe", encode)]
 
-#: No stage but the last could be written in SQL.
+#: The classifier, the tokenizer and the randomness tests have no SQL form.
 ORACLE_SQL = None
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftloom.llm import bpe, decontaminate, ftrl, jaccard_join
+from driftloom.llm import bpe, decontaminate, ftrl, jaccard_join, secret_scan
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -43,6 +43,21 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return scored(ftrl.with_toxicity(docs, table(spark, sf, "labels")), "toxicity", 0.3)
 
 
+def op3_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's secrets: counts by kind, a digest of the base spans and the list of all spans."""
+    found = secret_scan.spans(table(spark, sf, "documents"))
+    count = lambda kind: F.size(kind).cast("long")
+    return found.select(
+        "doc_id",
+        count("assign").alias("n_assign"),
+        count("access").alias("n_access"),
+        count("hex").alias("n_hex"),
+        hex_sha256(secret_scan.listed("assign", "access", "hex")).alias("base_sha256"),
+        secret_scan.listed("assign", "access", "hex", "random").alias("spans"),
+        count("random").alias("n_random"),
+    )
+
+
 def op5_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's shingle count and its component of near copies."""
     return jaccard_join.join(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id")
@@ -55,5 +70,5 @@ def op8_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op5_jaccard_join": op5_jaccard_join, "op8_decontaminate": op8_decontaminate, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_bpe": op1_bpe, "op3_secret_scan": op3_secret_scan, "op5_jaccard_join": op5_jaccard_join, "op8_decontaminate": op8_decontaminate, "op10_toxicity": op10_toxicity}
 ORACLES: dict[str, str] = {}
