@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftloom.llm import bpe, decontaminate, ftrl, jaccard_join, secret_scan
+from driftloom.llm import bpe, decontaminate, ftrl, jaccard_join, quality_rules, secret_scan
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -43,6 +43,12 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return scored(ftrl.with_toxicity(docs, table(spark, sf, "labels")), "toxicity", 0.3)
 
 
+def op2_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's measures and verdict."""
+    judged = quality_rules.judge(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rule")
+
+
 def op3_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's secrets: counts by kind, a digest of the base spans and the list of all spans."""
     found = secret_scan.spans(table(spark, sf, "documents"))
@@ -70,5 +76,5 @@ def op8_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op3_secret_scan": op3_secret_scan, "op5_jaccard_join": op5_jaccard_join, "op8_decontaminate": op8_decontaminate, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_bpe": op1_bpe, "op2_quality_rules": op2_quality_rules, "op3_secret_scan": op3_secret_scan, "op5_jaccard_join": op5_jaccard_join, "op8_decontaminate": op8_decontaminate, "op10_toxicity": op10_toxicity}
 ORACLES: dict[str, str] = {}
