@@ -29,7 +29,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftloom.llm import words
@@ -42,6 +42,9 @@ SHINGLE, K = 5, 2
 #: So there are at most ``mean set size * FREQUENT`` frequent shingles, whatever the size of the corpus.
 BATCH_LEAST, FREQUENT = 4, 2000
 
+#: Ids broadcast at most, and the parts of a frequent shingle's list.
+BROADCAST_IDS, SALTS = 500_000, 64
+
 #: Sizes at which light sets may end.
 BOUNDARIES = (0, 4, 6, 8, 12, 16, 24, 32, 48, 64)
 
@@ -122,8 +125,9 @@ def boundary(sizes: Counter, scan: float) -> int:
 
 
 def entries_of(docs: DataFrame, shared, x: int) -> DataFrame:
-    """(token, kind, class, n, often) per list entry: kind 0 a shingle, kind 1 a subset of K shingles. ``shared``: a broadcast of
-    the frequent shingles, sorted, and their counts."""
+    """(token, salt, class, n) per list entry. The lowest bit of a token tells a subset of K shingles from one shingle; the salt cuts
+    the lists of frequent shingles in parts, and is 0 for all others. ``shared``: a broadcast of the frequent shingles, sorted, and
+    their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, weight = shared.value
@@ -141,13 +145,14 @@ def entries_of(docs: DataFrame, shared, x: int) -> DataFrame:
                 often = frequent[at] == s if len(frequent) else np.zeros(n, dtype=bool)
                 last = s[often][np.argsort(weight[at[often]], kind="stable")] if often.any() else s[:0]
                 order, rare = np.concatenate((s[~often], last)), n - int(often.sum())
+                salt = name % SALTS + 1
                 if n < x:
                     head = order[: n - needed(n) + K]
                     i, j = np.triu_indices(len(head), 1)
-                    held.append((words.chain(head[i], head[j]), 1, name, n, i >= rare))
+                    held.append((words.chain(head[i], head[j]) | np.uint64(1), np.where(i >= rare, salt, 0), name, n))
                 if 4 * n >= 3 * x:
                     head = order[: n - needed(n) + 1]
-                    held.append((head, 0, name, n, np.arange(len(head)) >= rare))
+                    held.append((head & ~np.uint64(1), np.where(np.arange(len(head)) >= rare, salt, 0), name, n))
                 rows += n
                 if rows > 400_000:
                     yield table(held)
@@ -160,33 +165,39 @@ def entries_of(docs: DataFrame, shared, x: int) -> DataFrame:
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(np.concatenate([h[0] for h in held]).astype(np.int64)),
-                *(pa.array(np.repeat(np.array([h[k] for h in held], dtype=kind), count)) for k, kind in ((1, np.int32), (2, np.int64), (3, np.int32))),
-                pa.array(np.concatenate([h[4] for h in held])),
+                pa.array(np.concatenate([h[1] for h in held]).astype(np.int32)),
+                *(pa.array(np.repeat(np.array([h[k] for h in held], dtype=kind), count)) for k, kind in ((2, np.int64), (3, np.int32))),
             ],
-            ["token", "kind", "class", "n", "often"],
+            ["token", "salt", "class", "n"],
         )
 
-    return docs.select("text").mapInArrow(run, "token long, kind int, class long, n int, often boolean")
+    return docs.select("text").mapInArrow(run, "token long, salt int, class long, n int")
 
 
 def met(entries: DataFrame) -> DataFrame:
-    """The entries of lists with two classes or more, each once. The frequent ones are known to be such: they are not gathered."""
-    cold = entries.filter("NOT often").groupBy("token", "kind").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high")
-    kept = entries.filter("NOT often").join(cold.select("token", "kind"), ["token", "kind"], "left_semi")
-    return kept.union(entries.filter("often")).select("token", "kind", "class", "n").distinct()
+    """The entries of lists with two classes or more, each once; lists of frequent shingles are known to be such.
+
+    All entries are shuffled once, by list or part of a list, and both steps here read that one shuffle.
+    """
+    own = Window.partitionBy("token", "salt")
+    ends = entries.withColumn("low", F.min("class").over(own)).withColumn("high", F.max("class").over(own))
+    return ends.filter("low <> high OR salt > 0").groupBy("token", "salt", "class").agg(F.first("n").alias("n")).drop("salt")
+
 
+def fetch_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(class, shingles) of the classes that ``ids`` (doc_id, each once) stand for: only their texts are hashed once more.
 
-def fetch_sets(docs: DataFrame, needed_ids: DataFrame) -> DataFrame:
-    """(class, shingles) of the classes that ``needed_ids`` (doc_id) stand for: only their texts are hashed once more."""
-    texts = docs.select("doc_id", "text").join(needed_ids.hint("shuffle_hash"), "doc_id", "left_semi").select("text")
+    Up to ``BROADCAST_IDS`` ids, counted, the texts stay where they lie; more ids meet them in a shuffle.
+    """
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("shuffle_hash")
+    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = list(shingle_sets(batch.column("text").to_pylist()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["class", "shingles"]
-            )
+            sets = {class_of(s): s.tobytes() for s in shingle_sets(batch.column("text").to_pylist())}
+            yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.int64()), pa.array(list(sets.values()), pa.binary())], ["class", "shingles"])
 
+    # A row that is repeated gives its set again.
     return texts.mapInArrow(run, "class long, shingles binary").dropDuplicates(["class"])
 
 
@@ -211,25 +222,28 @@ def sized(a: str, b: str):
 
 
 def leader_pairs(lists: DataFrame) -> DataFrame:
-    """For each component the pair of classes that joins it with the leader of the lists it shares most."""
-    own = lists.groupBy("token", "kind", "component").agg(F.min(F.struct("class", "n")).alias("it"))
-    lead = own.groupBy("token", "kind").agg(F.min(F.struct("component", "it")).alias("lead"), F.count("*").alias("size")).filter("size > 1")
-    pairs = own.join(lead, ["token", "kind"]).filter("component <> lead.component").filter(sized("it.n", "lead.it.n"))
-    votes = pairs.groupBy("component", F.col("it.class").alias("a"), F.col("lead.it.class").alias("b")).agg(F.count("*").alias("votes"))
-    return votes.groupBy("component").agg(F.max(F.struct("votes", "a", "b")).alias("best")).select("best.a", "best.b")
+    """For each component the pair of classes that joins it with the leader of the lists it shares most, if these are a third of
+    its prefix at least."""
+    own = lists.groupBy("token", "component").agg(F.min(F.struct("class", "n")).alias("it"))
+    lead = own.groupBy("token").agg(F.min(F.struct("component", "it")).alias("lead"), F.count("*").alias("size")).filter("size > 1")
+    pairs = own.join(lead, "token").filter("component <> lead.component").filter(sized("it.n", "lead.it.n"))
+    votes = pairs.groupBy("component", F.col("it.class").alias("a"), F.col("it.n").alias("n"), F.col("lead.it.class").alias("b")).agg(F.count("*").alias("votes"))
+    best = votes.groupBy("component").agg(F.max(F.struct("votes", "a", "b", "n")).alias("best"))
+    return best.filter("12 * best.votes >= best.n").select("best.a", "best.b")
 
 
 def cross_pairs(lists: DataFrame, x: int) -> DataFrame:
     """All pairs of classes of different components that may link, by size and by what their lists say of the overlap."""
-    mixed = lists.groupBy("token", "kind").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-    lists = lists.join(mixed.select("token", "kind"), ["token", "kind"], "left_semi")
-    a = lists.select("token", "kind", F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-    b = lists.select("token", "kind", F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-    pairs = a.join(b, ["token", "kind"]).filter("a < b AND c_a <> c_b").filter(sized("n_a", "n_b")).filter(f"kind = 1 OR greatest(n_a, n_b) >= {x}")
-    counted = pairs.groupBy("kind", "a", "b", "n_a", "n_b").agg(F.count("*").alias("common"))
+    mixed = lists.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
+    lists = lists.join(mixed.select("token"), "token", "left_semi")
+    a = lists.select("token", F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
+    b = lists.select("token", F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
+    subset = F.col("token").bitwiseAND(F.lit(1)) == 1
+    pairs = a.join(b, "token").filter("a < b AND c_a <> c_b").filter(sized("n_a", "n_b")).filter(subset | (F.greatest("n_a", "n_b") >= x))
+    counted = pairs.groupBy(subset.alias("subset"), "a", "b", "n_a", "n_b").agg(F.count("*").alias("common"))
     # Beyond both prefixes lie at most n - p = needed(n) - 1 shingles of the one that ends first.
     reach = F.expr("common + div(3 * greatest(n_a, n_b) + 3, 4) - 1")
-    return counted.filter((F.col("kind") == 1) | (reach * 7 >= F.expr("3 * (n_a + n_b)"))).select("a", "b").distinct()
+    return counted.filter(F.col("subset") | (reach * 7 >= F.expr("3 * (n_a + n_b)"))).select("a", "b").distinct()
 
 
 def join(docs: DataFrame, rounds: int = 2, keep: Callable[[DataFrame], DataFrame] = reliable_checkpoint) -> DataFrame:
@@ -245,19 +259,17 @@ def join(docs: DataFrame, rounds: int = 2, keep: Callable[[DataFrame], DataFrame
     sizes = Counter({r["size"]: r["count"] for r in classes.groupBy(F.least("n", F.lit(256)).alias("size")).count().collect()})
     x = boundary(sizes, scan)
     shared = spark.sparkContext.broadcast((np.array([f[0] for f in frequent], dtype=np.uint64), np.array([f[1] for f in frequent], dtype=np.int64)))
-
     lists = keep(met(entries_of(docs, shared, x)))
-    ids = lists.select("class").distinct().join(classes, "class").select(F.col("first_id").alias("doc_id"))
-    sets = keep(fetch_sets(docs, ids))
 
     labels, links = None, spark.createDataFrame([], "a long, b long")
     for last in [False] * rounds + [True]:
         named = lists.withColumn("component", F.col("class")) if labels is None else lists.join(labels.toDF("class", "label"), "class", "left").withColumn("component", F.coalesce("label", "class"))
-        pairs = cross_pairs(named, x) if last else leader_pairs(named)
-        links = keep(links.union(linked(pairs, sets)))
+        pairs = keep(cross_pairs(named, x) if last else leader_pairs(named))
+        ids = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct().join(classes, "class").select(F.col("first_id").alias("doc_id")).distinct()
+        links = keep(links.union(linked(pairs, keep(fetch_sets(docs, ids)))))
         labels = components(links)
 
-    named = rows.join(labels.toDF("class", "label"), "class", "left").withColumn("component", F.coalesce("label", "class"))
+    named = rows.select("doc_id", "n", "class").join(labels.toDF("class", "label"), "class", "left").withColumn("component", F.coalesce("label", "class"))
     firsts = named.filter("n > 0").groupBy("component").agg(F.min("doc_id").alias("first_id"))
     found = named.join(firsts, "component", "left")
     own = F.when(F.col("n") > 0, F.col("first_id")).otherwise(F.col("doc_id"))
