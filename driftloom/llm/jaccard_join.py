@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from driftloom.llm import words
 from driftloom.llm.components import components
+from driftloom.llm.meeting import meet
 from driftloom.session import reliable_checkpoint
 
 SHINGLE, K = 5, 2
@@ -42,8 +43,8 @@ SHINGLE, K = 5, 2
 #: So there are at most ``mean set size * FREQUENT`` frequent shingles, whatever the size of the corpus.
 BATCH_LEAST, FREQUENT = 4, 2000
 
-#: Ids broadcast at most, and the parts of a frequent shingle's list.
-BROADCAST_IDS, SALTS = 500_000, 64
+#: The parts of a frequent shingle's list.
+SALTS = 64
 
 #: Sizes at which light sets may end.
 BOUNDARIES = (0, 4, 6, 8, 12, 16, 24, 32, 48, 64)
@@ -185,12 +186,8 @@ def met(entries: DataFrame) -> DataFrame:
 
 
 def fetch_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(class, shingles) of the classes that ``ids`` (doc_id, each once) stand for: only their texts are hashed once more.
-
-    Up to ``BROADCAST_IDS`` ids, counted, the texts stay where they lie; more ids meet them in a shuffle.
-    """
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("shuffle_hash")
-    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").select("text")
+    """(class, shingles) of the classes that ``ids`` (doc_id, each once) stand for: only their texts are hashed once more."""
+    texts = meet(docs.select("doc_id", "text"), ids, "doc_id", "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -68,6 +68,22 @@ def hash_words(texts: list[str], between: np.ndarray = SPACES, lower: bool = Tru
     return tuple(out)
 
 
+def word_shapes(texts: list[str], shape: np.ndarray, between: np.ndarray = SPACES) -> np.ndarray:
+    """Hashes of the words with each byte written as its ``shape``, and runs of one shape as one."""
+    data = np.frombuffer(b" ".join(t.encode("utf-8", "replace") for t in texts) + b" ", dtype=np.uint8)
+    gap = between[data]
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], gap))))
+    start, end = edge[::2], edge[1::2]
+    kind = shape[data]
+    first = np.concatenate(([True], (kind[1:] != kind[:-1]) | gap[1:] | gap[:-1]))
+    place = np.cumsum(first) - first  # runs before each byte
+    power, inverse = _tables(len(data) + 1)
+    total = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(np.where(first, kind.astype(np.uint64) * power[place], np.uint64(0)), out=total[1:])
+    runs = np.append(place, place[-1] + 1)
+    return mix((total[end] - total[start]) * inverse[place[start]] + (runs[end] - runs[start]).astype(np.uint64) + np.uint64(99))
+
+
 def parts(texts: Iterable[str | None], size: int = 1_000_000) -> Iterator[list[str]]:
     """Runs of texts of about ``size`` characters together, nulls as empty, so that a batch's arrays stay small."""
     held: list[str] = []
