@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftloom.llm import bpe, decontaminate, ftrl, jaccard_join, nbsvm, quality_rules, secret_scan
+from driftloom.llm import bpe, decontaminate, ftrl, hilbert, jaccard_join, nbsvm, quality_rules, secret_scan
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -82,5 +82,13 @@ def op4_quality(spark: SparkSession, sf: str) -> DataFrame:
     return scored(nbsvm.with_quality(docs, table(spark, sf, "labels")), "quality_score", 0.7)
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_quality_rules": op2_quality_rules, "op3_secret_scan": op3_secret_scan, "op4_quality": op4_quality, "op5_jaccard_join": op5_jaccard_join, "op8_decontaminate": op8_decontaminate, "op10_toxicity": op10_toxicity}
+def op9_hilbert(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's shard and place in it, by the law of equal numbers of rows."""
+    placed = hilbert.assign(table(spark, sf, "documents"))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "curve"
+    )
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_quality_rules": op2_quality_rules, "op3_secret_scan": op3_secret_scan, "op4_quality": op4_quality, "op5_jaccard_join": op5_jaccard_join, "op8_decontaminate": op8_decontaminate, "op9_hilbert": op9_hilbert, "op10_toxicity": op10_toxicity}
 ORACLES: dict[str, str] = {}
