@@ -19,9 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftloom.llm.ordering import with_places
 from driftloom.session import reliable_checkpoint
 
 BITS, SHARDS = 5, 16
@@ -88,13 +89,7 @@ def assign(docs: DataFrame, dimensions: tuple[str, ...] = ("lang", "source", "si
     rows = docs.select("doc_id", *(d for d in dimensions if d != "size"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     keyed = with_index(reliable_checkpoint(rows), list(dimensions), bits).select("doc_id", "size", "text_crc32", "curve")
     order = ["curve", "text_crc32", "doc_id"]
-    parts = reliable_checkpoint(keyed.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
-    # One row per partition.
-    counts = parts.groupBy("part").agg(F.count("*").alias("rows"))
-    before = counts.select("part", (F.sum("rows").over(Window.orderBy("part")) - F.col("rows")).alias("before"), F.sum("rows").over(Window.partitionBy()).alias("total"))
-    own = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
-    placed = parts.withColumn("own", own).join(F.broadcast(before), "part").withColumn("place", F.col("before") + F.col("own"))
-    cut = placed.withColumn("shard", F.expr(f"CAST(place * {shards} DIV total AS INT)"))
+    cut = with_places(keyed, order).withColumn("shard", F.expr(f"CAST(place * {shards} DIV total AS INT)"))
     return cut.select("doc_id", "size", "text_crc32", "curve", "place", "shard", F.expr(f"place - (shard * total + {shards - 1}) DIV {shards}").alias("slot"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftloom.llm import bpe, decontaminate, ftrl, hilbert, jaccard_join, nbsvm, quality_rules, secret_scan
+from driftloom.llm import bpe, decontaminate, ftrl, hilbert, jaccard_join, licences, nbsvm, quality_rules, quotations, secret_scan
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -82,6 +82,24 @@ def op4_quality(spark: SparkSession, sf: str) -> DataFrame:
     return scored(nbsvm.with_quality(docs, table(spark, sf, "labels")), "quality_score", 0.7)
 
 
+def op6_quotations(spark: SparkSession, sf: str) -> DataFrame:
+    """Every message without its quotes, with what it replies to and its place in the order of reply."""
+    found = quotations.conversations(table(spark, sf, "conversations"))
+    return found.select("conv_id", "turn", "role", "parent_turn", "root_turn", "depth", "position", "n_quotes", "text")
+
+
+def op7_licences(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's licence notices: how many, which, and the closest match."""
+    found = licences.with_licences(table(spark, sf, "documents").select("doc_id", "text"))
+    dice = F.transform("licences", lambda m: 2.0 * m.common / (m.size + m.template_size))
+    return found.select(
+        "doc_id",
+        F.size("licences").cast("long").alias("n_matches"),
+        F.array_join(F.array_distinct(F.transform("licences", lambda m: m.licence)), ",").alias("licences"),
+        F.round(F.coalesce(F.array_max(dice), F.lit(0.0)), 6).alias("best_dice"),
+    )
+
+
 def op9_hilbert(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's shard and place in it, by the law of equal numbers of rows."""
     placed = hilbert.assign(table(spark, sf, "documents"))
@@ -90,5 +108,5 @@ def op9_hilbert(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_quality_rules": op2_quality_rules, "op3_secret_scan": op3_secret_scan, "op4_quality": op4_quality, "op5_jaccard_join": op5_jaccard_join, "op8_decontaminate": op8_decontaminate, "op9_hilbert": op9_hilbert, "op10_toxicity": op10_toxicity}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op1_bpe": op1_bpe, "op2_quality_rules": op2_quality_rules, "op3_secret_scan": op3_secret_scan, "op4_quality": op4_quality, "op5_jaccard_join": op5_jaccard_join, "op6_quotations": op6_quotations, "op7_licences": op7_licences, "op8_decontaminate": op8_decontaminate, "op9_hilbert": op9_hilbert, "op10_toxicity": op10_toxicity}
+ORACLES = {"op7_licences": licences.oracle_sql()}
