@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftloom.llm import bpe, decontaminate, ftrl, jaccard_join, secret_scan
+from driftloom.llm.meeting import unused
 from driftloom.session import shared_folder
 
 #: Documents at this toxicity or more are rejected.
@@ -19,8 +20,9 @@ TOXIC = 0.3
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the classifier calls toxic."""
-    scored = ftrl.with_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "_toxicity")
-    return scored.filter(F.col("_toxicity") < TOXIC).select(*docs.columns)
+    name = unused(docs.columns, "toxicity")
+    scored = ftrl.with_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), name)
+    return scored.filter(F.col(name) < TOXIC).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +36,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that hold a benchmark item."""
-    found = decontaminate.with_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "_leaks")
-    return found.filter(F.size("_leaks") == 0).select(*docs.columns)
+    name = unused(docs.columns, "leaks")
+    found = decontaminate.with_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), name)
+    return found.filter(F.size(name) == 0).select(*docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

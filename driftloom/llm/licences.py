@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftloom.functions.let import let
+from driftloom.llm.meeting import unused
 from driftloom.operators.once import with_once
 
 # Fixed texts: notices by which works name their licence.
@@ -82,8 +83,9 @@ def with_licences(docs: DataFrame, templates: dict[str, str] = TEMPLATES, tenths
     fitting = F.filter(passages, lambda w: (F.size(w) > least) & (F.size(w) > 1))
     grams = F.filter(F.transform(fitting, bigrams), lambda g: F.size(g).between(least, most))
     kept = [c for c in docs.columns if c != column]
-    rows = with_once(docs.select(*kept), "_grams", grams)
-    found = F.array_sort(F.flatten(F.transform("_grams", against))) if known else F.array()
+    own = unused(docs.columns, "_grams")
+    rows = with_once(docs.select(*kept), own, grams)
+    found = F.array_sort(F.flatten(F.transform(own, against))) if known else F.array()
     return rows.select(*kept, found.alias(column))
 
 

@@ -1,4 +1,4 @@
-"""Wide rows meet a narrow table of keys."""
+"""Wide rows meet a narrow table of keys; names that clash with none."""
 
 from __future__ import annotations
 
@@ -14,3 +14,11 @@ def meet(docs: DataFrame, narrow: DataFrame, key: str, how: str = "inner", most:
     rows meet them in a shuffle, hashed on the narrow side so that texts are not sorted."""
     small = narrow.limit(most + 1).count() <= most
     return docs.join(F.broadcast(narrow) if small else narrow.hint("shuffle_hash"), key, how)
+
+
+def unused(columns: list[str], name: str) -> str:
+    """``name``, made longer until no column has it (in any case of letters)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -35,11 +35,11 @@ RISK, DOUBT, STEPS = 0.05, 0.05, 200
 STRATA = (100, 400)
 
 RULES = {
-    "symbols": "n_symbols / word_chars",
-    "capitals": "n_capitals / word_chars",
-    "marks": "n_marks / word_chars",
-    "lines": "n_dup_lines / n_lines",
-    "repeats": "n_repeat_words / n_words",
+    "symbols": "n_symbols / nullif(word_chars, 0)",
+    "capitals": "n_capitals / nullif(word_chars, 0)",
+    "marks": "n_marks / nullif(word_chars, 0)",
+    "lines": "n_dup_lines / nullif(n_lines, 0)",
+    "repeats": "n_repeat_words / nullif(n_words, 0)",
 }
 
 SPACE = r"[\x20\x09-\x0D]"

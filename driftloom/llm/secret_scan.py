@@ -164,13 +164,13 @@ def redacted(docs: DataFrame, text: str = "text", length: str = "n_chars") -> Da
     The class table is read off a first scan. The second finds the spans beside the text, so texts are never joined or shuffled.
     """
     table = class_levels(reliable_checkpoint(scan(docs, [], text).select("runs")))
-    held = scan(docs, docs.columns, text)
+    packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_given"))
     spans_of = F.array_sort(F.concat("assign", "access", "hex", accepted(table)))
-    done = with_once(held, "clean", masked(F.col(text), spans_of))
-    new = {text: F.col("clean")}
+    done = with_once(scan(packed, ["_row"], "_given"), "_clean", masked(F.col("_row")[text], spans_of))
+    new = {text: F.col("_clean")}
     if length in docs.columns:
-        new[length] = F.when(F.size(spans_of) > 0, F.length("clean")).otherwise(F.col(length)).cast(docs.schema[length].dataType)
-    return done.select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns))
+        new[length] = F.when(F.size(spans_of) > 0, F.length("_clean")).otherwise(F.col("_row")[length]).cast(docs.schema[length].dataType)
+    return done.select(*(new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns))
 
 
 def listed(*kinds: str) -> Column:
