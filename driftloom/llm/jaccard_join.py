@@ -29,7 +29,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftloom.llm import words
@@ -43,6 +43,9 @@ SHINGLE, K = 5, 2
 #: So there are at most ``mean set size * FREQUENT`` frequent shingles, whatever the size of the corpus.
 BATCH_LEAST, FREQUENT = 4, 2000
 
+#: The share of hashes below which a large set lists all its shingles: some more than its first quarter.
+CUT = 0.3
+
 #: The parts of a frequent shingle's list.
 SALTS = 64
 
@@ -126,9 +129,10 @@ def boundary(sizes: Counter, scan: float) -> int:
 
 
 def entries_of(docs: DataFrame, shared, x: int) -> DataFrame:
-    """(token, salt, class, n) per list entry. The lowest bit of a token tells a subset of K shingles from one shingle; the salt cuts
-    the lists of frequent shingles in parts, and is 0 for all others. ``shared``: a broadcast of the frequent shingles, sorted, and
-    their counts."""
+    """(token, salt, class, n, q) per list entry. The lowest bit of a token tells a subset of K shingles from one shingle; the salt cuts
+    the lists of frequent shingles in parts, and is 0 for all others. ``q`` counts the shingles below the cut, frequent ones aside; it is
+    0 for subsets. ``shared``: a broadcast of the frequent shingles, sorted, and their counts."""
+    cut = np.uint64(int(CUT * 2**64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, weight = shared.value
@@ -150,10 +154,11 @@ def entries_of(docs: DataFrame, shared, x: int) -> DataFrame:
                 if n < x:
                     head = order[: n - needed(n) + K]
                     i, j = np.triu_indices(len(head), 1)
-                    held.append((words.chain(head[i], head[j]) | np.uint64(1), np.where(i >= rare, salt, 0), name, n))
+                    held.append((words.chain(head[i], head[j]) | np.uint64(1), np.where(i >= rare, salt, 0), name, n, 0))
                 if 4 * n >= 3 * x:
-                    head = order[: n - needed(n) + 1]
-                    held.append((head & ~np.uint64(1), np.where(np.arange(len(head)) >= rare, salt, 0), name, n))
+                    q = int(np.searchsorted(order[:rare], cut))
+                    head = order[: max(q, n - needed(n) + 1)]
+                    held.append((head & ~np.uint64(1), np.where(np.arange(len(head)) >= rare, salt, 0), name, n, q))
                 rows += n
                 if rows > 400_000:
                     yield table(held)
@@ -167,12 +172,12 @@ def entries_of(docs: DataFrame, shared, x: int) -> DataFrame:
             [
                 pa.array(np.concatenate([h[0] for h in held]).astype(np.int64)),
                 pa.array(np.concatenate([h[1] for h in held]).astype(np.int32)),
-                *(pa.array(np.repeat(np.array([h[k] for h in held], dtype=kind), count)) for k, kind in ((2, np.int64), (3, np.int32))),
+                *(pa.array(np.repeat(np.array([h[k] for h in held], dtype=kind), count)) for k, kind in ((2, np.int64), (3, np.int32), (4, np.int32))),
             ],
-            ["token", "salt", "class", "n"],
+            ["token", "salt", "class", "n", "q"],
         )
 
-    return docs.select("text").mapInArrow(run, "token long, salt int, class long, n int")
+    return docs.select("text").mapInArrow(run, "token long, salt int, class long, n int, q int")
 
 
 def met(entries: DataFrame) -> DataFrame:
@@ -182,7 +187,26 @@ def met(entries: DataFrame) -> DataFrame:
     """
     own = Window.partitionBy("token", "salt")
     ends = entries.withColumn("low", F.min("class").over(own)).withColumn("high", F.max("class").over(own))
-    return ends.filter("low <> high OR salt > 0").groupBy("token", "salt", "class").agg(F.first("n").alias("n")).drop("salt")
+    return ends.filter("low <> high OR salt > 0").groupBy("token", "salt", "class").agg(F.first("n").alias("n"), F.first("q").alias("q")).drop("salt")
+
+
+def is_subset() -> Column:
+    return F.col("token").bitwiseAND(F.lit(1)) == 1
+
+
+def hopeful(lists: DataFrame, passes: int = 2) -> DataFrame:
+    """The entries of sets that stand in enough lists to link at all, with ``met``, the number of these lists.
+
+    Of n shingles q are below the cut. A partner shares ``needed(n)`` or more, at most n - q of them beyond the cut, so at least
+    ``needed(n) - (n - q)`` stand in lists. A list that keeps one set only is gone, and so the count is taken again.
+    """
+    for _ in range(passes):
+        counts = lists.groupBy("class", "q").agg(F.count("*").alias("met"), F.first("n").alias("n"))
+        kept = counts.filter("q = 0 OR met >= div(3 * n + 3, 4) - n + q").select("class", "q", "met")
+        lists = lists.drop("met").join(kept, ["class", "q"])
+        many = lists.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("token")
+        lists = reliable_checkpoint(lists.join(many, "token", "left_semi").select("token", "class", "n", "q", "met"))
+    return lists
 
 
 def fetch_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -233,13 +257,14 @@ def cross_pairs(lists: DataFrame, x: int) -> DataFrame:
     """All pairs of classes of different components that may link, by size and by what their lists say of the overlap."""
     mixed = lists.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
     lists = lists.join(mixed.select("token"), "token", "left_semi")
-    a = lists.select("token", F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-    b = lists.select("token", F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-    subset = F.col("token").bitwiseAND(F.lit(1)) == 1
-    pairs = a.join(b, "token").filter("a < b AND c_a <> c_b").filter(sized("n_a", "n_b")).filter(subset | (F.greatest("n_a", "n_b") >= x))
-    counted = pairs.groupBy(subset.alias("subset"), "a", "b", "n_a", "n_b").agg(F.count("*").alias("common"))
+    side = lambda x: lists.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("n", "q", "met", "component")), F.col("class").alias(x))
+    pairs = side("a").join(side("b"), "token").filter("a < b AND component_a <> component_b").filter(sized("n_a", "n_b"))
+    # Both write a subset, or one at least is heavy; and what both have in lists can reach the overlap, with all beyond the cut shared.
+    beyond = "least(n_a - q_a, n_b - q_b)"
+    pairs = pairs.filter(is_subset() | ((F.greatest("n_a", "n_b") >= x) & F.expr(f"7 * (least(met_a, met_b) + {beyond}) >= 3 * (n_a + n_b)")))
+    counted = pairs.groupBy(is_subset().alias("subset"), "a", "b", "n_a", "n_b", "q_a", "q_b").agg(F.count("*").alias("common"))
     # Beyond both prefixes lie at most n - p = needed(n) - 1 shingles of the one that ends first.
-    reach = F.expr("common + div(3 * greatest(n_a, n_b) + 3, 4) - 1")
+    reach = F.expr(f"common + least({beyond}, div(3 * greatest(n_a, n_b) + 3, 4) - 1)")
     return counted.filter(F.col("subset") | (reach * 7 >= F.expr("3 * (n_a + n_b)"))).select("a", "b").distinct()
 
 
@@ -256,7 +281,7 @@ def join(docs: DataFrame, rounds: int = 2, keep: Callable[[DataFrame], DataFrame
     sizes = Counter({r["size"]: r["count"] for r in classes.groupBy(F.least("n", F.lit(256)).alias("size")).count().collect()})
     x = boundary(sizes, scan)
     shared = spark.sparkContext.broadcast((np.array([f[0] for f in frequent], dtype=np.uint64), np.array([f[1] for f in frequent], dtype=np.int64)))
-    lists = keep(met(entries_of(docs, shared, x)))
+    lists = hopeful(keep(met(entries_of(docs, shared, x))))
 
     labels, links = None, spark.createDataFrame([], "a long, b long")
     for last in [False] * rounds + [True]:
