@@ -51,6 +51,7 @@ def sigma(volatility: Column) -> Column:
 
 def selector_safe(selector: Column, strategy: Column) -> Column:
     """XPath selectors that call one of four host functions are refused."""
+    # Fixed pattern.
     calls = selector.rlike(r"(document|system-property|unparsed-entity-uri|generate-id)\s*\(")
     return ~((strategy == "xpath") & F.coalesce(calls, F.lit(False)))
 

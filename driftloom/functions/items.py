@@ -6,9 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed patterns.
-PRICE = r"([$₹€£¥]\s*[0-9,]+\.?[0-9]*)"
-RATING = r"(?i)([0-5]\.[0-9])\s*(?:out of 5 stars|stars|\/5)"
-COUNT = r"(?i)([0-9,]+)\s*(?:customer reviews?|reviews?|ratings?)"
+PRICE = r"([$₹€£¥]\s*[\d,]+\.?\d*)"
+RATING = r"(?i)([0-5]\.\d)\s*(?:out of 5 stars|stars|\/5)"
+COUNT = r"(?i)([\d,]+)\s*(?:customer reviews?|reviews?|ratings?)"
 
 
 def _first(s: Column, pattern: str) -> Column:

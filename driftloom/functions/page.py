@@ -128,6 +128,22 @@ def selector_pattern(selector: Column, strategy: Column) -> Column:
     return F.when((strategy == "css") & tag.isin(*FLAT_TAGS), pattern)
 
 
+def plain(html: Column) -> Column:
+    """Whether a pattern reads the page as a parser does: no ``>`` inside a quoted attribute, no raw-text element but scripts and
+    styles, and each start tag of an element that patterns look for has its end tag behind it."""
+    quoted = html.rlike(r"""(?s)<[a-zA-Z][^<>"']*(?:"[^"<>]*"[^<>"']*|'[^'<>]*'[^<>"']*)*(?:"[^"]*[<>]|'[^']*[<>])""")
+    raw = html.rlike(r"(?i)<(?:textarea|iframe|xmp|noembed|noframes|noscript|template|plaintext|svg|math|select)\b|<!\[CDATA")
+    tags = "|".join(FLAT_TAGS)
+    rest = F.regexp_replace(without_code(html), rf"(?is)<({tags})(?=[\s/>])[^>]*>.*?</\1\s*>", "")
+    return ~quoted & ~raw & ~rest.rlike(rf"(?i)</?(?:{tags})(?=[\s/>])")
+
+
+def failed_node(error: str) -> Column:
+    """A node as ``select_nodes`` gives it where there is nothing to find."""
+    none = F.lit(None).cast("string")
+    return F.struct(none.alias("tag"), none.alias("value"), none.alias("href"), F.lit(error).alias("error"))
+
+
 def without_code(html: Column) -> Column:
     """Comments, scripts and styles blanked, so tags quoted inside them cannot match."""
     return F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>", "")

@@ -21,6 +21,7 @@ INJECTION = {
 # Fixed list of subtrees that never carry data.
 EXECUTABLE_TAGS = ("script", "style", "iframe", "noscript", "object", "embed", "svg")
 
+# Fixed fence and patterns.
 FENCE = "untrusted_scraped_content"
 SECRET = r"((?:token|key|authorization|api_key|password|secret)[^=]*)=([^&\s]+)"
 SECRET_LENIENT = r"((?:token|key|authorization|api_key|password|secret)[^=]*?)\s*=\s*[\"']?([^&\s\"']+)[\"']?"

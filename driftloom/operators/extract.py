@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftloom.functions import page, text
+from driftloom.operators.once import with_once
 from driftloom.operators.sized import join_small
 
 MAX_PAGE_BYTES = 50 * 1024 * 1024
@@ -51,20 +52,20 @@ def hits(html: Column, wanted: Column, parse: Column | None = None) -> Column:
 def extract_fields(pages: DataFrame, fields: DataFrame, engine: str = "auto") -> DataFrame:
     """First match per page and field, text trimmed.
 
-    ``engine``: ``parser`` parses every page, ``auto`` only pages of domains with a selector
-    that no exact pattern covers, ``native`` leaves such selectors out.
+    ``engine``: ``parser`` parses every page; ``auto`` parses the pages of domains with a selector that no exact pattern covers, and
+    all pages whose markup a pattern could misread, so both give the same rows. A page too large to handle is not read: each of its
+    fields gets an error row.
     """
-    if engine == "native":
-        native = page.selector_pattern(F.col("selector"), F.col("strategy")).isNotNull()
-        fields = fields.where(native)
-    wide = pages.where(~oversize(F.octet_length("html"))).select("page_id", "url", "domain", "html")
+    wide = pages.select("page_id", "url", "domain", "html", oversize(F.octet_length("html")).alias("_large"))
     joined = join_small(wide, bundle_fields(fields), ["domain"])
+    html = F.when(~F.col("_large"), F.col("html"))
     if engine == "parser":
-        nodes = hits(F.col("html"), F.col("wanted"))
-    elif engine == "native":
-        nodes = page.native_nodes(page.without_code(F.col("html")), F.col("wanted"))
+        nodes = hits(html, F.col("wanted"))
     else:
-        nodes = hits(F.col("html"), F.col("wanted"), F.col("parse"))
+        joined = with_once(joined, "_parse", F.col("parse") | ~F.coalesce(page.plain(html), F.lit(True)))
+        nodes = hits(html, F.col("wanted"), F.col("_parse"))
+    refused = F.transform("wanted", lambda w: page.failed_node("response_too_large"))
+    nodes = F.when(F.col("_large"), refused).otherwise(nodes)
     pairs = joined.select(
         "page_id", F.col("url").alias("page_url"), "domain", F.arrays_zip("wanted", nodes.alias("node")).alias("_pairs")
     )

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from driftloom.operators.chunks import running
+
 LKG_KEYS = ["domain", "field_name"]
 LKG_SIZE = 5
 
@@ -44,7 +46,7 @@ def lkg_latest(snapshots: DataFrame, order: list[str] | None = None) -> DataFram
 
 
 def lkg_history(snapshots: DataFrame, domain: str, field: str, limit: int = LKG_SIZE) -> DataFrame:
-    """One field's samples, newest first."""
+    """One field's samples, newest first. For many fields at once, ``lkg_window`` of the samples that semi-join them."""
     one = (F.col("domain") == domain) & (F.col("field_name") == field)
     return snapshots.where(one).orderBy(F.desc("snapshot_at"), F.desc("snapshot_id")).limit(limit)
 
@@ -56,21 +58,23 @@ def lkg_rollback(snapshots: DataFrame, steps: int = 1, n: int = LKG_SIZE, order:
 
 
 def lkg_as_of(moments: DataFrame, snapshots: DataFrame, at: str, key: str, snapshot_order: list[str] | None = None) -> DataFrame:
-    """For each moment (unique ``key``) the newest sample of its field at or before ``at``.
+    """For each moment the newest sample of its field at or before ``at``, over the whole history.
 
-    Only the evicted window of samples is joined, so a moment meets at most ``LKG_SIZE`` rows.
+    Moments and samples are one timeline per field. A running maximum over it carries the newest sample forward in time chunks, so no
+    moment is multiplied and a hot field is spread over its chunks. A moment without time or field has no sample.
     """
     order = snapshot_order or ["snapshot_at", "snapshot_id"]
-    samples = snapshots.select(*LKG_KEYS, F.struct(*[c for c in snapshots.columns if c not in LKG_KEYS]).alias("_s"))
-    older = F.col("_s")[order[0]] <= F.col(at)
-    rest = [c for c in moments.columns if c != key]
-    pick = F.max_by(F.when(older, F.col("_s")), F.when(older, F.struct(*[F.col("_s")[c] for c in order])))
-    return (
-        moments.join(samples, LKG_KEYS, "left")
-        .groupBy(key)
-        .agg(F.first(F.struct(*rest)).alias("_m"), pick.alias("lkg"))
-        .select(key, "_m.*", "lkg")
-    )
+    sample = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.struct(*[c for c in snapshots.columns if c not in LKG_KEYS]).alias("_s"))
+    moment = F.struct(*[c for c in moments.columns if c not in LKG_KEYS])
+    events = snapshots.select(*LKG_KEYS, F.col(order[0]).alias("_at"), F.lit(0).alias("_kind"), sample.alias("_sample"))
+    waiting = moments.select(*LKG_KEYS, F.col(at).alias("_at"), F.lit(1).alias("_kind"), moment.alias("_moment"))
+    timeline = events.unionByName(waiting, allowMissingColumns=True)
+    sound = F.col("_at").isNotNull() & F.col(LKG_KEYS[0]).isNotNull() & F.col(LKG_KEYS[1]).isNotNull()
+    found = running(timeline.where(sound), LKG_KEYS, "_at", ["_at", "_kind"], maxes={"_newest": F.col("_sample")}).where("_kind = 1")
+    lost = timeline.where("_kind = 1").where(~sound).withColumn("_newest", F.lit(None).cast(timeline.schema["_sample"].dataType))
+    rows = found.select(*LKG_KEYS, "_moment", "_newest").unionByName(lost.select(*LKG_KEYS, "_moment", "_newest"))
+    out = rows.select(*LKG_KEYS, "_moment.*", F.col("_newest._s").alias("lkg"))
+    return out.select(key, *[c for c in moments.columns if c != key], "lkg")
 
 
 def registry_current(config: DataFrame, reloads: DataFrame) -> DataFrame:

@@ -116,7 +116,9 @@ def extract_fields_parsed(spark, sf):
 
 @query
 def extract_fields_native(spark, sf):
-    return extract.extract_fields(inputs.pages(spark, sf), inputs.fields(spark, sf), "native").select(EXTRACTED)
+    """The fields whose selectors need no parse, as a configuration of their own."""
+    simple = inputs.fields(spark, sf).where(page.selector_pattern(F.col("selector"), F.col("strategy")).isNotNull())
+    return extract.extract_fields(inputs.pages(spark, sf), simple).select(EXTRACTED)
 
 
 @query
@@ -494,8 +496,8 @@ def lkg_rollback(spark, sf):
 @query
 def lkg_history(spark, sf):
     rows = inputs.snapshots(spark, sf)
-    first_domain = rows.agg(F.min("domain")).first()[0]
-    return latest.lkg_history(rows, first_domain, "page_title", 3).select(SAMPLE)
+    first = rows.agg(F.min("domain").alias("domain"))  # one row
+    return latest.lkg_window(rows.join(F.broadcast(first), "domain"), 3).select(SAMPLE)
 
 
 @query
@@ -504,8 +506,7 @@ def lkg_as_of(spark, sf):
     moments = inputs.pages(spark, sf).select(
         "page_id", "domain", F.lit("page_title").alias("field_name"), inputs.fetched_at(F.col("page_id")).alias("failed_at")
     )
-    window = latest.lkg_window(inputs.snapshots(spark, sf))
-    out = latest.lkg_as_of(moments, window, "failed_at", "page_id")
+    out = latest.lkg_as_of(moments, inputs.snapshots(spark, sf), "failed_at", "page_id")
     return out.select("page_id", "domain", F.col("lkg.snapshot_id").alias("snapshot_id"))
 
 
@@ -1177,3 +1178,19 @@ def site_run(spark, sf):
         "page_id", "domain", "success", "error", m["title"].alias("title"), m["first_link"].alias("first_link"),
         F.array_join("quarantined_fields", ",").alias("quarantined_fields"),
     )
+
+
+@query
+def sample_json_round_trip(spark, sf):
+    """Sample values through their storable JSON form and back."""
+    docs = inputs.table(spark, sf, "documents")
+    return docs.select("doc_id", ids.sample_from_json(ids.sample_to_json(F.col("text"))).alias("value"))
+
+
+@query
+def quarantine_with_snapshot(spark, sf):
+    """Quarantined records beside the stored page they were read from; every third page was not stored."""
+    pages = inputs.pages(spark, sf)
+    records = pages.where("page_id % 2 = 0").select("page_id", F.col("page_id").alias("snapshot_id"), "domain")
+    stored = pages.where("page_id % 3 <> 0").select(F.col("page_id").alias("snapshot_id"), F.col("url").alias("content"))
+    return quarantine.with_content(records, stored).select("page_id", "domain", "content")

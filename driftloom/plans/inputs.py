@@ -17,12 +17,14 @@ from driftloom.sources import tables
 
 @lru_cache
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return tables.read_spread(spark, f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    cores = spark.conf.get("spark.driftloom.spreadTables", None)
+    return df.repartition(int(cores)) if cores else df
 
 
 @lru_cache
 def pages(spark: SparkSession, sf: str) -> DataFrame:
-    return tables.read_pages(spark, f"{sf}/pages.parquet")
+    return tables.with_domain(table(spark, sf, "pages"))
 
 
 @lru_cache

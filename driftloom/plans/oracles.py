@@ -312,7 +312,7 @@ ORACLES["lkg_rollback"] = f"{EXTRACTIONS}, {SAMPLES} {_S} WHERE age = 3"
 ORACLES["lkg_history"] = f"{EXTRACTIONS}, {SAMPLES} {_S} WHERE domain = (SELECT min(domain) FROM s) AND age <= 3"
 ORACLES["lkg_as_of"] = f"""
 {EXTRACTIONS}, {SAMPLES} SELECT p.page_id, p.domain, max(sr.snapshot_id) AS snapshot_id FROM p
-LEFT JOIN sr ON sr.domain = p.domain AND age <= 5 AND sr.snapshot_id <= p.page_id GROUP BY ALL"""
+LEFT JOIN sr ON sr.domain = p.domain AND sr.snapshot_id <= p.page_id GROUP BY ALL"""
 REGISTRY = f"""
 {EXTRACTIONS}, cfg AS (SELECT DISTINCT domain, field_name, selector_used AS selector, strategy FROM x),
 rel AS (SELECT domain, 'title' AS field_name, 'h1.v' || page_id AS selector, 'css' AS strategy, page_id AS seq FROM p WHERE page_id % 4 = 0),
@@ -687,3 +687,7 @@ SELECT fi.page_id, fi.domain, fi.error IS NULL AS success, fi.error, CASE WHEN g
   CASE WHEN gate IS NULL THEN first_link END AS first_link, CASE WHEN gate IS NULL THEN quarantined_fields END AS quarantined_fields
 FROM fi LEFT JOIN an ON an.page_id = fi.page_id"""
 ORACLES["site_run"] = _SITE.replace("WITH p AS", "WITH RECURSIVE p AS", 1)
+
+ORACLES["sample_json_round_trip"] = "SELECT doc_id, text AS value FROM documents"
+ORACLES["quarantine_with_snapshot"] = f"""
+{EXTRACTIONS} SELECT p.page_id, p.domain, CASE WHEN p.page_id % 3 <> 0 THEN p.url END AS content FROM p WHERE p.page_id % 2 = 0"""

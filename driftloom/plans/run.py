@@ -43,7 +43,7 @@ class SiteRun:
             self.entry.join(whole, "page_id", "left")
             .join(answers, "page_id", "left")
             .withColumn("error", F.coalesce("error", "_drift"))
-            .select("page_id", "url", "domain", F.col("error").isNull().alias("success"), "error", "fields", "quarantined_fields")
+            .select("page_id", "url", "domain", (F.col("error").isNull() & F.col("fields").isNotNull()).alias("success"), "error", "fields", "quarantined_fields")
         )
 
     def snapshots(self) -> DataFrame:
@@ -121,7 +121,7 @@ def run_site(
     local = verdicts.where("drift_type = 'local'").select("page_id")
     failed = extractions.where("not success").join(local, "page_id", "left_semi")
     proposals = candidates.join(failed.select("page_id", "field_name"), ["page_id", "field_name"], "left_semi")
-    scored = repair.score_candidates(proposals, pages, lkg)
+    scored = repair.score_candidates(proposals, passed, lkg)
     checked = repair.cross_validate(proposals, holdouts, fields)
     decisions = repair.decide(failed, fields, scored, checked, locks, threshold).persist(StorageLevel.MEMORY_AND_DISK)
     return SiteRun(pages, now, entry, extractions, verdicts, decisions, checked)

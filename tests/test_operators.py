@@ -56,7 +56,7 @@ def test_card_heuristics_and_fallback_container(spark):
 def test_native_and_parsed_extraction_agree(spark, sf):
     pages, fields = inputs.pages(spark, "/root/testdata/sf0.01"), inputs.fields(spark, "/root/testdata/sf0.01")
     flat = fields.where("selector in ('h1', 'h2', 'title')")
-    native, parsed = (extract.extract_fields(pages, flat, e) for e in ("native", "parser"))
+    native, parsed = (extract.extract_fields(pages, flat, e) for e in ("auto", "parser"))
     assert native.count() > 0 and native.exceptAll(parsed).isEmpty() and parsed.exceptAll(native).isEmpty()
 
 
@@ -332,3 +332,54 @@ def test_site_run_outputs_fit_together(spark, sf):
     assert run.responses().count() == run.pages.count()
     assert run.global_failures().where("pass_count > 0").isEmpty()
     run.release()
+
+
+HOSTILE = [
+    "<h1>Plain</h1>",
+    "<h1>Unclosed",
+    '<h1 title="x>y">Quoted</h1>',
+    "<h1 title='a>b' class=c>Quoted</h1>",
+    "<textarea><h1>no</h1></textarea><h1>real</h1>",
+    "<iframe><h1>no</h1></iframe><h1>real</h1>",
+    "<!-- <h1>no</h1> --><h1 class=\"k\">real &amp; true</h1>",
+    "<script>'<h1>no</h1>'</script><h1>real</h1>",
+    "<h2>other</h2></h1><h1>x",
+    "<template><h1>no</h1></template><h1>real</h1>",
+    '<p title="<h1>no</h1>">t</p><h1>real</h1>',
+    "",
+]
+
+
+def _hostile(spark):
+    pages = spark.createDataFrame([(i, f"https://d.com/{i}", "d.com", h) for i, h in enumerate(HOSTILE)], "page_id long, url string, domain string, html string")
+    h1 = spark.createDataFrame([("d.com", 0, "title", "h1", "css", "string", "low", True)], "domain string, position int, name string, selector string, strategy string, field_type string, volatility string, required boolean")
+    return pages, h1
+
+
+def test_engines_agree_on_hostile_pages(spark):
+    pages, h1 = _hostile(spark)
+    rows = lambda engine: sorted((r["page_id"], r["value"], r["error"]) for r in extract.extract_fields(pages, h1, engine).collect())
+    assert [tuple(map(str, r)) for r in rows("auto")] == [tuple(map(str, r)) for r in rows("parser")] and len(rows("auto")) == len(HOSTILE)
+
+
+def test_what_stands_beside_a_field_does_not_change_it(spark):
+    pages, h1 = _hostile(spark)
+    beside = h1.union(h1.selectExpr("domain", "1", "'zz'", "'.zz p'", "strategy", "field_type", "volatility", "required"))
+    alone, both = (extract.extract_fields(pages, f).where("field_name = 'title'").select("page_id", "value", "error") for f in (h1, beside))
+    assert alone.exceptAll(both).isEmpty() and both.exceptAll(alone).isEmpty()
+
+
+def test_oversize_pages_get_error_rows(spark, monkeypatch):
+    monkeypatch.setattr(extract, "MAX_PAGE_BYTES", 30)
+    pages, h1 = _hostile(spark)
+    rows = {r["page_id"]: r for r in extract.extract_fields(pages, h1).collect()}
+    assert len(rows) == len(HOSTILE)
+    assert all((rows[i]["error"] == "response_too_large") == (len(h) > 30) and rows[i]["success"] <= (len(h) <= 30) for i, h in enumerate(HOSTILE))
+
+
+def test_lkg_as_of_reads_the_whole_history(spark):
+    at = lambda m: f"2024-01-01 {m // 60:02d}:{m % 60:02d}:00"
+    samples = spark.createDataFrame([("d", "f", at(m), m) for m in range(0, 600, 10)], "domain string, field_name string, snapshot_at string, snapshot_id long").withColumn("snapshot_at", F.col("snapshot_at").cast("timestamp"))
+    moments = spark.createDataFrame([(m, "d", "f", at(m)) for m in range(0, 700, 7)] + [(9000, "d", None, at(5)), (9001, "d", "f", None)], "k long, domain string, field_name string, at string").withColumn("at", F.col("at").cast("timestamp"))
+    got = {r["k"]: r["lkg"] and r["lkg"]["snapshot_id"] for r in latest.lkg_as_of(moments, samples, "at", "k").collect()}
+    assert got == {m: min(m // 10 * 10, 590) for m in range(0, 700, 7)} | {9000: None, 9001: None}
