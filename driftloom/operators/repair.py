@@ -63,11 +63,14 @@ def cross_validate(candidates: DataFrame, holdouts: DataFrame, fields: DataFrame
     typed = proposals.join(
         fields.select("domain", F.col("name").alias("field_name"), "field_type", "required"), FIELD_KEYS, "left"
     )
-    tried = typed.join(holdouts.select("domain", F.col("url").alias("_url"), "html"), "domain", "left")
-    wanted = F.array(F.struct("selector", "strategy"))
-    value = F.get(page.select_nodes("html", wanted), F.lit(0))["value"]
-    checked = tried.select(
-        *SELECTOR_KEYS, "field_type", "required", "_url", F.col("html").isNotNull().alias("_loaded"), value.alias("_v")
+    # A domain's proposals are configuration: bundled, they meet each page once, and a page is parsed once for all of them.
+    bundle = typed.groupBy("domain").agg(F.collect_list(F.struct(*[c for c in typed.columns if c != "domain"])).alias("_proposals"))
+    tried = join_small(holdouts.select("domain", F.col("url").alias("_url"), "html"), bundle, ["domain"])
+    wanted = F.transform("_proposals", lambda p: F.struct(p["selector"].alias("selector"), p["strategy"].alias("strategy")))
+    nodes = F.coalesce(page.select_nodes("html", wanted), F.transform("_proposals", lambda p: page.failed_node("not_loaded")))
+    answers = tried.select("domain", "_url", F.col("html").isNotNull().alias("_loaded"), F.explode_outer(F.arrays_zip("_proposals", nodes.alias("_node"))).alias("_z"))
+    checked = answers.select("domain", "_z._proposals.*", "_url", "_loaded", F.col("_z._node.value").alias("_v")).unionByName(
+        typed.withColumns({"_url": F.lit(None).cast("string"), "_loaded": F.lit(False), "_v": F.lit(None).cast("string")})
     )
     blank = F.col("_v").isNull() | (F.col("_v") == "")
     ok = ~blank & parsing.type_failure(F.col("_v"), F.coalesce("field_type", F.lit("string")), F.col("required")).isNull()
