@@ -242,11 +242,17 @@ def sized(a: str, b: str):
     return F.expr(f"4 * {a} >= 3 * {b} AND 4 * {b} >= 3 * {a}")
 
 
-def leader_pairs(lists: DataFrame) -> DataFrame:
+def leader_pairs(lists: DataFrame, turn: int) -> DataFrame:
     """For each component the pair of classes that joins it with the leader of the lists it shares most, if these are a third of
-    its prefix at least."""
-    own = lists.groupBy("token", "component").agg(F.min(F.struct("class", "n")).alias("it"))
-    lead = own.groupBy("token").agg(F.min(F.struct("component", "it")).alias("lead"), F.count("*").alias("size")).filter("size > 1")
+    its prefix at least.
+
+    First a list's leader is the class with the largest share of its shingles in lists: among edited copies of a text that is the
+    text itself, or the least edited copy. In later turns it is one by hash, as what did not link with the first needs another.
+    """
+    weight = F.xxhash64("class", F.lit(turn)).cast("double") if turn else F.col("met") / F.greatest("q", F.expr("n - div(3 * n + 3, 4) + 1"))
+    ranked = lists.withColumn("weight", weight)
+    own = ranked.groupBy("token", "component").agg(F.max(F.struct("weight", "class", "n")).alias("it"))
+    lead = own.groupBy("token").agg(F.max(F.struct("it.weight", "component", "it")).alias("lead"), F.count("*").alias("size")).filter("size > 1")
     pairs = own.join(lead, "token").filter("component <> lead.component").filter(sized("it.n", "lead.it.n"))
     votes = pairs.groupBy("component", F.col("it.class").alias("a"), F.col("it.n").alias("n"), F.col("lead.it.class").alias("b")).agg(F.count("*").alias("votes"))
     best = votes.groupBy("component").agg(F.max(F.struct("votes", "a", "b", "n")).alias("best"))
@@ -284,9 +290,9 @@ def join(docs: DataFrame, rounds: int = 2, keep: Callable[[DataFrame], DataFrame
     lists = hopeful(keep(met(entries_of(docs, shared, x))))
 
     labels, links = None, spark.createDataFrame([], "a long, b long")
-    for last in [False] * rounds + [True]:
+    for turn in [*range(rounds), None]:
         named = lists.withColumn("component", F.col("class")) if labels is None else lists.join(labels.toDF("class", "label"), "class", "left").withColumn("component", F.coalesce("label", "class"))
-        pairs = keep(cross_pairs(named, x) if last else leader_pairs(named))
+        pairs = keep(cross_pairs(named, x) if turn is None else leader_pairs(named, turn))
         ids = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct().join(classes, "class").select(F.col("first_id").alias("doc_id")).distinct()
         links = keep(links.union(linked(pairs, keep(fetch_sets(docs, ids)))))
         labels = components(links)
