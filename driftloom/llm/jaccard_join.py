@@ -7,6 +7,9 @@ least, so
 * small (light) sets enumerate the subsets of ``K`` shingles of their first ``n - c + K``: two small sets that link share a subset;
 * large (heavy) sets read the inverted lists of their first ``n - c + 1`` shingles, where every set large enough to be their
   partner stands, and count what they share: a count that can't reach the needed overlap any more ends a pair exactly;
+* a large set also lists every shingle whose hash is below ``CUT``. One that links has some of these in lists (at most the rest can lie
+  beyond the cut), so sets that meet others in too few lists leave, such as a long text with one common passage. Few stay; they are
+  read whole, and one with less than ``c`` of *all* its shingles in lists leaves as well, such as a much edited copy;
 * the size where light ends is the one of least cost: subsets written, against list entries written and met.
 
 What links is found whole: no list, partner or candidate is cut off. Three things keep it from growing with the square of a group:
@@ -209,6 +212,33 @@ def hopeful(lists: DataFrame, passes: int = 2) -> DataFrame:
     return lists
 
 
+def whole_entries(sets: DataFrame, shared) -> DataFrame:
+    """Entries, as ``entries_of`` writes them, of all shingles of the sets given: nothing lies beyond the cut, so q is n."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, _ = shared.value
+        held: list[tuple] = []
+        rows = 0
+        for batch in batches:
+            for name, raw in zip(batch.column("class").to_pylist(), batch.column("shingles")):
+                s = np.frombuffer(raw.as_buffer(), np.uint64)
+                at = np.minimum(np.searchsorted(frequent, s), max(0, len(frequent) - 1))
+                often = frequent[at] == s if len(frequent) else np.zeros(len(s), dtype=bool)
+                held.append((s.astype(np.int64), np.where(often, name % SALTS + 1, 0).astype(np.int32), np.full(len(s), name), np.full(len(s), len(s), dtype=np.int32)))
+                rows += len(s)
+                if rows > 400_000:
+                    yield table(held)
+                    held, rows = [], 0
+        if held:
+            yield table(held)
+
+    def table(held: list[tuple]) -> pa.RecordBatch:
+        columns = [pa.array(np.concatenate(c)) for c in zip(*held)]
+        return pa.RecordBatch.from_arrays([*columns, columns[-1]], ["token", "salt", "class", "n", "q"])
+
+    return sets.mapInArrow(run, "token long, salt int, class long, n int, q int")
+
+
 def fetch_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(class, shingles) of the classes that ``ids`` (doc_id, each once) stand for: only their texts are hashed once more."""
     texts = meet(docs.select("doc_id", "text"), ids, "doc_id", "left_semi").select("text")
@@ -249,7 +279,7 @@ def leader_pairs(lists: DataFrame, turn: int) -> DataFrame:
     First a list's leader is the class with the largest share of its shingles in lists: among edited copies of a text that is the
     text itself, or the least edited copy. In later turns it is one by hash, as what did not link with the first needs another.
     """
-    weight = F.xxhash64("class", F.lit(turn)).cast("double") if turn else F.col("met") / F.greatest("q", F.expr("n - div(3 * n + 3, 4) + 1"))
+    weight = F.xxhash64("class", F.lit(turn)).cast("double") if turn else F.col("met") / F.col("n")
     ranked = lists.withColumn("weight", weight)
     own = ranked.groupBy("token", "component").agg(F.max(F.struct("weight", "class", "n")).alias("it"))
     lead = own.groupBy("token").agg(F.max(F.struct("it.weight", "component", "it")).alias("lead"), F.count("*").alias("size")).filter("size > 1")
@@ -265,12 +295,11 @@ def cross_pairs(lists: DataFrame, x: int) -> DataFrame:
     lists = lists.join(mixed.select("token"), "token", "left_semi")
     side = lambda x: lists.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("n", "q", "met", "component")), F.col("class").alias(x))
     pairs = side("a").join(side("b"), "token").filter("a < b AND component_a <> component_b").filter(sized("n_a", "n_b"))
-    # Both write a subset, or one at least is heavy; and what both have in lists can reach the overlap, with all beyond the cut shared.
-    beyond = "least(n_a - q_a, n_b - q_b)"
-    pairs = pairs.filter(is_subset() | ((F.greatest("n_a", "n_b") >= x) & F.expr(f"7 * (least(met_a, met_b) + {beyond}) >= 3 * (n_a + n_b)")))
+    # What both have in lists, of all their shingles, can reach the overlap; and both write a subset, or one at least is heavy.
+    pairs = pairs.filter(F.expr("7 * least(met_a, met_b) >= 3 * (n_a + n_b)")).filter(is_subset() | (F.greatest("n_a", "n_b") >= x))
     counted = pairs.groupBy(is_subset().alias("subset"), "a", "b", "n_a", "n_b", "q_a", "q_b").agg(F.count("*").alias("common"))
     # Beyond both prefixes lie at most n - p = needed(n) - 1 shingles of the one that ends first.
-    reach = F.expr(f"common + least({beyond}, div(3 * greatest(n_a, n_b) + 3, 4) - 1)")
+    reach = F.expr("common + least(n_a - q_a, n_b - q_b, div(3 * greatest(n_a, n_b) + 3, 4) - 1)")
     return counted.filter(F.col("subset") | (reach * 7 >= F.expr("3 * (n_a + n_b)"))).select("a", "b").distinct()
 
 
@@ -288,13 +317,18 @@ def join(docs: DataFrame, rounds: int = 2, keep: Callable[[DataFrame], DataFrame
     x = boundary(sizes, scan)
     shared = spark.sparkContext.broadcast((np.array([f[0] for f in frequent], dtype=np.uint64), np.array([f[1] for f in frequent], dtype=np.int64)))
     lists = hopeful(keep(met(entries_of(docs, shared, x))))
+    # What is left is few sets. These are read whole: one that links has ``needed(n)`` of all its shingles in lists.
+    ids = lists.select("class").distinct().join(classes, "class").select(F.col("first_id").alias("doc_id")).distinct()
+    sets = keep(fetch_sets(docs, ids))
+    whole = hopeful(met(whole_entries(sets, shared))).groupBy("class").agg(F.first("met").alias("met"))
+    lists = keep(lists.drop("met").join(whole, "class"))
 
     labels, links = None, spark.createDataFrame([], "a long, b long")
     for turn in [*range(rounds), None]:
         named = lists.withColumn("component", F.col("class")) if labels is None else lists.join(labels.toDF("class", "label"), "class", "left").withColumn("component", F.coalesce("label", "class"))
         pairs = keep(cross_pairs(named, x) if turn is None else leader_pairs(named, turn))
-        ids = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct().join(classes, "class").select(F.col("first_id").alias("doc_id")).distinct()
-        links = keep(links.union(linked(pairs, keep(fetch_sets(docs, ids)))))
+        asked = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+        links = keep(links.union(linked(pairs, keep(meet(sets, asked, "class", "left_semi")))))
         labels = components(links)
 
     named = rows.select("doc_id", "n", "class").join(labels.toDF("class", "label"), "class", "left").withColumn("component", F.coalesce("label", "class"))
