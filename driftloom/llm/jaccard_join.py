@@ -197,19 +197,21 @@ def is_subset() -> Column:
     return F.col("token").bitwiseAND(F.lit(1)) == 1
 
 
-def hopeful(lists: DataFrame, passes: int = 2) -> DataFrame:
-    """The entries of sets that stand in enough lists to link at all, with ``met``, the number of these lists.
+def enough(lists: DataFrame) -> DataFrame:
+    """(class, q, met) of the sets that stand in enough lists to link at all; ``met`` is the number of these lists.
 
     Of n shingles q are below the cut. A partner shares ``needed(n)`` or more, at most n - q of them beyond the cut, so at least
-    ``needed(n) - (n - q)`` stand in lists. A list that keeps one set only is gone, and so the count is taken again.
+    ``needed(n) - (n - q)`` stand in lists.
     """
-    for _ in range(passes):
-        counts = lists.groupBy("class", "q").agg(F.count("*").alias("met"), F.first("n").alias("n"))
-        kept = counts.filter("q = 0 OR met >= div(3 * n + 3, 4) - n + q").select("class", "q", "met")
-        lists = lists.drop("met").join(kept, ["class", "q"])
-        many = lists.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("token")
-        lists = reliable_checkpoint(lists.join(many, "token", "left_semi").select("token", "class", "n", "q", "met"))
-    return lists
+    counts = lists.groupBy("class", "q").agg(F.count("*").alias("met"), F.first("n").alias("n"))
+    return counts.filter("q = 0 OR met >= div(3 * n + 3, 4) - n + q").select("class", "q", "met")
+
+
+def hopeful(lists: DataFrame) -> DataFrame:
+    """The entries of such sets, without the lists that then keep one set only."""
+    lists = lists.join(enough(lists).drop("met"), ["class", "q"])
+    many = lists.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("token")
+    return reliable_checkpoint(lists.join(many, "token", "left_semi").select("token", "class", "n", "q"))
 
 
 def whole_entries(sets: DataFrame, shared) -> DataFrame:
@@ -320,8 +322,8 @@ def join(docs: DataFrame, rounds: int = 2, keep: Callable[[DataFrame], DataFrame
     # What is left is few sets. These are read whole: one that links has ``needed(n)`` of all its shingles in lists.
     ids = lists.select("class").distinct().join(classes, "class").select(F.col("first_id").alias("doc_id")).distinct()
     sets = keep(fetch_sets(docs, ids))
-    whole = hopeful(met(whole_entries(sets, shared))).groupBy("class").agg(F.first("met").alias("met"))
-    lists = keep(lists.drop("met").join(whole, "class"))
+    whole = enough(met(whole_entries(sets, shared))).select("class", "met")
+    lists = keep(lists.join(whole, "class"))
 
     labels, links = None, spark.createDataFrame([], "a long, b long")
     for turn in [*range(rounds), None]:
