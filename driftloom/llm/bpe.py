@@ -228,10 +228,14 @@ class Tokenizer:
         return {w: b"".join([ids[p] for p in own]) for w, own in cut.items()}
 
     def split(self, word: str) -> tuple[str, ...]:
-        """The pattern's pieces of a word; letters alone, and letters with a mark after them, are cut without it."""
-        if word[1:].isalpha():
+        """The pattern's pieces of a word; letters alone, and letters with a mark after them, are cut without it.
+
+        Only a space may stand before the letters: the first word of a text can start with an apostrophe and a contraction.
+        """
+        letters = word[1:] if word[:1] == " " else word
+        if letters.isalpha():
             return (word,)
-        if word[-1:] in _LAST and word[1:-1].isalpha():
+        if letters[-1:] in _LAST and letters[:-1].isalpha():
             return (word[:-1], word[-1])
         return tuple(self.pieces.findall(word))
 

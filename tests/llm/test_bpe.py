@@ -19,6 +19,13 @@ def test_ids_and_text_are_the_librarys(text):
     assert KNOWN.decode(ids) == LIBRARY.decode(ids, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("start", ["", "<|endoftext|>", " ", "\n", "<|endoftext|> ", "x "])
+@pytest.mark.parametrize("word", ["'very", "'red", "'ment", "'stop", "'then", "'llama", "'dear", "'very,", "'reply.", "'", "'s", "1abc", "(abc,", "\u00e9t\u00e9", "_x"])
+def test_first_words_that_start_with_no_letter(start, word):
+    for text in (start + word, start + word + " and more", start + word + start + word):
+        assert KNOWN.encode(text).tolist() == LIBRARY.encode(text, add_special_tokens=False).ids, text
+
+
 def test_lone_and_joint_merges_agree():
     rng = random.Random(1)
     pieces = [bytes(rng.choice(b"theanisr \xc3\xa9") for _ in range(rng.randint(1, 32))) for _ in range(400)]
