@@ -10,7 +10,8 @@ fingerprints are expected 11 bits apart at 0.75, 23 is four standard deviations
 A window that has no shingle of an item of its size can't be similar to one, so only windows with such a shingle are fingerprinted.
 
 Documents are not shuffled; the items are broadcast in blocks of ``BLOCK`` (about), one pass per block, so that a larger benchmark
-means more passes and not more memory.
+means more passes. Shingles are counted once over all items, so neither weights nor leaks depend on the blocks; with each block go
+the counts of the shingles that two or more items hold (16 bytes each), as one in a single item, or in none, weighs log(1 + items).
 
 A-Z are lower-cased; words are runs without white space. A text of fewer words than an item is one window. Null and empty texts
 have no leaks, nor have items without words; repeated rows are judged each; an item id of null is reported as such.
@@ -53,17 +54,20 @@ def shingles(value: np.ndarray) -> np.ndarray:
 
 
 class Items:
-    """A block of benchmark items: weights of shingles, and for each size the fingerprints with their block tables."""
+    """A block of benchmark items: weights of shingles, and for each size the fingerprints with their block tables.
 
-    def __init__(self, rows: list[tuple[int, str]]) -> None:
+    ``total``: the items of all blocks. ``shared``: the shingles that two or more of them hold, in order, and how many hold each.
+    """
+
+    def __init__(self, rows: list[tuple[int, str]], total: int = 0, shared: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint64), np.zeros(0))) -> None:
         own: list[tuple[int, int, np.ndarray]] = []
         for part in words.parts(text for _, text in rows):
             value, ends = words.hash_words(part)
             for a, b in zip([0, *ends[:-1]], ends):
                 own.append((rows[len(own)][0], int(b - a), shingles(value[a:b])))
         own = [x for x in own if x[1]]
-        self.known, counts = np.unique(np.concatenate([np.unique(x[2]) for x in own]), return_counts=True) if own else (np.zeros(0, np.uint64), np.zeros(0))
-        self.weight, self.other = np.log1p(len(own) / np.maximum(counts, 1)), float(np.log1p(len(own)))
+        self.known = np.unique(np.concatenate([x[2] for x in own])) if own else np.zeros(0, np.uint64)
+        self.shared, self.weight, self.other = shared[0], np.log1p(total / shared[1]), float(np.log1p(total))
         self.by_size: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
         sizes_of: dict[int, set[int]] = defaultdict(set)
         for item, size, found in own:
@@ -81,8 +85,10 @@ class Items:
         return at, self.known[at] == found
 
     def weights(self, found: np.ndarray) -> np.ndarray:
-        at, hit = self.known_at(found)
-        return np.where(hit, self.weight[at], self.other)
+        if not len(self.shared):
+            return np.full(len(found), self.other)
+        at = np.minimum(np.searchsorted(self.shared, found), len(self.shared) - 1)
+        return np.where(self.shared[at] == found, self.weight[at], self.other)
 
     def prints_of(self, found: np.ndarray, size: int, starts: np.ndarray | None = None) -> np.ndarray:
         """Fingerprints of the windows of ``size`` shingles."""
@@ -147,24 +153,43 @@ class Items:
                         alike = self.similarity(found[start : start + width], own)
                         if alike >= SIMILARITY and ((size, i) not in best or alike > best[size, i]["similarity"]):
                             best[size, i] = {"item_id": item, "start": start, "n_words": min(size, len(value)), "hamming": distance, "similarity": alike}
-        return sorted(best.values(), key=lambda x: (x["start"], x["item_id"] is None, x["item_id"]))
+        return list(best.values())
+
+
+def shared_shingles(items: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that two or more items hold, in order, and how many items hold each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                value, ends = words.hash_words(part.column("text").to_pylist())
+                own = [np.unique(shingles(value[a:b])) for a, b in zip([0, *ends[:-1]], ends)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64))], ["shingle"])
+
+    counted = items.select("text").mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").toArrow()
+    shingle, n = counted["shingle"].to_numpy().view(np.uint64), counted["n"].to_numpy()
+    order = np.argsort(shingle)
+    return shingle[order], n[order]
 
 
 def with_leaks(docs: DataFrame, benchmark: DataFrame, column: str = "leaks") -> DataFrame:
     """Add an array of the leaks of each document: item_id, first word, words, Hamming distance and similarity of the best window.
     A column of that name is replaced."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long"), "text").filter(F.col("text").isNotNull())
-    blocks = max(1, -(-items.count() // BLOCK))
+    items = benchmark.select(F.col("item_id").cast("long"), "text").filter(F.col("text").rlike(r"[^\x20\x09-\x0d]"))
+    total, shared_by = items.count(), shared_shingles(items)
+    blocks = max(1, -(-total // BLOCK))
     kept = [c for c in docs.columns if c != column]
     leak = "array<struct<item_id:long,start:int,n_words:int,hamming:int,similarity:double>>"
     out, parts = docs.select(*kept), []
     for k in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
-        shared = spark.sparkContext.broadcast(Items([tuple(r) for r in rows]))
+        shared = spark.sparkContext.broadcast(Items([tuple(r) for r in rows], total, shared_by))
         parts.append(f"{column}_{k}_" + "_" * max(map(len, kept)))
         out = out.mapInArrow(finder(shared, out.columns), T.StructType([*out.schema.fields, T.StructField(parts[-1], T._parse_datatype_string(leak))]))
-    return out.select(*kept, F.array_sort(F.array_distinct(F.concat(*parts))).alias(column) if blocks > 1 else F.col(parts[0]).alias(column))
+    # One order whatever the blocks.
+    keyed = F.transform(F.concat(*parts), lambda x: F.struct(x.start.alias("start"), x.item_id.isNull().alias("unnamed"), x.item_id.alias("item_id"), x.n_words.alias("n_words"), x.alias("leak")))
+    return out.select(*kept, F.transform(F.array_sort(keyed), lambda x: x.leak).alias(column))
 
 
 def finder(shared, names: list[str]):

@@ -77,6 +77,30 @@ def test_leaks_in_blocks_and_odd_rows(spark, docs, none, texts, bench, monkeypat
     assert decontaminate.with_leaks(docs, items.limit(0)).filter("size(leaks) > 0").count() == 0
 
 
+def test_leaks_do_not_depend_on_the_blocks(spark, monkeypatch):
+    rng = random.Random(9)
+    vocabulary = [f"v{i}" for i in range(200)]
+    common = [rng.choice(vocabulary) for _ in range(14)]
+    # Half of the items hold a passage in common, two are the same row, and one has no id.
+    items = [(i, " ".join((common if i % 2 else []) + [rng.choice(vocabulary) for _ in range(12 if i % 2 else 26)])) for i in range(40)]
+    items += [items[0], (None, items[1][1]), (40, " \t"), (41, None)]
+    rows = []
+    for i in range(16):
+        passage = rng.choice(items[:40])[1].split()
+        if i % 4:
+            passage[i % 4 - 1] = "changed"
+        rows.append((i, " ".join([*common, "x", *passage, *rng.choices(vocabulary, k=5)])))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    whole = {r.doc_id: r.leaks for r in decontaminate.with_leaks(docs, bench).collect()}
+    known = [(i, t) for i, t in items if t and t.split()]
+    own = [grams(t) for _, t in known]
+    want = {(doc, item) for doc, text in rows for found in [grams(text)] for (item, _), g in zip(known, own) if max(weighted(own, found[k : k + len(g)], g) for k in range(len(found) - len(g) + 1)) >= 0.75}
+    assert {(d, x.item_id) for d, leaks in whole.items() for x in leaks} == want and len(want) > 8
+    for size in (14, 30):
+        monkeypatch.setattr(decontaminate, "BLOCK", size)
+        assert {r.doc_id: r.leaks for r in decontaminate.with_leaks(docs, bench).collect()} == whole, size
+
+
 def test_block_tables_find_every_print_within_the_radius():
     rng = np.random.default_rng(3)
     own = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
