@@ -1,8 +1,10 @@
 """Chat formatting by quotation linking: quotes lead to the messages they come from, and conversations are read in order of reply.
 
 A line's quote level is the number of ``>`` at its start. What a message says itself is its lines of level 0, without the line that
-announces a quote ("... wrote:" before a quoted line). Quoted passages are the lines of each level, alone if they have ``LEAST_WORDS``
-words, and together; own passages likewise. Passages are normalised (lower case, letters and digits only) and hashed; a quote's
+announces a quote ("... wrote:" before a quoted line). Quoted lines of one level that follow each other are a block. Passages of a
+block are its lines, its sentences of ``LEAST_WORDS`` words, its paragraphs and the whole; all blocks of a level together are one
+more. Own passages are lines, sentences, paragraphs and the whole. A line of fewer words equals own lines only, and gives way to
+longer matches. Passages are normalised (lower case, letters and digits only, so wrapping does not matter) and hashed; a quote's
 original is the first message of the conversation that holds the passage as its own. A message replies to the latest original among its
 quotes of the lowest level. Roots and depths follow by pointer jumping, so rounds grow with the logarithm of the longest chain.
 
@@ -19,12 +21,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftloom.llm.meeting import meet
 from driftloom.llm.ordering import with_places
 from driftloom.operators.once import with_once
 from driftloom.session import reliable_checkpoint
 
 LEAST_WORDS = 4
 
+PARAGRAPHS = r"\n[ \t]*\n"
+#: Between sentences: after their last mark, or between paragraphs.
+SENTENCES = r"(?<=[.!?]|[.!?][\"')\]])\s+|(?<=[。！？])|" + PARAGRAPHS
+
 PREFIX = r"^((?:[ \t]{0,3}>)+) ?"
 ANNOUNCES = r"(?i)\bwrote:\s*$"
 
@@ -36,7 +43,7 @@ def normal(text: Column) -> Column:
 
 def parsed(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, role, own, quotes): the text without quotes, and (level, line) of quoted lines."""
-    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\r?\n"), lambda line: F.struct(F.length(F.translate(F.regexp_extract(line, PREFIX, 1), " \t", "")).alias("level"), F.regexp_replace(line, PREFIX, "").alias("line")))
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\r?\n"), lambda line, at: F.struct(F.length(F.translate(F.regexp_extract(line, PREFIX, 1), " \t", "")).alias("level"), F.regexp_replace(line, PREFIX, "").alias("line"), at.alias("at")))
     rows = with_once(messages.select("conv_id", "turn", "role", "text"), "_lines", lines).drop("text")
     after = F.slice("_lines", 2, F.greatest(F.size("_lines"), F.lit(1)))
     said = F.zip_with("_lines", after, lambda a, b: F.when((a.level == 0) & ~(a.line.rlike(ANNOUNCES) & F.coalesce(b.level > 0, F.lit(False))), a.line))
@@ -44,12 +51,16 @@ def parsed(messages: DataFrame) -> DataFrame:
     return rows.select("conv_id", "turn", "role", own.alias("own"), F.filter("_lines", lambda x: x.level > 0).alias("quotes"))
 
 
-def passages(lines: Column) -> Column:
-    """Hashes of the lines long enough and of all lines together; empty ones give none."""
-    each = F.filter(F.transform(lines, normal), lambda p: F.size(F.split(p, " ")) >= LEAST_WORDS)
-    whole = normal(F.array_join(lines, " "))
-    both = F.concat(each, F.when(whole != "", F.array(whole)).otherwise(F.array().cast("array<string>")))
-    return F.array_distinct(F.transform(both, lambda p: F.xxhash64(p)))
+def passages(text: Column, least: int) -> Column:
+    """(hash, long) of a text's lines, paragraphs, sentences of ``least`` words, and whole. Short lines have hashes of their own."""
+    words = lambda p: F.size(F.split(p, " "))
+    cut = lambda pattern: F.transform(F.split(text, pattern), normal)
+    lines = cut("\n")
+    sentences = F.filter(cut(SENTENCES), lambda p: words(p) >= least)
+    whole = F.concat(F.filter(lines, lambda p: words(p) >= LEAST_WORDS), sentences, cut(PARAGRAPHS), F.array(normal(text)))
+    short = F.filter(lines, lambda p: (p != "") & (words(p) < LEAST_WORDS))
+    hashed = F.transform(F.array_distinct(F.filter(whole, lambda p: p != "")), lambda p: F.struct(F.xxhash64(p).alias("hash"), F.lit(True).alias("long")))
+    return F.concat(hashed, F.transform(F.array_distinct(short), lambda p: F.struct(F.xxhash64(p, F.lit("line")).alias("hash"), F.lit(False).alias("long"))))
 
 
 def parents(messages: DataFrame) -> DataFrame:
@@ -57,12 +68,21 @@ def parents(messages: DataFrame) -> DataFrame:
     known = messages.filter("conv_id IS NOT NULL AND turn IS NOT NULL")
     levels = F.array_distinct(F.transform("quotes", lambda q: q.level))
     quoting = known.filter(F.size("quotes") > 0).select("conv_id", "turn", "quotes", F.explode_outer(levels).alias("level"))
-    held = F.transform(F.filter("quotes", lambda q: q.level == F.col("level")), lambda q: q.line)
-    quotes = quoting.select("conv_id", "turn", "level", F.explode_outer(passages(held)).alias("hash")).filter("hash IS NOT NULL")
-    own = known.select("conv_id", "turn", F.explode_outer(passages(F.split("own", "\n"))).alias("hash")).filter("hash IS NOT NULL")
+    held = with_once(quoting, "held", F.filter("quotes", lambda q: q.level == F.col("level")))
+    # A mark stands where a block ends.
+    line = lambda q: F.translate(q.line, "\0", " ")
+    marked = F.transform("held", lambda q, k: F.when((k > 0) & (F.get("held", k - 1).at + 1 != q.at), F.concat(F.lit("\0"), line(q))).otherwise(line(q)))
+    blocks = with_once(held.select("conv_id", "turn", "level", F.array_join(marked, "\n").alias("text")), "blocks", F.split("text", "\n?\0"))
+    together = F.struct(F.xxhash64(normal(F.col("text"))).alias("hash"), F.lit(True).alias("long"))
+    every = F.concat(F.flatten(F.transform("blocks", lambda b: passages(b, LEAST_WORDS))), F.when(normal(F.col("text")) != "", F.array(together)).otherwise(F.array().cast("array<struct<hash:bigint,long:boolean>>")))
+    quotes = blocks.select("conv_id", "turn", "level", F.explode_outer(F.array_distinct(every)).alias("p")).select("conv_id", "turn", "level", "p.*").filter("hash IS NOT NULL")
+    # Own passages matter where somebody quotes.
+    candidates = meet(known.select("conv_id", "turn", "own"), quoting.select("conv_id").distinct(), "conv_id", "left_semi")
+    own = candidates.select("conv_id", "turn", F.explode_outer(passages(F.col("own"), 1)).alias("p")).select("conv_id", "turn", "p.hash").filter("hash IS NOT NULL")
     originals = own.groupBy("conv_id", "hash").agg(F.min("turn").alias("origin"))
     found = quotes.join(originals, ["conv_id", "hash"]).filter("origin < turn")
-    return found.groupBy("conv_id", "turn").agg(F.max(F.struct((-F.col("level")).alias("nearness"), "origin")).alias("best")).select("conv_id", "turn", F.col("best.origin").alias("parent"))
+    best = F.max(F.struct((-F.col("level")).alias("nearness"), "long", "origin")).alias("best")
+    return found.groupBy("conv_id", "turn").agg(best).select("conv_id", "turn", F.col("best.origin").alias("parent"))
 
 
 def roots(links: DataFrame) -> DataFrame:

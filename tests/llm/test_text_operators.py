@@ -208,6 +208,24 @@ def test_quotations(spark):
     assert quotations.conversations(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_short_wrapped_and_mixed_quotes(spark):
+    first = "Dear all,\n\nthe release of the engine is planned for Monday of next week. Please test it until Friday.\n\nWho signs off?\nRegards"
+    second = "I can test the reader tomorrow, but not the writer.\nThanks"
+    third = "Fine with me. Who pays?"
+    quotes = [
+        ("> Who signs off?\nI do.", 0),
+        ("> the release of the engine is planned for\n> Monday of next week. Please test\n> it until Friday.\nOk.", 0),
+        ("> the release of the engine is\n> planned for Monday of next week.\nNo.", 0),
+        ("> Who signs off?\nMe.\n> I can test the reader\n> tomorrow, but not the writer.\nGood.", 1),
+        ("> Who signs off?\nAnn.\n> Thanks\nYou are welcome.", 1),
+        ("> Who pays?\nWe do.", 2),
+        ("> Who signs\nNobody knows.", None),
+    ]
+    rows = [(c, t, "user", x) for c in range(len(quotes)) for t, x in enumerate([first, second, third, quotes[c][0]])]
+    found = {r.conv_id: r.parent_turn for r in quotations.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect() if r.turn == 3}
+    assert found == {c: want for c, (_, want) in enumerate(quotes)}
+
+
 def test_long_chains_of_replies(spark):
     rows = [(1, i, "user", (f"> this is said in turn number {i - 1}\n" if i else "") + f"this is said in turn number {i}") for i in range(40)]
     found = {r.turn: r for r in quotations.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
