@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftloom.llm import bpe, decontaminate, ftrl, hilbert, jaccard_join, licences, nbsvm, quality_rules, quotations, resample, secret_scan
+from driftloom.llm import bpe, decontaminate, ftrl, hilbert, jaccard_join, licences, nbsvm, quality_rules, quotations, resample, secret_scan, suffix_tree, token_alignment
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -108,11 +108,21 @@ def op9_hilbert(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op11_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's groups of tokens between shared cuts, and what the corpus says of their links."""
+    return token_alignment.aligned(table(spark, sf, "documents"))
+
+
+def op12_suffix_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's log10 probability, by words alone and by the suffix tree learnt outside the held-out seventh."""
+    return suffix_tree.scores(table(spark, sf, "documents"))
+
+
 def op13_resample(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's weight and score towards the benchmark texts, and its rank among those drawn."""
     found = resample.resampled(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
     return found.select("doc_id", "n_features", "weight", "score", "rank")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_quality_rules": op2_quality_rules, "op3_secret_scan": op3_secret_scan, "op4_quality": op4_quality, "op5_jaccard_join": op5_jaccard_join, "op6_quotations": op6_quotations, "op7_licences": op7_licences, "op8_decontaminate": op8_decontaminate, "op9_hilbert": op9_hilbert, "op10_toxicity": op10_toxicity, "op13_resample": op13_resample}
+QUERIES = {"op1_bpe": op1_bpe, "op2_quality_rules": op2_quality_rules, "op3_secret_scan": op3_secret_scan, "op4_quality": op4_quality, "op5_jaccard_join": op5_jaccard_join, "op6_quotations": op6_quotations, "op7_licences": op7_licences, "op8_decontaminate": op8_decontaminate, "op9_hilbert": op9_hilbert, "op10_toxicity": op10_toxicity, "op11_token_alignment": op11_token_alignment, "op12_suffix_tree": op12_suffix_tree, "op13_resample": op13_resample}
 ORACLES = {"op7_licences": licences.oracle_sql(), "op13_resample": resample.oracle_sql()}
