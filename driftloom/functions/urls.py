@@ -87,6 +87,40 @@ def ipv4_number(ip: Column) -> Column:
     return F.when(ip.rlike(IPV4) & (F.greatest(*octet) <= 255), number)
 
 
+# One part of a numeric host: hexadecimal, octal or decimal.
+HOST_PART = r"(?:0[xX][0-9a-fA-F]+|0[0-7]*|[1-9][0-9]*)"
+
+
+def ipv4_of_host(host: Column) -> Column:
+    """The IPv4 address that address parsers read from a host: one to four parts, each decimal, octal (``0177``) or hexadecimal
+    (``0x7f``), the last one filling the bytes that are left, as in ``127.1`` or ``2130706433``. Null when it is none: a part that is
+    no number or too large, or a name. One dot may end it."""
+
+    def value(part: Column) -> Column:
+        is_hex = part.rlike("^0[xX]")
+        digits = F.regexp_replace(part, "^0[xX]?0*", "")
+        base = F.when(is_hex, 16).when(F.startswith(part, F.lit("0")), 8).otherwise(10)
+        # Longer digits are beyond 32 bits in every base.
+        number = F.when(is_hex, F.conv(digits, 16, 10)).when(base == 8, F.conv(digits, 8, 10)).otherwise(digits)
+        return F.when(digits == "", F.lit(0)).when(F.length(digits) <= F.when(base == 16, 8).when(base == 8, 11).otherwise(10), number.cast("bigint"))
+
+    def number(parts: Column) -> Column:
+        values = F.transform(parts, value)
+
+        def combined(v: Column) -> Column:
+            size, last = F.size(v), F.element_at(v, -1)
+            leading = F.slice(v, F.lit(1), size - 1)
+            room = F.element_at(F.array(*[F.lit(256**k) for k in (4, 3, 2, 1)]), size)
+            high = F.aggregate(leading, F.lit(0).cast("bigint"), lambda n, x: n * 256 + x)
+            return F.when(F.forall(leading, lambda x: x <= 255) & (last < room), high * room + last)
+
+        return let(values, combined)
+
+    bare = F.regexp_replace(host, r"\.$", "")
+    numeric = bare.rlike(rf"^{HOST_PART}(?:\.{HOST_PART}){{0,3}}$")
+    return F.when(numeric, let(F.split(bare, r"\.", -1), number))
+
+
 def ipv6_hex(ip: Column) -> Column:
     """IPv6 text as 32 hex digits; null when it is not one."""
 
@@ -133,26 +167,37 @@ def _any_range(value: Column, cidrs: tuple[str, ...], as_literal) -> Column:
     return test
 
 
-def is_private_ip(ip: Column) -> Column:
-    """Literal address in a blocked range; anything that is not an address is false."""
+def ipv4_blocked(number: Column) -> Column:
+    return _any_range(number, IPV4_BLOCKED, F.lit) & ~_any_range(number, IPV4_OPEN, F.lit)
 
-    def v4_blocked(number: Column) -> Column:
-        return _any_range(number, IPV4_BLOCKED, F.lit) & ~_any_range(number, IPV4_OPEN, F.lit)
 
+def ipv6_blocked(v6: Column) -> Column:
+    """The same for 32 hex digits."""
 
     def as_hex(n: int) -> Column:
         return F.lit(f"{n:032x}")
 
-    def v6_verdict(v6: Column) -> Column:
-        mapped = F.conv(F.substring(v6, 25, 8), 16, 10).cast("bigint")
-        blocked = _any_range(v6, IPV6_BLOCKED, as_hex) & ~_any_range(v6, IPV6_OPEN, as_hex)
-        return F.when(F.startswith(v6, F.lit("0" * 20 + "ffff")), let(mapped, v4_blocked)).otherwise(blocked)
+    mapped = F.conv(F.substring(v6, 25, 8), 16, 10).cast("bigint")
+    blocked = _any_range(v6, IPV6_BLOCKED, as_hex) & ~_any_range(v6, IPV6_OPEN, as_hex)
+    return F.when(F.startswith(v6, F.lit("0" * 20 + "ffff")), let(mapped, ipv4_blocked)).otherwise(blocked)
 
-    v4_verdict = let(ipv4_number(ip), v4_blocked)
-    verdict = F.when(F.contains(ip, F.lit(":")), let(ipv6_hex(ip), v6_verdict)).otherwise(v4_verdict)
+
+def is_private_ip(ip: Column) -> Column:
+    """Literal address in a blocked range; anything that is not an address is false."""
+    v4_verdict = let(ipv4_number(ip), ipv4_blocked)
+    verdict = F.when(F.contains(ip, F.lit(":")), let(ipv6_hex(ip), ipv6_blocked)).otherwise(v4_verdict)
     return F.coalesce(verdict, F.lit(False))
 
 
+def private_host(host: Column) -> Column:
+    """Whether a host stands for an address in a blocked range, in any form an address parser reads; null for a name.
+
+    A zone (``%eth0``) is no part of an IPv6 address.
+    """
+    v6 = let(ipv6_hex(F.regexp_replace(host, "%.*$", "")), ipv6_blocked)
+    return F.when(F.contains(host, F.lit(":")), v6).otherwise(let(ipv4_of_host(host), ipv4_blocked))
+
+
 def resolve_url(base: Column, href: Column) -> Column:
     """Absolute form of ``href`` seen on ``base``, with ``.`` and ``..`` segments folded."""
     parts = F.struct(

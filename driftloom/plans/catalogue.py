@@ -88,6 +88,35 @@ def cidr_ranges(spark, sf):
     return network.cidr_join(hosts, ranges).select("id", "ip", "label")
 
 
+@query
+def screen_numeric_hosts(spark, sf):
+    """Page ids as addresses, open and private ones, written in nine ways."""
+    base = F.element_at(F.array(*[F.lit(n) for n in (2130706433, 167837953, 134744072, 3232235777, 16843009, 2886729729)]), (F.col("page_id") % 6 + 1).cast("int"))
+    rows = inputs.pages(spark, sf).select("page_id", (base + F.col("page_id") % 200).alias("n"))
+    part = [F.shiftright("n", 8 * k).bitwiseAND(F.lit(255)) for k in (3, 2, 1, 0)]
+    dotted = lambda mark, radix: F.concat_ws(".", *[F.concat(F.lit(mark), F.lower(F.conv(p.cast("string"), 10, radix))) for p in part])
+    whole = lambda radix: F.lower(F.conv(F.col("n").cast("string"), 10, radix))
+    forms = [
+        F.col("n").cast("string"), F.concat(F.lit("0x"), whole(16)), F.concat(F.lit("0"), whole(8)), dotted("0", 8), dotted("0X", 16),
+        F.concat_ws(".", part[0], F.col("n") % (1 << 24)), F.concat_ws(".", part[0], part[1], F.col("n") % (1 << 16)),
+        (F.col("n") + (1 << 32)).cast("string"), F.concat(F.lit("08."), F.col("n") % (1 << 16)),
+    ]
+    rows = rows.select("page_id", F.posexplode_outer(F.array(*forms)).alias("form", "host"))
+    return network.audit_urls(rows.select("page_id", "form", F.concat(F.lit("http://"), "host", F.lit(":8080/p")).alias("url")))
+
+
+@query
+def cidr_prefixes(spark, sf):
+    """Addresses of both kinds in networks of both kinds, of any length."""
+    ev = inputs.events(spark, sf)
+    a, b = F.col("user_id") % 40, F.col("id") % 256
+    v4 = F.concat_ws(".", F.lit("172"), a.cast("string"), b.cast("string"), F.lit("9"))
+    v6 = F.concat(F.lit("2001:db8:"), F.lower(F.hex(a)), F.lit("::"), F.lower(F.hex(b)))
+    networks = ["172.16.0.0/12", "172.30.64.0/18", "::ffff:172.8.0.0/110", "2001:db8:8::/45", "2001:db8:20::/43", "2001:db8::/32", "2001:db8:5::40/122"]
+    ranges = spark.createDataFrame([(c,) for c in networks], "cidr string")
+    return network.cidr_prefix_join(ev.select("id", F.when(F.col("id") % 2 == 0, v4).otherwise(v6).alias("ip")), ranges)
+
+
 @query
 def redirect_audit(spark, sf):
     """Chains of eight pages as redirect hops, some with credentials."""

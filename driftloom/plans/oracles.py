@@ -92,6 +92,24 @@ SELECT id, '172.' || a || '.' || b || '.9' AS ip, label FROM h JOIN (VALUES
   ('172.16.0.0/12', 16, 31, 0, 255), ('172.8.0.0/14', 8, 11, 0, 255), ('172.30.64.0/18', 30, 30, 64, 127)) r(label, lo, hi, blo, bhi)
 ON a BETWEEN lo AND hi AND b BETWEEN blo AND bhi"""
 
+# The verdict follows from the number; the texts are never parsed.
+ORACLES["screen_numeric_hosts"] = """
+WITH t AS (SELECT page_id, [2130706433, 167837953, 134744072, 3232235777, 16843009, 2886729729][page_id % 6 + 1] + page_id % 200 AS n FROM pages),
+o AS (SELECT *, [n >> 24, (n >> 16) & 255, (n >> 8) & 255, n & 255] AS q FROM t),
+f AS (SELECT page_id, n, unnest([n::VARCHAR, '0x' || lower(to_base(n, 16)), '0' || to_base(n, 8),
+    array_to_string(list_transform(q, lambda x: '0' || to_base(x, 8)), '.'), array_to_string(list_transform(q, lambda x: '0X' || lower(to_base(x, 16))), '.'),
+    q[1] || '.' || (n % 16777216), q[1] || '.' || q[2] || '.' || (n % 65536), (n + 4294967296)::VARCHAR, '08.' || (n % 65536)]) AS host,
+  unnest(range(9)) AS form FROM o),
+v AS (SELECT *, CASE WHEN form >= 7 THEN 'unresolved' WHEN page_id % 6 IN (2, 4) THEN 'ok' ELSE 'blocked_ip' END AS verdict FROM f)
+SELECT page_id, form::INTEGER AS form, 'http://' || host || ':8080/p' AS url, verdict, verdict = 'blocked_ip' AS blocked FROM v"""
+
+ORACLES["cidr_prefixes"] = """
+WITH h AS (SELECT event_id AS id, user_id % 40 AS a, event_id % 256 AS b FROM events),
+i AS (SELECT *, CASE WHEN id % 2 = 0 THEN '172.' || a || '.' || b || '.9' ELSE '2001:db8:' || lower(to_base(a, 16)) || '::' || lower(to_base(b, 16)) END AS ip FROM h)
+SELECT id, ip, cidr FROM i JOIN (VALUES ('172.16.0.0/12', 0, 16, 31, 0, 255), ('172.30.64.0/18', 0, 30, 30, 64, 127), ('::ffff:172.8.0.0/110', 0, 8, 11, 0, 255),
+  ('2001:db8:8::/45', 1, 8, 15, 0, 255), ('2001:db8:20::/43', 1, 32, 63, 0, 255), ('2001:db8::/32', 1, 0, 39, 0, 255), ('2001:db8:5::40/122', 1, 5, 5, 64, 127)) r(cidr, odd, lo, hi, blo, bhi)
+ON id % 2 = odd AND a BETWEEN lo AND hi AND b BETWEEN blo AND bhi"""
+
 ORACLES["redirect_audit"] = f"""
 WITH t AS (SELECT page_id // 8 AS chain_id, page_id % 8 AS hop,
     CASE WHEN page_id % 5 = 0 THEN regexp_replace(url, '^(https?://)', '\\1user:pw@') ELSE url END AS url FROM pages),

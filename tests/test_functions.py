@@ -1,4 +1,5 @@
 import ipaddress
+import socket
 from datetime import datetime, timezone
 from urllib.parse import urljoin
 
@@ -221,3 +222,29 @@ def test_unescape_agrees_with_the_standard_library(spark):
 
     s = "&amp;lt; &copy; &#233; &#x1F600; &amp &am; &nope; & x &quot;"
     assert one(spark, page.unescape(V), s) == html.unescape(s)
+
+
+def test_numeric_hosts(spark):
+    """All forms that the C library's address parser reads, and none that it refuses."""
+    hosts = [
+        "0177.0.0.1", "0x7f.0.0.1", "2130706433", "127.1", "127.0.1", "8.8.8.8", "08.8.8.8", "0x7f000001", "017700000001", "1.2.3.256", "256.1.1.1",
+        "1.2.65535", "1.2.65536", "1.16777215", "1.16777216", "4294967295", "4294967296", "9" * 30, "0x", "0x" + "0" * 30 + "7f.1", "0" * 30 + "177.1",
+        "a.b", "example.com", "1..2", ".", "", "0", "00", "1.2.3.4.5", "0x" + "f" * 20, "-1", "0X1F.1", "1.2.3.4x",
+    ]
+
+    def plain(host):
+        try:
+            return int.from_bytes(socket.inet_aton(host), "big")
+        except OSError:
+            return None
+
+    df = spark.createDataFrame([(h,) for h in [*hosts, None]], "v string")
+    got = {r.v: r.n for r in df.select("v", urls.ipv4_of_host(V).alias("n")).collect()}
+    assert got == {h: plain(h) for h in hosts} | {None: None}
+    assert spark.createDataFrame([("127.1.",)], "v string").select(urls.ipv4_of_host(V)).first()[0] == 127 * 2**24 + 1
+
+
+def test_hosts_with_zones_and_names(spark):
+    hosts = {"fe80::1%25eth0": True, "::ffff:10.0.0.1": True, "2606:4700::1": False, "localhost": None, "0x8.8.8.8": False, "0300.0250.1": True, "g::1": None}
+    df = spark.createDataFrame([(h,) for h in hosts], "v string")
+    assert {r.v: r.p for r in df.select("v", urls.private_host(V).alias("p")).collect()} == hosts

@@ -1,5 +1,7 @@
 """Operators on small tables whose answers can be worked out by hand or by a plain loop."""
 
+import ipaddress
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -383,3 +385,32 @@ def test_lkg_as_of_reads_the_whole_history(spark):
     moments = spark.createDataFrame([(m, "d", "f", at(m)) for m in range(0, 700, 7)] + [(9000, "d", None, at(5)), (9001, "d", "f", None)], "k long, domain string, field_name string, at string").withColumn("at", F.col("at").cast("timestamp"))
     got = {r["k"]: r["lkg"] and r["lkg"]["snapshot_id"] for r in latest.lkg_as_of(moments, samples, "at", "k").collect()}
     assert got == {m: min(m // 10 * 10, 590) for m in range(0, 700, 7)} | {9000: None, 9001: None}
+
+
+def test_networks_of_any_length_by_brute_force(spark):
+    rng = random.Random(1)
+    nets = []
+    for _ in range(50):
+        v4 = rng.random() < 0.5
+        start = rng.getrandbits(32) & 0x0F0000FF | 0x0A000000 if v4 else 0x20010DB8 << 96 | rng.getrandbits(20) << rng.choice([0, 60, 76])
+        nets.append(str(ipaddress.ip_network((start, rng.randint(0, 32 if v4 else 128)), strict=False)))
+    ips = []
+    for _ in range(120):
+        n = ipaddress.ip_network(rng.choice(nets))
+        ips.append(str(n[rng.randrange(min(n.num_addresses, 2**60))]))
+    nets += ["bad", "1.2.3.4/33", "::/129", "1.2.3.4", "::1.2.3.4/-1", None]
+    ips += ["1.2.3.4", "1.2.3.4", "x", "::ffff:1.2.3.4", None]
+    want = []
+    for i in ips:
+        for n in nets:
+            try:
+                a, net = ipaddress.ip_address(i), ipaddress.ip_network(n)
+            except ValueError:
+                continue
+            a = getattr(a, "ipv4_mapped", None) or a
+            if a in net or (net.version == 6 and a.version == 4 and ipaddress.ip_address(f"::ffff:{a}") in net):
+                want.append((i, n))
+    hosts = spark.createDataFrame([(i, "x") for i in ips], "ip string, cidr_ string")
+    got = network.cidr_prefix_join(hosts, spark.createDataFrame([(n,) for n in nets], "cidr string"))
+    assert sorted((r.ip, r.cidr) for r in got.collect()) == sorted(want)
+    assert network.cidr_prefix_join(hosts, spark.createDataFrame([], "cidr string")).count() == 0
