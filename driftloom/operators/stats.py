@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from driftloom.operators.chunks import CHUNK_SECONDS, running, with_chunk
+from driftloom.functions import exact
+from driftloom.operators import gate
+from driftloom.operators.chunks import CHUNK_SECONDS, running
 from driftloom.session import reliable_checkpoint
 
 KEYS = ["domain", "field_name", "item_key"]
@@ -15,26 +16,33 @@ MIN_SPREAD = 1e-6
 
 
 def field_stats(values: DataFrame, keys: list[str] = KEYS, value: str = "value", order: list[str] = ("ts", "id")) -> DataFrame:
-    """count, sum, sum of squares and last value per key."""
-    x = F.col(value)
-    return values.where(x.isNotNull()).groupBy(*keys).agg(
-        F.count(x).alias("value_count"),
-        F.sum(x).alias("value_sum"),
-        F.sum(x * x).alias("value_sum_sq"),
-        F.max_by(x, F.struct(*order)).alias("last_value"),
-        F.max(F.struct(*order)).alias("_order"),
-    ).withColumn("updated_at", F.col("_order")[order[0]]).drop("_order")
+    """count, sum, sum of squares and last value per key, and ``totals``, their exact form that ``merge_stats`` adds up.
+
+    The sums do not depend on order or partitions. Values that are no finite number have no statistics.
+    """
+    x = F.col(value).cast("double")
+    columns = F.struct(*keys).alias("key"), x.alias("x"), F.struct(*order).alias("when"), F.lit(1).cast("bigint").alias("n")
+    rows = exact.with_parts(values.where(exact.summable(x)).select(*columns), F.col("x"))
+    found = exact.totals(rows, ["key"], {"x": F.max_by("x", "when"), "when": F.max("when")})
+    return _stats(found, F.col("when")[order[0]])
 
 
 def merge_stats(stored: DataFrame, fresh: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """Stored totals plus those of a new batch."""
+    """Stored totals plus those of a new batch: what ``field_stats`` gives over the rows of both, bit for bit."""
     both = stored.select(fresh.columns).unionByName(fresh)
-    return both.groupBy(*keys).agg(
-        F.sum("value_count").alias("value_count"),
-        F.sum("value_sum").alias("value_sum"),
-        F.sum("value_sum_sq").alias("value_sum_sq"),
-        F.max_by("last_value", "updated_at").alias("last_value"),
-        F.max("updated_at").alias("updated_at"),
+    entries = both.select(F.struct(*keys).alias("key"), F.col("last_value").alias("x"), F.col("updated_at").alias("when"), F.inline("totals"))
+    return _stats(exact.totals(entries, ["key"], {"x": F.max_by("x", "when"), "when": F.max("when")}), F.col("when"))
+
+
+def _stats(found: DataFrame, updated_at: Column) -> DataFrame:
+    return found.select(
+        "key.*",
+        F.col("n").alias("value_count"),
+        exact.read(F.col("totals")).alias("value_sum"),
+        exact.read(F.col("totals"), square=True).alias("value_sum_sq"),
+        F.col("x").alias("last_value"),
+        updated_at.alias("updated_at"),
+        "totals",
     )
 
 
@@ -91,117 +99,33 @@ def gated_zscore(
     ts: str = "ts",
     row_id: str = "id",
     value: str = "value",
-    rows_per_chunk: int = 1_000_000,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Like ``rolling_zscore``, but only values that passed enter the history.
 
-    Each verdict depends on the ones before it. A key of up to ``rows_per_chunk`` values is read
-    in order in one pass. A hotter key is cut into chunks of hours that are judged in parallel:
-    start from the ungated totals, let every chunk report what it accepted, carry those totals
-    forward and repeat until nothing changes. A stable state is the sequential answer: the first
-    chunk is right after one round, and each round extends the right prefix by at least one.
-    Only chunk totals are checkpointed between rounds.
-    """
-    x = F.col(value)
-    rows = with_chunk(
-        values.where(x.isNotNull()).select(*keys, ts, row_id, value, sigma.cast("double").alias("_sigma")), ts
-    ).withColumnRenamed("_chunk", "_hour")
-    before = W.partitionBy(*keys).orderBy("_hour").rowsBetween(W.unboundedPreceding, -1)
-    hours = rows.groupBy(*keys, "_hour").agg(F.count(F.lit(1)).alias("_rows")).select(
-        *keys,
-        "_hour",
-        F.floor(F.coalesce(F.sum("_rows").over(before), F.lit(0)) / rows_per_chunk).alias("_chunk"),
-        F.sum("_rows").over(W.partitionBy(*keys)).alias("_all"),
-    )
-    hot = reliable_checkpoint(hours.where(F.col("_all") > rows_per_chunk).drop("_all"))
-    zero = {"_in_n": F.lit(0.0), "_in_s": F.lit(0.0), "_in_ss": F.lit(0.0)}
-    if hot.isEmpty():
-        one = rows.drop("_hour").withColumns({"_chunk": F.lit(0).cast("bigint"), **zero})
-        return _chunk_verdicts(_in_order(one, keys, ts, row_id), keys, ts, row_id, value)
-    chunked = rows.join(hot, [*keys, "_hour"], "left").drop("_hour")
-    cold = chunked.where(F.col("_chunk").isNull()).withColumns({"_chunk": F.lit(0).cast("bigint"), **zero})
-    hot_rows = chunked.where(F.col("_chunk").isNotNull())
-    carry = _settled_carry(hot_rows, keys, ts, row_id, value)
-    both = hot_rows.join(carry, [*keys, "_chunk"]).unionByName(cold)
-    return _chunk_verdicts(_in_order(both, keys, ts, row_id), keys, ts, row_id, value)
-
-
-def _in_order(rows: DataFrame, keys: list[str], ts: str, row_id: str) -> DataFrame:
-    return rows.repartition(*keys, "_chunk").sortWithinPartitions(*keys, "_chunk", ts, row_id)
-
-
-def _settled_carry(rows: DataFrame, keys: list[str], ts: str, row_id: str, value: str) -> DataFrame:
-    """Totals accepted before each chunk, by rounds over the hot rows."""
-    sums = ["_n", "_s", "_ss"]
-    x = F.col(value)
-    before = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-
-    def carried(totals: DataFrame) -> DataFrame:
-        prior = [F.coalesce(F.sum(c).over(before), F.lit(0.0)).alias("_in" + c) for c in sums]
-        return reliable_checkpoint(totals.select(*keys, "_chunk", *prior))
+    Each verdict depends on the ones before it. Rows are range-partitioned by key and order, so a hot key is spread over as many
+    partitions as its rows fill. What a partition must know of the ones before it is the total that its first key has accepted so
+    far; totals are exact (``functions.exact``), so they add up in any grouping. Partitions that a key fills from end to end start
+    from ungated totals; each reports what it accepted, the totals are carried on, and only partitions whose entry changed are judged again. A
+    state without changes is the sequential answer, bit for bit, for any number of partitions. The driver holds one total per partition.
 
-    ungated = rows.groupBy(*keys, "_chunk").agg(
-        F.count(x).cast("double").alias("_n"), F.sum(x).cast("double").alias("_s"), F.sum(x * x).cast("double").alias("_ss")
-    )
-    carry = carried(ungated)
+    A value that is no finite number is not judged (no zscore, valid) and not counted, a null sigma rejects nothing.
+    """
+    x = F.col(value).cast("double")
+    rows = values.where(x.isNotNull()).select(*keys, ts, row_id, value, F.coalesce(sigma.cast("double"), F.lit(float("inf"))).alias("_sigma"))
+    order = [*keys, ts, row_id]
+    spread = rows.repartitionByRange(*([partitions] if partitions else []), *order)
+    held = reliable_checkpoint(spread.sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
+    reports = {r["part"]: gate.Report.read(r) for r in gate.reported(held, keys, value, {}).collect()}
+    entries = gate.carried(reports)
+    judged: dict = {}
     while True:
-        judged = _in_order(rows.join(carry, [*keys, "_chunk"]), keys, ts, row_id)
-        fresh = carried(_chunk_totals(judged, keys, value))
-        old = carry.select(*keys, "_chunk", *[F.col("_in" + c).alias("_old" + c) for c in sums])
-        moved = F.lit(False)
-        for c in sums:
-            moved = moved | (F.col("_in" + c) != F.col("_old" + c))
-        settled = fresh.join(old, [*keys, "_chunk"]).where(moved).isEmpty()
-        carry = fresh
-        if settled:
-            return carry
-
-
-def _chunk_totals(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    group = [*keys, "_chunk"]
-    schema = rows.select(*group).schema.add("_n", "double").add("_s", "double").add("_ss", "double")
-
-    def fold(batches):
-        current, n, s, ss, start = None, 0.0, 0.0, 0.0, (0.0, 0.0, 0.0)
-        for pdf in batches:
-            out = []
-            columns = zip(*[pdf[c] for c in [*group, value, "_sigma", "_in_n", "_in_s", "_in_ss"]])
-            for *key, v, sg, n0, s0, ss0 in columns:
-                if key != current:
-                    if current is not None:
-                        out.append((*current, n - start[0], s - start[1], ss - start[2]))
-                    current, start = key, (n0, s0, ss0)
-                    n, s, ss = start
-                if gate_step(n, s, ss, v, sg)[1]:
-                    n, s, ss = n + 1, s + v, ss + v * v
-            yield pd.DataFrame(out, columns=schema.names)
-        if current is not None:
-            last = (*current, n - start[0], s - start[1], ss - start[2])
-            yield pd.DataFrame([last], columns=schema.names)
-
-    return rows.mapInPandas(fold, schema)
-
-
-def _chunk_verdicts(rows: DataFrame, keys: list[str], ts: str, row_id: str, value: str) -> DataFrame:
-    group = [*keys, "_chunk"]
-    schema = rows.select(*keys, ts, row_id, value).schema.add("prior_n", "long").add("zscore", "double").add("valid", "boolean")
-
-    def fold(batches):
-        current, n, s, ss = None, 0.0, 0.0, 0.0
-        for pdf in batches:
-            prior, scores, valid = [], [], []
-            columns = zip(*[pdf[c] for c in [*group, value, "_sigma", "_in_n", "_in_s", "_in_ss"]])
-            for *key, v, sg, n0, s0, ss0 in columns:
-                if key != current:
-                    current, n, s, ss = key, n0, s0, ss0
-                z, ok = gate_step(n, s, ss, v, sg)
-                prior.append(int(n))
-                scores.append(z)
-                valid.append(ok)
-                if ok:
-                    n, s, ss = n + 1, s + v, ss + v * v
-            yield pdf[[*keys, ts, row_id, value]].assign(
-                prior_n=prior, zscore=pd.Series(scores, dtype="float64", index=pdf.index), valid=valid
-            )
-
-    return rows.mapInPandas(fold, schema)
+        # Only what one key fills wholly depends on its entry; in other partitions the last key starts from nothing.
+        changed = [p for p, e in entries.items() if reports[p].single and judged.get(p) != e]
+        if not changed:
+            break
+        judged |= {p: entries[p] for p in changed}
+        again = held.where(F.col("_part").isin(changed))
+        reports |= {r["part"]: gate.Report.read(r) for r in gate.reported(again, keys, value, judged).collect()}
+        entries = gate.carried(reports)
+    return gate.verdicts(held, [*keys, ts, row_id, value], keys, value, entries)

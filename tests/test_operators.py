@@ -1,15 +1,18 @@
 """Operators on small tables whose answers can be worked out by hand or by a plain loop."""
 
 import ipaddress
+import math
 import random
 from datetime import datetime, timedelta
+from fractions import Fraction
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftloom.functions import urls
+from driftloom.functions import exact, urls
 from driftloom.operators import (
-    chunks, compliance, drift, extract, items, latest, metrics, network, quarantine, ratelimit, repair, reports, stats, validate,
+    chunks, compliance, drift, extract, gate, items, latest, metrics, network, quarantine, ratelimit, repair, reports, stats, validate,
 )
 from driftloom.plans import inputs
 
@@ -83,23 +86,86 @@ def test_sliding_count_is_independent_of_the_chunk(spark, sf):
 
 
 def _gated_by_loop(rows, sigma):
+    """(id -> prior_n, zscore, valid), one value after the other, with exact totals."""
     state, out = {}, {}
-    for key, _, i, x in sorted(rows, key=lambda r: (r[1], r[2])):
-        n, s, ss = state.get(key, (0.0, 0.0, 0.0))
-        z, ok = stats.gate_step(n, s, ss, x, sigma)
-        out[i] = ok
+    for key, _, i, x in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+        totals = state.setdefault(key, {})
+        n = sum(t[0] for t in totals.values())
+        s = ss = 0.0
+        for at in sorted(totals):
+            value, square = exact.read_parts(at, np.array([totals[at][1:]], dtype=np.int64))
+            s, ss = s + value[0], ss + square[0]
+        z = None
+        if n >= 2:
+            z = abs(x - s / n) / max(math.sqrt(max((ss - s * s / n) / (n - 1), 0.0)), stats.MIN_SPREAD)
+        ok = z is None or z <= sigma
+        out[i] = (n, z, ok)
         if ok:
-            state[key] = (n + 1, s + x, ss + x * x)
+            (at,), (parts,) = exact.split(np.array([x]))
+            own = totals.setdefault(int(at), [0] * 9)
+            totals[int(at)] = [a + b for a, b in zip(own, [1, *parts.tolist()])]
     return out
 
 
-def test_gated_zscore_hot_keys_match_the_sequential_loop(spark, sf):
+@pytest.mark.parametrize("partitions", [1, 3, 17])
+def test_gated_zscore_is_the_sequential_loop_bit_by_bit(spark, sf, partitions):
     ev = inputs.events(spark, sf)
-    rows = [(r["event_type"], r["ts"], r["id"], r["value"]) for r in ev.collect()]
-    expected = _gated_by_loop(rows, 2.0)
-    for size in (40, 10**6):
-        out = stats.gated_zscore(ev, ["event_type"], F.lit(2.0), rows_per_chunk=size)
-        assert {r["id"]: r["valid"] for r in out.select("id", "valid").collect()} == expected
+    wild = F.when(ev.id % 5 == 0, ev.value * 1e9).when(ev.id % 7 == 0, -ev.value / 1e7).otherwise(ev.value)
+    for frame in (ev, ev.withColumn("value", wild), ev.withColumn("event_type", F.when(ev.id % 50 > 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), ev.id)))):
+        rows = [(r["event_type"], r["ts"], r["id"], r["value"]) for r in frame.collect()]
+        out = stats.gated_zscore(frame, ["event_type"], F.lit(2.0), partitions=partitions)
+        assert {r["id"]: (r["prior_n"], r["zscore"], r["valid"]) for r in out.collect()} == _gated_by_loop(rows, 2.0)
+
+
+def test_gated_zscore_odd_values(spark):
+    rows = [("a", 1, 1.0), ("a", 2, float("nan")), ("a", 3, 1.5), ("a", 4, 1e300), ("a", 5, None), ("a", 6, 900.0), ("a", 7, 1.25), (None, 1, 5.0), (None, 2, 5.0), (None, 3, 6.0)]
+    df = spark.createDataFrame([(k, T0 + timedelta(seconds=i), i, v) for k, i, v in rows], "k string, ts timestamp, id long, value double")
+    got = {(r.k, r.id): (r.prior_n, r.valid) for r in stats.gated_zscore(df, ["k"], F.lit(3.0)).collect()}
+    assert got == {
+        ("a", 1): (0, True), ("a", 2): (1, True), ("a", 3): (1, True), ("a", 4): (2, True), ("a", 6): (2, False), ("a", 7): (2, True),
+        (None, 1): (0, True), (None, 2): (1, True), (None, 3): (2, False),
+    }
+    assert stats.gated_zscore(df.limit(0), ["k"], F.lit(3.0)).count() == 0
+    assert stats.gated_zscore(df, ["k"], F.lit(None)).where("not valid").count() == 0
+
+
+def test_a_gate_that_turns_with_every_value():
+    """Verdicts that hang on each other all the way."""
+    x = np.array([0.0, 1.0] + [(-2.0) ** k for k in range(60)])
+    n, z, valid, state = gate.judge(x, np.full(len(x), 1.5), np.zeros(len(x), dtype=bool), {})
+    expected = _gated_by_loop([("k", i, i, v) for i, v in enumerate(x.tolist())], 1.5)
+    assert [(a, None if np.isnan(b) else b, c) for a, b, c in zip(n.tolist(), z.tolist(), valid.tolist())] == list(expected.values())
+    halves = gate.judge(x[:30], np.full(30, 1.5), np.zeros(30, dtype=bool), {})
+    rest = gate.judge(x[30:], np.full(32, 1.5), np.zeros(32, dtype=bool), halves[3])
+    assert rest[3] == state and np.array_equal(np.concatenate((halves[0], rest[0])), n)
+
+
+def test_parts_hold_values_and_squares_exactly(spark):
+    rng = random.Random(9)
+    values = [rng.choice([-1, 1]) * rng.random() * 2.0 ** rng.randint(-200, 200) for _ in range(300)]
+    values += [0.0, -0.0, 1.0, -1.0, 2.0**14, 2.0**28 - 2.0**-24, 0.1, 1e100, 3.0**100, 2.0**-14, float(np.nextafter(2.0**14, 0)), float(np.nextafter(2.0**-28, 1))]
+
+    def whole(at, p):
+        x = sum(Fraction(p[k]) * Fraction(2) ** (28 * (1 - k) + 14 * at - 28) for k in range(3))
+        return x, sum(Fraction(p[3 + k]) * Fraction(2) ** (28 * (2 - k) + 28 * at - 56) for k in range(5))
+
+    for at, p, v in zip(*exact.split(np.array(values)), values):
+        assert whole(int(at), p.tolist()) == (Fraction(v), Fraction(v) ** 2)
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for r in exact.with_parts(df, F.col("v")).collect():
+        assert whole(r["at"], [r[c] for c in exact.PARTS]) == (Fraction(r["v"]), Fraction(r["v"]) ** 2)
+
+
+def test_totals_do_not_depend_on_partitions_or_merges(spark):
+    rng = random.Random(2)
+    rows = [("d", f"f{i % 3}", "k", i, rng.choice([-1, 1]) * rng.random() * 10.0 ** rng.randint(-8, 12)) for i in range(900)] + [("d", "f0", "k", 9999, float("inf"))]
+    df = spark.createDataFrame([(d, f, k, i, T0 + timedelta(seconds=i), v) for d, f, k, i, v in rows], "domain string, field_name string, item_key string, id long, ts timestamp, value double")
+    whole = [sorted(map(tuple, stats.field_stats(df.repartition(n)).drop("totals").collect())) for n in (1, 7)]
+    merged = stats.merge_stats(stats.merge_stats(stats.field_stats(df.where("id % 2 = 0")), stats.field_stats(df.where("id % 4 = 1"))), stats.field_stats(df.where("id % 4 = 3")))
+    assert whole[0] == whole[1] == sorted(map(tuple, merged.drop("totals").collect()))
+    for r in whole[0]:
+        own = [v for _, f, _, i, v in rows if f == r[1] and i != 9999]
+        assert r[3] == 300 and r[4] == pytest.approx(math.fsum(own), rel=1e-14) and r[5] == pytest.approx(math.fsum(v * v for v in own), rel=1e-14)
 
 
 def test_normal_and_anomalous_value(spark):
