@@ -74,7 +74,8 @@ def held_out(doc_id: Column) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample: int, text: str = "text") -> DataFrame:
     """At most ``sample`` labelled documents outside the held-out fourth, as (doc_id, text, label) in one partition.
 
-    Only ids are ranked; as many as the bound says meet the documents in a broadcast join.
+    Only ids are ranked; as many as the bound says meet the documents in a broadcast join. Of an id that repeats, the least text is
+    kept, before anything reaches the one task. Ids are whole numbers.
     """
     ids = (
         labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
@@ -84,7 +85,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample: int,
         .limit(sample)
     )
     found = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
-    return found.repartition(1)
+    return found.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label").repartition(1)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, bits: int = BITS, **rates: float) -> dict[int, float]:

@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftloom.llm import words
 from driftloom.llm.components import components
@@ -118,6 +119,18 @@ def sets_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def with_class(docs: DataFrame, column: str) -> DataFrame:
+    """Add the class of each document's shingle set, as ``join`` names it; 0 for documents without words."""
+    schema = T.StructType([*docs.schema, T.StructField(column, T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = [class_of(s) if len(s) else 0 for s in shingle_sets(batch.column("text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.int64())], schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
 def boundary(sizes: Counter, scan: float) -> int:
     """The size where light sets end: least rows written and list entries met. ``scan``: entries met by a listed shingle."""
 
@@ -306,7 +319,8 @@ def cross_pairs(lists: DataFrame, x: int) -> DataFrame:
 
 
 def join(docs: DataFrame, rounds: int = 2, keep: Callable[[DataFrame], DataFrame] = reliable_checkpoint) -> DataFrame:
-    """(doc_id, n_shingles, class, component_id) of every row of ``docs`` (doc_id, text)."""
+    """(doc_id, n_shingles, class, component, component_id) of every row of ``docs`` (doc_id, text). ``component`` is the class that names
+    the component, also where the same id has several texts."""
     spark = docs.sparkSession
     rows = keep(sets_of(docs))
     classes = keep(rows.filter("n > 0").groupBy("class", "n").agg(F.min("doc_id").alias("first_id")))
@@ -337,4 +351,4 @@ def join(docs: DataFrame, rounds: int = 2, keep: Callable[[DataFrame], DataFrame
     firsts = named.filter("n > 0").groupBy("component").agg(F.min("doc_id").alias("first_id"))
     found = named.join(firsts, "component", "left")
     own = F.when(F.col("n") > 0, F.col("first_id")).otherwise(F.col("doc_id"))
-    return found.select("doc_id", F.col("n").alias("n_shingles"), "class", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), "class", "component", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
