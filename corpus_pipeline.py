@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftloom.llm import bpe, decontaminate, ftrl, jaccard_join, secret_scan
-from driftloom.llm.meeting import unused
+from driftloom.llm.meeting import meet, unused
 from driftloom.session import shared_folder
 
 #: Documents at this toxicity or more are rejected.
@@ -26,12 +26,22 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies: the one of the smallest id. Of rows that repeat an id one stays as well;
-    rows without an id are in no group and stay."""
-    found = jaccard_join.join(docs)
-    first = found.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.union(docs.filter("doc_id IS NULL")).select(*docs.columns)
+    """Keep one document of each group of near copies: the one of the smallest id, and of its texts that are in the group the one of the
+    least set. Rows without an id or without words are in no group and stay. Different texts of one id are in groups of their own;
+    of rows that agree in id and set the least stays, column by column, so a task that runs again keeps the same one."""
+    name, found = unused(docs.columns, "class"), jaccard_join.join(docs)
+    grouped = found.filter("doc_id IS NOT NULL AND n_shingles > 0")
+    first = grouped.groupBy("component").agg(F.min(F.struct("doc_id", "class")).alias("it")).select("it.*")
+    # The kept rows of each (id, class); only the few that repeat are compared, so texts are not shuffled for the others.
+    rows = grouped.groupBy("doc_id", "class").agg(F.count("*").alias("rows"))
+    first = first.join(rows, ["doc_id", "class"]).select("doc_id", F.col("class").alias(name), "rows")
+    often = unused(docs.columns, "rows")
+    kept = meet(jaccard_join.with_class(docs, name), first.withColumnRenamed("rows", often), ["doc_id", name])
+    once = kept.filter(F.col(often) == 1).select(*docs.columns)
+    order = F.struct(*(F.col(c).cast("string") for c in docs.columns))
+    least = kept.filter(F.col(often) > 1).groupBy("doc_id", name).agg(F.min_by(F.struct(*docs.columns), order).alias("it")).select("it.*")
+    apart = jaccard_join.with_class(docs, name).filter(F.col("doc_id").isNull() | (F.col(name) == 0)).select(*docs.columns)
+    return once.union(least).union(apart)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
