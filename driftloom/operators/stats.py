@@ -12,7 +12,7 @@ from driftloom.operators.chunks import CHUNK_SECONDS, running
 from driftloom.session import reliable_checkpoint
 
 KEYS = ["domain", "field_name", "item_key"]
-MIN_SPREAD = 1e-6
+MIN_SPREAD = gate.MIN_SPREAD
 
 
 def field_stats(values: DataFrame, keys: list[str] = KEYS, value: str = "value", order: list[str] = ("ts", "id")) -> DataFrame:
@@ -29,7 +29,11 @@ def field_stats(values: DataFrame, keys: list[str] = KEYS, value: str = "value",
 
 def merge_stats(stored: DataFrame, fresh: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Stored totals plus those of a new batch: what ``field_stats`` gives over the rows of both, bit for bit."""
-    both = stored.select(fresh.columns).unionByName(fresh)
+    return fold_stats(stored.select(fresh.columns).unionByName(fresh), keys)
+
+
+def fold_stats(both: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """One row per key from the statistics of several batches."""
     entries = both.select(F.struct(*keys).alias("key"), F.col("last_value").alias("x"), F.col("updated_at").alias("when"), F.inline("totals"))
     return _stats(exact.totals(entries, ["key"], {"x": F.max_by("x", "when"), "when": F.max("when")}), F.col("when"))
 

@@ -14,7 +14,9 @@ from driftloom.operators import (
 )
 from driftloom.plans import inputs
 from driftloom.plans.run import run_site
+from driftloom.session import shared_folder
 from driftloom.sources import config, tables
+from driftloom.sources.statelog import StateLog, run_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -444,6 +446,16 @@ def stats_merge(spark, sf):
     return _rounded_stats(stats.merge_stats(stored, fresh))
 
 
+@query
+def committed_stats(spark, sf):
+    """Statistics of three batches of days, two of which come again, kept in a log that is compacted as it grows."""
+    log = StateLog(spark, f"{shared_folder(spark)}/stats-{run_id()}", stats.fold_stats, every=2)
+    values = _event_values(spark, sf)
+    for part in (0, 1, 1, 2, 0):
+        log.append(stats.field_stats(values.where(F.floor(F.unix_seconds("ts") / 86400) % 3 == part)), f"days {part}")
+    return _rounded_stats(log.read())
+
+
 @query
 def rolling_zscore(spark, sf):
     """By event type: five hot keys, each cut into hourly chunks."""

@@ -257,6 +257,7 @@ SELECT 'd' || user_id % 10 AS domain, event_type AS field_name, CAST(user_id AS
   round(sum(value), 4) AS value_sum, round(sum(value * value), 4) AS value_sum_sq, arg_max(value, (ts, event_id)) AS last_value,
   round(avg(value), 8) AS mean, round(coalesce(stddev_samp(value), 0), 4) AS stddev FROM events GROUP BY user_id, event_type"""
 ORACLES["field_stats"] = EVENT_STATS
+ORACLES["committed_stats"] = EVENT_STATS
 ORACLES["stats_merge"] = EVENT_STATS
 
 ORACLES["rolling_zscore"] = """

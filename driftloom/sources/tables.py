@@ -115,8 +115,17 @@ def read_snapshots(spark: SparkSession, path: str, since: Column | None = None)
     return rows if since is None else rows.where(F.col("quarantined_date") >= since)
 
 
-def append_state(rows: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """State tables are append-only logs; "current" is the latest row per key."""
+def append_state(rows: DataFrame, path: str, partition_by: list[str] | None = None, run: str | None = None) -> None:
+    """State tables are append-only logs; "current" is the latest row per key.
+
+    With a ``run`` the rows lie in a folder of that id, which a rerun replaces, so that they count once. Logs that are compacted, and
+    runs that must be invisible until they are whole, are ``statelog.StateLog``'s.
+    """
+    if run is not None:
+        rows = rows.withColumn("run", F.lit(run))
+        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("run", *(partition_by or [])).parquet(path)
+        return
     writer = rows.write.mode("append")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from driftloom.operators import extract, metrics, validate
 from driftloom.operators.latest import LKG_KEYS, LKG_SIZE, lkg_window, newest_n
 from driftloom.sources import tables
+from driftloom.sources.statelog import StateLog
 
 
 def dedup_requests(requests: DataFrame, key: str = "request_id", ts: str = "requested_at", late: str = "1 hour") -> DataFrame:
@@ -46,20 +47,24 @@ def _batch_path(path: str, batch_id: int) -> str:
     return f"{path}/batch_id={batch_id}"
 
 
-def lkg_stream(snapshots: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Keep the newest samples per field: each batch adds at most ``LKG_SIZE`` rows per key."""
+def lkg_log(spark: SparkSession, path: str, every: int = 20) -> StateLog:
+    return StateLog(spark, path, lkg_window, every)
+
+
+def lkg_stream(snapshots: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, every: int = 20) -> StreamingQuery:
+    """Keep the newest samples per field: each batch adds at most ``LKG_SIZE`` rows per key, and every ``every`` batches the log is
+    folded to that many altogether. A batch that is replayed after a crash is known by its id and adds nothing."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        newest_n(batch, LKG_KEYS, ["snapshot_at", "snapshot_id"], LKG_SIZE).write.mode("overwrite").parquet(
-            _batch_path(path, batch_id)
-        )
+        rows = newest_n(batch, LKG_KEYS, ["snapshot_at", "snapshot_id"], LKG_SIZE)
+        lkg_log(batch.sparkSession, path, every).append(rows, f"{checkpoint}#{batch_id}")
 
     writer = snapshots.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
 def read_lkg(spark: SparkSession, path: str) -> DataFrame:
-    return lkg_window(spark.read.parquet(path).drop("batch_id"))
+    return lkg_log(spark, path).read()
 
 
 def page_stream(

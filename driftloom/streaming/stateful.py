@@ -7,15 +7,17 @@ the next one. Group sizes are bounded by the admission limit of the source
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from driftloom.operators import drift, ratelimit, stats
+from driftloom.operators import drift, gate, ratelimit
 
 
 def _schema(df: DataFrame, **extra: str) -> T.StructType:
@@ -98,26 +100,18 @@ def thrash_stream(
 
 
 def anomaly_stream(values: DataFrame, keys: list[str], sigma: float, ts: str = "ts", row_id: str = "id", value: str = "value") -> DataFrame:
-    """Gated anomaly verdicts: only passing values enter the running totals."""
+    """Gated anomaly verdicts: only passing values enter the running totals, which are the exact ones of the batch operator."""
     output = _schema(values, prior_n="long", zscore="double", valid="boolean")
 
     def step(key, pdfs, state):
-        n, s, ss = state.get if state.exists else (0.0, 0.0, 0.0)
+        totals = {int(at): n for at, n in json.loads(state.get[0]).items()} if state.exists else {}
         pdf = _batch(pdfs, [ts, row_id])
-        out = []
-        for x in pdf[value]:
-            z, ok = stats.gate_step(n, s, ss, x, sigma)
-            out.append((int(n), z, ok))
-            if ok:
-                n, s, ss = n + 1, s + x, ss + x * x
-        state.update((n, s, ss))
-        yield pdf.assign(
-            prior_n=[o[0] for o in out],
-            zscore=pd.Series([o[1] for o in out], dtype="float64", index=pdf.index),
-            valid=[o[2] for o in out],
-        )
-
-    return _stateful(values, keys, output, "n double, s double, ss double", step)
+        x = pdf[value].to_numpy(dtype=float)
+        n, z, valid, totals = gate.judge(x, np.full(len(x), sigma), np.zeros(len(x), dtype=bool), totals)
+        state.update((json.dumps(totals),))
+        yield pdf.assign(prior_n=n, zscore=pd.Series(z, index=pdf.index).astype(object).where(~np.isnan(z), None), valid=valid)
+
+    return _stateful(values, keys, output, "totals string", step)
 
 
 def debounce_stream(verdicts: DataFrame, ts: str = "ts", row_id: str = "id", retries: int = drift.DEBOUNCE_RETRIES) -> DataFrame:

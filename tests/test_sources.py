@@ -1,10 +1,11 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
-from driftloom.operators import validate
+from driftloom.operators import latest, stats, validate
 from driftloom.plans import inputs
-from driftloom.sources import config, tables
+from driftloom.sources import config, statelog, tables
 
 DOMAIN = {
     "domain": "books.example",
@@ -105,3 +106,71 @@ def test_accepted_values_feed_the_next_run(spark):
     ext = spark.createDataFrame(rows, "domain string, field_name string, item_key string, value string, field_type string, volatility string, required boolean, context map<string,string>, ts timestamp, id long")
     row = validate.accepted_stats(validate.check_values(ext, inputs.rules(spark))).first()
     assert (row["value_count"], row["value_sum"], row["last_value"]) == (2, 11.0, 6.0)
+
+
+def _log(spark, tmp_path, every=3):
+    return statelog.StateLog(spark, f"{tmp_path}/log", lambda rows: latest.latest(rows, ["k"], ["seq"]), every)
+
+
+def test_a_run_counts_once_and_only_when_committed(spark, tmp_path):
+    log = _log(spark, tmp_path)
+    assert log.read("k string, seq long").isEmpty()
+    with pytest.raises(ValueError):
+        log.read()
+    rows = lambda seq: spark.createDataFrame([("a", seq), (f"b{seq}", seq)], "k string, seq long")
+    current = lambda: {r["k"]: r["seq"] for r in log.read().collect()}
+    assert log.append(rows(1), "one") and not log.append(rows(7), "one")
+    assert current() == {"a": 1, "b1": 1}
+    # A run whose rows are written but not named by a manifest.
+    rows(9).write.mode("overwrite").parquet(f"{tmp_path}/log/rows/slot={log.manifest()['next']}")
+    assert current() == {"a": 1, "b1": 1}
+    assert log.append(rows(2), "two") and log.append(rows(3), "three")
+    assert log.manifest()["open"] == [] and current() == {"a": 3, "b1": 1, "b2": 2, "b3": 3}
+    assert not log.append(rows(8), "two") and current()["a"] == 3
+
+
+def test_a_crash_between_base_and_manifest(spark, tmp_path, monkeypatch):
+    log = _log(spark, tmp_path, every=100)
+    for seq in range(4):
+        log.append(spark.createDataFrame([("a", seq), (f"b{seq}", seq)], "k string, seq long"), str(seq))
+    before = sorted(map(tuple, log.read().collect()))
+
+    def crash(state):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(log, "_switch", crash)
+        with pytest.raises(RuntimeError):
+            log.compact()
+        with pytest.raises(RuntimeError):
+            log.append(spark.createDataFrame([("a", 99)], "k string, seq long"), "99")
+    assert sorted(map(tuple, log.read().collect())) == before and len(log.manifest()["open"]) == 4
+    log.compact()
+    assert sorted(map(tuple, log.read().collect())) == before and log.manifest()["open"] == []
+    # A manifest that broke off while it was written is not whole.
+    version = log.manifest()["version"]
+    (tmp_path / "log" / "pointer" / f"slot={(version + 1) % 2}" / "part-x.json").write_text('{"version": 9')
+    assert sorted(map(tuple, log.read().collect())) == before
+
+
+def test_folders_stay_bounded_and_nothing_is_lost(spark, tmp_path):
+    log = _log(spark, tmp_path, every=3)
+    for seq in range(20):
+        log.append(spark.createDataFrame([("a", seq), (f"b{seq}", seq)], "k string, seq long").coalesce(1), str(seq))
+    assert len(list((tmp_path / "log").glob("*/*"))) <= 2 * 3 + 4
+    assert {r["k"]: r["seq"] for r in log.read().collect()} == {"a": 19} | {f"b{s}": s for s in range(20)}
+
+
+def test_statistics_of_a_rerun_batch_count_once(spark, sf, tmp_path):
+    ev = inputs.events(spark, sf).withColumn("domain", F.lit("d"))
+    log = statelog.StateLog(spark, f"{tmp_path}/stats", lambda rows: stats.fold_stats(rows, ["domain"]), 2)
+    for part in (0, 1, 1, 2, 0):
+        log.append(stats.field_stats(ev.where(F.col("id") % 3 == part), ["domain"]), f"batch {part}")
+    assert log.read().drop("totals").collect() == stats.field_stats(ev, ["domain"]).drop("totals").collect()
+
+
+def test_appended_runs_replace_themselves(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "k string, seq long")
+    for run in ("x", "y", "x"):
+        tables.append_state(rows, f"{tmp_path}/runs", run=run)
+    assert tables.read_state(spark, f"{tmp_path}/runs").count() == 4
