@@ -1052,20 +1052,20 @@ def token_bucket(spark, sf):
     """Users as domains, bursts of three and one token a day."""
     rows = _requests(spark, sf)
     rates = rows.select("domain").distinct().select("domain", F.lit(3.0).alias("capacity"), F.lit(1 / 86400.0).alias("rate"))
-    out = ratelimit.admit(rows, rates, chunk_seconds=86400)
+    out = ratelimit.admit(rows, rates)
     return out.select("id", "domain", "allowed")
 
 
 @query
 def token_bucket_hot(spark, sf):
-    """Ten hot domains at the default rate: their pauses split them into independent periods."""
+    """Ten hot domains, one of which loses its manifest."""
     rows = inputs.events(spark, sf).select("id", "ts", F.concat(F.lit("d"), F.col("user_id") % 10).alias("domain"))
     expiry = rows.select("domain").distinct().where("domain = 'd3'").select(
         "domain", F.lit("2024-01-20").cast("timestamp").alias("expires_at")
     )
     rates = rows.select("domain").distinct().select("domain", F.lit(2.0).alias("capacity"), F.lit(1 / 3600.0).alias("rate"))
     out = ratelimit.admit(rows, rates, expiry)
-    return out.select("id", "domain", "allowed", F.round("wait_seconds", 3).alias("wait_seconds"))
+    return out.select("id", "domain", "allowed", F.round("wait_seconds", 6).alias("wait_seconds"))
 
 
 # --- metrics and reports ----------------------------------------------------------------------

@@ -622,8 +622,16 @@ r AS (SELECT id, domain, rn, sec, true AS allowed, CAST({capacity} - 1 AS DOUBLE
 ORACLES["token_bucket"] = f"{_bucket('CAST(user_id AS VARCHAR)', 3.0, '1 / 86400')} SELECT id, domain, allowed FROM r"
 _HOT = "'d' || user_id % 10"
 _EXPIRED = "user_id % 10 = 3 AND ts > TIMESTAMP '2024-01-20'"
+# Levels in microseconds of refill, so that no sum is rounded: a token is 3600 seconds.
 ORACLES["token_bucket_hot"] = f"""
-{_bucket(_HOT, 2.0, '1 / 3600', f'NOT ({_EXPIRED})')} SELECT id, domain, allowed, round(wait_seconds, 3) AS wait_seconds FROM r
+WITH RECURSIVE o AS (SELECT event_id AS id, {_HOT} AS domain, epoch_us(ts) AS us,
+    row_number() OVER (PARTITION BY {_HOT} ORDER BY ts, event_id) AS rn FROM events WHERE NOT ({_EXPIRED})),
+r AS (SELECT id, domain, rn, us, true AS allowed, 3600000000::BIGINT AS level, 0.0::DOUBLE AS wait_seconds FROM o WHERE rn = 1
+  UNION ALL
+  SELECT id, domain, rn, us, t >= 3600000000, CASE WHEN t >= 3600000000 THEN t - 3600000000 ELSE t END,
+    CASE WHEN t >= 3600000000 THEN 0 ELSE (3600000000 - t) / 1e6 END
+  FROM (SELECT o.id, o.domain, o.rn, o.us, least(7200000000, r.level + greatest(0, o.us - r.us)) AS t FROM r JOIN o ON o.domain = r.domain AND o.rn = r.rn + 1))
+SELECT id, domain, allowed, round(wait_seconds, 6) AS wait_seconds FROM r
 UNION ALL SELECT event_id, 'd3', false, -1.0 FROM events WHERE {_EXPIRED}"""
 
 # --- metrics and reports

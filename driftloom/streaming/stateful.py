@@ -13,11 +13,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from driftloom.operators import drift, gate, ratelimit
+from driftloom.operators.bucket import Bucket
 
 
 def _schema(df: DataFrame, **extra: str) -> T.StructType:
@@ -41,33 +43,86 @@ def _seconds(ts: pd.Series) -> list[float]:
     return [t.timestamp() for t in ts]
 
 
+class Admission(StatefulProcessor):
+    """One domain's bucket: its exact level, the time it stands for, and a timer that forgets it when it would be full again."""
+
+    def __init__(self, columns: list[str], schema: T.StructType, ts: str, row_id: str) -> None:
+        # Names are given by place: rows come as named tuples, which know no names that start with a line.
+        self.columns, self.schema, self.ts, self.row_id = columns, schema, ts, row_id
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        # Levels are whole numbers of any size, so they are kept as text.
+        self.bucket = handle.getValueState("bucket", "level string, unit string, last bigint")
+        self.idle = handle.getValueState("idle", "until bigint")
+
+    def _read(self) -> Bucket:
+        if not self.bucket.exists():
+            return Bucket()
+        level, unit, last = self.bucket.get()
+        return Bucket(int(level), int(unit), last)
+
+    def _write(self, bucket: Bucket) -> None:
+        self.bucket.update((str(bucket.level), str(bucket.unit), bucket.last))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        bucket, until = self._read(), 0
+        # The rows of one domain in one micro-batch, which the source's trigger bounds.
+        pdf = pd.concat(list(rows), ignore_index=True).set_axis(self.columns, axis=1).sort_values([self.ts, self.row_id], ignore_index=True)
+        out = []
+        for ts, capacity, rate, asked, expired in zip(pdf[self.ts], pdf["_capacity"], pdf["_rate"], pdf["_asked"], pdf["_expired"]):
+            if expired:
+                out.append((False, 0.0, -1.0))
+                continue
+            out.append(bucket.take(ts.value // 1000, capacity, rate, asked))
+            if rate > 0:
+                until = max(until, bucket.last // 1000 + math.ceil(capacity / rate * 1000) + 60_000)
+        if bucket.unit:
+            self._write(bucket)
+        if until:
+            for timer in self.handle.listTimers():
+                self.handle.deleteTimer(timer)
+            self.idle.update((until,))
+            self.handle.registerTimer(max(until, timerValues.getCurrentWatermarkInMs() + 1))
+        verdict = pd.DataFrame(out, columns=[n for n, _ in ratelimit.VERDICT])
+        yield pd.concat([pdf, verdict], axis=1)[self.schema.names]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.bucket.clear()
+        self.idle.clear()
+        return iter([])
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        for tokens, last in zip(initialState["tokens"], initialState["last"]):
+            self._write(Bucket.at(tokens, int(last)))
+
+
 def admit_stream(
-    requests: DataFrame, ts: str = "ts", row_id: str = "id", capacity: float = ratelimit.CAPACITY, rate: float = ratelimit.RATE
+    requests: DataFrame,
+    ts: str = "ts",
+    row_id: str = "id",
+    capacity: float = ratelimit.CAPACITY,
+    rate: float = ratelimit.RATE,
+    rates: DataFrame | None = None,
+    manifests: DataFrame | None = None,
+    initial: DataFrame | None = None,
 ) -> DataFrame:
-    """Token bucket per domain. Needs a watermark on ``ts``.
+    """Token bucket per domain: the verdicts of ``ratelimit.admit`` on requests as they arrive. Needs a watermark on ``ts``, and the
+    state store that keeps several variables and timers per key (``use_state_variables``).
 
-    An idle bucket is forgotten after ``ceil(capacity / rate) + 60`` seconds of event time, when
-    it would be full again anyway; time never runs backwards inside a bucket.
+    ``rates`` and ``manifests`` are the batch operator's tables, joined to the stream; ``initial`` is ``ratelimit.bucket_state`` of a log
+    that was judged before. An idle bucket is forgotten when it would be full again, and a minute more; time never runs backwards
+    inside a bucket.
     """
-    ttl = math.ceil(capacity / rate) + 60
-    output = _schema(requests, allowed="boolean", wait_seconds="double")
+    rows = ratelimit.with_terms(requests, rates, manifests, ts, capacity, rate)
+    output = _schema(requests, **dict(ratelimit.VERDICT))
+    states = None if initial is None else initial.select("domain", "tokens", "last").groupBy("domain")
+    return rows.groupBy("domain").transformWithStateInPandas(Admission(rows.columns, output, ts, row_id), output, "append", "EventTime", states)
 
-    def step(key, pdfs, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        tokens, last = state.get if state.exists else (capacity, None)
-        pdf = _batch(pdfs, [ts, row_id])
-        verdicts = []
-        for now in _seconds(pdf[ts]):
-            ok, tokens, wait = ratelimit.take(tokens, now if last is None else last, now, capacity, rate, 1.0)
-            last = now if last is None else max(last, now)
-            verdicts.append((ok, wait))
-        state.update((tokens, last))
-        state.setTimeoutTimestamp(max(int((last + ttl) * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pdf.assign(allowed=[v[0] for v in verdicts], wait_seconds=[v[1] for v in verdicts])
-
-    return _stateful(requests, ["domain"], output, "tokens double, last double", step, GroupStateTimeout.EventTimeTimeout)
+
+def use_state_variables(spark: SparkSession) -> None:
+    """Choose the state store that ``admit_stream`` needs, before its query starts."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def thrash_stream(

@@ -1,6 +1,7 @@
 """Operators on small tables whose answers can be worked out by hand or by a plain loop."""
 
 import ipaddress
+import json
 import math
 import random
 from datetime import datetime, timedelta
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from driftloom.functions import exact, urls
 from driftloom.operators import (
-    chunks, compliance, drift, extract, gate, items, latest, metrics, network, quarantine, ratelimit, repair, reports, stats, validate,
+    bucket, chunks, compliance, drift, extract, gate, items, latest, metrics, network, quarantine, ratelimit, repair, reports, stats, validate,
 )
 from driftloom.plans import inputs
 
@@ -333,27 +334,78 @@ def test_redirects(spark):
     assert out[1]["shown_url"] == "http://a.com/" and out[1]["cross_origin"] and not out[5]["cross_origin"]
 
 
-def _bucket_by_loop(times, capacity, rate):
-    tokens, last, out = capacity, times[0], []
-    for t in times:
-        ok, tokens, wait = ratelimit.take(tokens, last, t, capacity, rate, 1.0)
-        last = t
-        out.append(ok)
+def _bucket_by_loop(requests):
+    """(allowed, tokens left) of (time in microseconds, capacity, rate, asked), in fractions."""
+    tokens, last, out = None, None, []
+    for now, capacity, rate, asked in requests:
+        capacity, rate, asked = (Fraction(x).limit_denominator(10**9) for x in (capacity, rate, asked))
+        tokens = capacity if tokens is None else min(capacity, tokens + (now - last) * rate / 10**6)
+        ok = tokens >= asked
+        tokens -= asked if ok else 0
+        last = now
+        out.append((ok, float(tokens)))
     return out
 
 
-@pytest.mark.parametrize("chunk", [1, 3600])
-def test_token_bucket_within_limit_exhausted_and_bound(spark, chunk):
+@pytest.mark.parametrize("partitions", [1, 4])
+def test_token_bucket_within_limit_exhausted_and_bound(spark, partitions):
     seconds = [0, 0, 0, 0, 1, 1.5, 2, 30, 30.1, 30.2, 30.3, 30.4]
     rows = [("d", T0 + timedelta(seconds=s), i) for i, s in enumerate(seconds)]
     df = spark.createDataFrame(rows, "domain string, ts timestamp, id long")
     rates = spark.createDataFrame([("d", 3.0, 0.5)], "domain string, capacity double, rate double")
-    out = ratelimit.admit(df, rates, chunk_seconds=chunk).orderBy("id").collect()
-    assert [r["allowed"] for r in out] == _bucket_by_loop(seconds, 3.0, 0.5)
+    out = ratelimit.admit(df, rates, partitions=partitions).orderBy("id").collect()
+    assert [(r["allowed"], r["tokens_left"]) for r in out] == _bucket_by_loop([(round(s * 1e6), 3.0, 0.5, 1.0) for s in seconds])
     assert sum(r["allowed"] for r in out) <= 3 + 0.5 * 30.4
     assert all(r["wait_seconds"] > 0 for r in out if not r["allowed"])
 
 
+@pytest.mark.parametrize("partitions", [1, 7, 30])
+def test_a_domain_that_never_pauses_is_spread(spark, partitions):
+    """Asked tokens, rates that change on the way, and neighbours in the order of domains."""
+    rng = random.Random(5)
+    rows, at = [], 0
+    for i in range(1500):
+        at += rng.choice([0, 40_000, 100_000, 333_333, 1_000_000])
+        domain = "hot" if i % 60 else rng.choice(["a", "z", "hot0"])
+        rows.append((domain, T0 + timedelta(microseconds=at), i, rng.choice([1.0, 1.0, 2.0, 0.5, 11.0])))
+    df = spark.createDataFrame(rows, "domain string, ts timestamp, id long, tokens double")
+    change = T0 + timedelta(microseconds=at // 2)
+    rates = spark.createDataFrame(
+        [("hot", 6.0, 1 / 3.0, None), ("hot", 4.0, 0.7, change), ("a", 2.5, 1 / 60.0, None), ("z", 1.0, 5.0, change)],
+        "domain string, capacity double, rate double, valid_from timestamp",
+    )
+    in_force = lambda d, t: {"hot": (4.0, 0.7) if t >= change else (6.0, 1 / 3.0), "a": (2.5, 1 / 60.0), "z": (1.0, 5.0) if t >= change else (10.0, 1.0)}.get(d, (10.0, 1.0))
+    want = {}
+    for d in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == d]
+        told = _bucket_by_loop([((t - T0) // timedelta(microseconds=1), *in_force(d, t), asked) for _, t, _, asked in own])
+        want |= {r[2]: v for r, v in zip(own, told)}
+    out = ratelimit.admit(df, rates, partitions=partitions)
+    assert {r["id"]: (r["allowed"], r["tokens_left"]) for r in out.collect()} == want
+    if partitions == 30:
+        reports = ratelimit.reported(ratelimit.with_terms(df, rates, None, "ts").withColumn("_at", F.unix_micros("ts")).withColumn("_part", F.lit(0)).where("domain = 'hot'").coalesce(1).sortWithinPartitions("ts", "id"))
+        assert len(json.loads(reports.first()["transfer"])[0]["starts"]) < 40
+
+
+def test_a_transfer_is_the_bucket_for_every_level():
+    rng = random.Random(3)
+    for _ in range(40):
+        run, at = [], 0
+        for _ in range(rng.randint(1, 40)):
+            at += rng.choice([0, 100_000, 250_000, 5_000_000])
+            run.append((at, rng.choice([3.0, 5.0]), rng.choice([0.5, 1 / 3.0, 0.0]), rng.choice([1.0, 2.0, 0.25, 9.0])))
+        whole = bucket.Transfer()
+        for r in run:
+            whole.step(*r)
+        for _ in range(20):
+            level = Fraction(rng.randint(0, 3000), 1000)
+            own = bucket.Bucket.at(str(level), -rng.choice([0, 700_000]))
+            start = own.last
+            for r in run:
+                own.take(*r)
+            assert whole.after(level, start, *run[0][1:3]) == Fraction(own.level, own.unit)
+
+
 def test_expired_manifest_is_refused_with_minus_one(spark):
     df = spark.createDataFrame([("d", T0, 1), ("d", T0 + timedelta(days=2), 2)], "domain string, ts timestamp, id long")
     m = spark.createDataFrame([("d", T0 + timedelta(days=1))], "domain string, expires_at timestamp")

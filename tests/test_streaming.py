@@ -37,12 +37,44 @@ def events(spark, sf):
     return inputs.events(spark, sf).withColumn("domain", F.concat(F.lit("d"), F.col("user_id") % 3)).cache()
 
 
-def test_admission(spark, events, tmp_path):
+@pytest.fixture
+def variables(spark):
+    stateful.use_state_variables(spark)
+    yield
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_admission(spark, events, tmp_path, variables):
     rows = events.select("domain", "ts", "id")
     stream = arriving(spark, rows, tmp_path, "ts").withWatermark("ts", "1 hour")
     out = run(stateful.admit_stream(stream, capacity=2.0, rate=1 / 7200.0), tmp_path, "admitted")
     rates = rows.select("domain").distinct().select("domain", F.lit(2.0).alias("capacity"), F.lit(1 / 7200.0).alias("rate"))
-    assert same(out, ratelimit.admit(rows, rates), ["id", "allowed"])
+    assert same(out, ratelimit.admit(rows, rates), ["id", "allowed", "tokens_left", "wait_seconds"])
+
+
+def test_admission_with_changing_rates_asked_tokens_and_expiry(spark, events, tmp_path, variables):
+    rows = events.select("domain", "ts", "id", (F.col("id") % 3 / 2 + 0.5).alias("tokens"))
+    low, high = (r for r in rows.agg(F.min("ts"), F.max("ts")).first())
+    middle = low + (high - low) / 2
+    rates = spark.createDataFrame([("d0", 2.0, 1 / 7200.0, None), ("d0", 5.0, 1 / 600.0, middle), ("d1", 1.5, 1 / 3600.0, middle)], "domain string, capacity double, rate double, valid_from timestamp")
+    manifests = spark.createDataFrame([("d2", low + (high - low) * 3 / 4), ("d0", high)], "domain string, expires_at timestamp")
+    whole = ratelimit.admit(rows, rates, manifests)
+    verdict = ["id", "allowed", "tokens_left", "wait_seconds"]
+    stream = arriving(spark, rows, tmp_path, "ts", n=5).withWatermark("ts", "1 hour")
+    out = run(stateful.admit_stream(stream, rates=rates, manifests=manifests), tmp_path, "termed")
+    assert same(out, whole, verdict) and out.where("wait_seconds = -1").count() > 0
+
+
+def test_admission_goes_on_from_a_judged_log(spark, events, tmp_path, variables):
+    rows = events.select("domain", "ts", "id")
+    low, high = (r for r in rows.agg(F.min("ts"), F.max("ts")).first())
+    rates = rows.select("domain").distinct().select("domain", F.lit(8.0).alias("capacity"), F.lit(1 / 86400.0).alias("rate"))
+    middle = low + (high - low) / 2
+    first, rest = ratelimit.admit(rows.where(F.col("ts") < middle), rates), rows.where(F.col("ts") >= middle)
+    stream = arriving(spark, rest, tmp_path, "ts").withWatermark("ts", "1 hour")
+    out = run(stateful.admit_stream(stream, rates=rates, initial=ratelimit.bucket_state(first)), tmp_path, "resumed")
+    whole = ratelimit.admit(rows, rates).where(F.col("ts") >= middle)
+    assert same(out, whole, ["id", "allowed"]) and whole.where("not allowed").count() > 0
 
 
 def test_thrash(spark, sf, tmp_path):
