@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from driftloom.functions import urls
 from driftloom.functions.let import let
+from driftloom.operators.once import with_once
+from driftloom.operators.sized import join_small
 
 # Fixed vocabulary.
 STRICT, ADVERSARIAL = "strict_compliance", "adversarial_commercial"
@@ -59,85 +61,106 @@ def effective_posture(domains: DataFrame, postures: DataFrame, manifests: DataFr
     )
 
 
-def robots_pattern(path: Column) -> Column:
-    """Regex of a robots path with ``*`` wildcards and a ``$`` end anchor."""
-    literal = F.regexp_replace(path, r"([\\\[\](){}.+?^|])", r"\\$1")
-    wild = F.replace(literal, F.lit("*"), F.lit(".*"))
-    anchored = F.endswith(path, F.lit("$"))
-    body = F.when(anchored, F.regexp_replace(wild, r"\$$", "")).otherwise(wild)
-    body = F.replace(body, F.lit("$"), F.lit(r"\$"))
-    return F.concat(F.lit("(?s)^"), body, F.when(anchored, F.lit("$")).otherwise(F.lit("")))
+def robots_index(rules: DataFrame, agent: str = "*") -> DataFrame:
+    """The rules in force per host, one row each: those of the agent's group, or of ``*`` where it has none.
 
-
-def robots_hosts(rules: DataFrame, agent: str = "*") -> DataFrame:
-    """One row per host with the rules of the agent's group, or of ``*`` where it has none.
-
-    ``rules``: host, user_agent, allow, path, crawl_delay. A group is one robots file.
+    ``rules``: host, user_agent, allow, path, crawl_delay. A rule's path is cut at its wildcards into ``pieces``; the first one is the
+    ``literal`` that every matching path starts with. ``anchored``: a ``$`` ends it. A group without a path that can match (an empty one
+    never does) keeps one row without pieces, for its crawl delay.
     """
     mine = F.lower("user_agent") == agent.lower()
-    plain = ~F.col("path").rlike(r"[*$]")
-    rule = F.struct("path", "allow", plain.alias("plain"), robots_pattern(F.col("path")).alias("pattern"))
-    groups = rules.where(mine | (F.col("user_agent") == "*")).groupBy("host").agg(
-        F.bool_or(mine).alias("_named"),
-        F.collect_list(F.when(mine, rule)).alias("_mine"),
-        F.collect_list(F.when(F.col("user_agent") == "*", rule)).alias("_any"),
-        F.max(F.when(mine, F.col("crawl_delay"))).alias("_delay"),
-        F.max(F.when(F.col("user_agent") == "*", F.col("crawl_delay"))).alias("_any_delay"),
-    )
-    return groups.select(
-        "host",
-        F.when(F.col("_named"), F.col("_mine")).otherwise(F.col("_any")).alias("rules"),
-        F.when(F.col("_named"), F.col("_delay")).otherwise(F.col("_any_delay")).alias("crawl_delay"),
+    named = rules.where(mine).select("host").distinct().withColumn("_named", F.lit(True))
+    known = rules.where(mine | (F.col("user_agent") == "*")).join(named, "host", "left")
+    known = known.where(mine == F.coalesce("_named", F.lit(False))) if agent != "*" else known.where(mine)
+    delays = known.groupBy("host").agg(F.max("crawl_delay").alias("crawl_delay"))
+    anchored = F.endswith("path", F.lit("$"))
+    body = F.when(anchored, F.expr("substring(path, 1, length(path) - 1)")).otherwise(F.col("path"))
+    paths = known.where("path != ''").groupBy("host", "path").agg(F.bool_or("allow").alias("allow")).select(
+        "host", "path", "allow", anchored.alias("anchored"), F.split(body, r"\*", -1).alias("pieces")
     )
+    return delays.join(paths.withColumn("literal", F.col("pieces")[0]), "host", "left")
+
+
+def robots_match(path: Column, pieces: Column, anchored: Column) -> Column:
+    """Whether a path starts with the first piece and holds the others in order, the last one at its end if anchored.
+
+    Taking each piece at its first place leaves the most room for the rest, so no other choice need be tried.
+    """
 
+    def ends(p: Column) -> Column:
+        """Where the pieces between the first and the last end; null if one is missing."""
+        inner = F.when(F.size(p) > 2, F.slice(p, F.lit(2), F.size(p) - 2)).otherwise(F.array().cast("array<string>"))
 
-def robots_allows(rules: Column, path: Column) -> Column:
-    """Longest matching rule wins, allow on a tie; no match allows. Empty paths never match."""
+        def after(at: Column, piece: Column) -> Column:
+            found = F.call_function("locate", piece, path, at + 1)
+            return F.when(piece == "", at).otherwise(let(found, lambda n: F.when(n > 0, n + F.length(piece) - 1)))
 
-    def matches(r: Column) -> Column:
-        hit = F.when(r["plain"], F.startswith(path, r["path"])).otherwise(F.rlike(path, r["pattern"]))
-        return (r["path"] != "") & hit
+        return F.aggregate(inner, F.length(p[0]), after)
 
-    def best(found: Column) -> Column:
-        ranks = F.transform(found, lambda r: F.struct(F.length(r["path"]).alias("n"), r["allow"].alias("allow")))
-        return F.coalesce(F.array_max(ranks)["allow"], F.lit(True))
+    def last(p: Column) -> Column:
+        tail = F.element_at(p, -1)
+        whole = F.when(anchored, path == p[0]).otherwise(F.lit(True))
 
-    return let(F.filter(rules, matches), best)
+        def fits(at: Column) -> Column:
+            loose = F.call_function("locate", tail, path, at + 1) > 0
+            right = F.when(anchored, F.endswith(path, tail) & (F.length(path) - F.length(tail) >= at)).otherwise((tail == "") | loose)
+            return at.isNotNull() & right
 
+        return F.startswith(path, p[0]) & F.when(F.size(p) == 1, whole).otherwise(let(ends(p), fits))
 
-def robots_filter(urls_df: DataFrame, hosts: DataFrame, fetches: DataFrame) -> DataFrame:
-    """Adds ``robots_allowed`` and ``crawl_delay``.
+    return F.coalesce(let(pieces, last), F.lit(False))
+
+
+def robots_verdicts(paths: DataFrame, index: DataFrame) -> DataFrame:
+    """(host, path, rule_allows) of the paths that a rule matches: the longest one decides, allow on a tie.
+
+    A path looks up its prefixes, only those as long as some literal of its host, in the rules listed under (host, literal). So a path
+    meets the rules that share its beginning, not all of its host; a busy host is spread by path and prefix, and no pattern is compiled.
+    """
+    rules = index.where("pieces is not null").select("host", "literal", F.length("path").alias("_length"), "allow", "anchored", "pieces")
+    lengths = rules.groupBy("host").agg(F.collect_set(F.length("literal")).alias("_lengths"))
+    wide = join_small(paths.select("host", "path").distinct(), lengths, ["host"])
+    own = F.filter("_lengths", lambda n: n <= F.length("path"))
+    prefixes = wide.select("host", "path", F.explode_outer(own).alias("_n"))
+    keyed = with_once(prefixes, "literal", F.expr("substring(path, 1, _n)")).drop("_n")
+    met = join_small(keyed, rules, ["host", "literal"])
+    hit = met.where(robots_match(F.col("path"), F.col("pieces"), F.col("anchored")))
+    return hit.groupBy("host", "path").agg(F.max(F.struct("_length", "allow")).alias("_best")).select("host", "path", F.col("_best.allow").alias("rule_allows"))
+
+
+def robots_filter(urls_df: DataFrame, index: DataFrame, fetches: DataFrame) -> DataFrame:
+    """Adds ``robots_allowed`` and ``crawl_delay``. ``index``: of ``robots_index``.
 
     ``fetches``: host, status of the robots file (null for a failed fetch). A failed fetch, a
     5xx or an unknown host disallows, a 4xx other than 429 allows, else the rules decide.
     """
-    netloc = urls.netloc_of(F.col("url"))
     known = fetches.select("host", "status", F.lit(True).alias("_known"))
-    rows = urls_df.withColumn("host", netloc).join(known, "host", "left").join(hosts, "host", "left")
+    delays = index.groupBy("host").agg(F.max("crawl_delay").alias("crawl_delay"))
+    rows = with_once(urls_df, "host", urls.netloc_of(F.col("url")))
+    rows = with_once(rows, "path", urls.path_of(F.col("url")))
+    rows = join_small(join_small(rows, known, ["host"], "left"), delays, ["host"], "left")
+    rows = rows.join(robots_verdicts(rows, index), ["host", "path"], "left")
     status = F.col("status")
-    by_rules = F.when(F.col("rules").isNull(), F.lit(True)).otherwise(
-        robots_allows(F.col("rules"), urls.path_of(F.col("url")))
-    )
     allowed = (
         F.when(F.col("_known").isNull() | status.isNull() | (status >= 500), F.lit(False))
         .when(status.between(400, 499) & (status != 429), F.lit(True))
-        .otherwise(by_rules)
+        .otherwise(F.coalesce("rule_allows", F.lit(True)))
     )
-    return rows.withColumn("robots_allowed", allowed).drop("rules", "status", "_known", "host")
+    return rows.withColumn("robots_allowed", allowed).select(*urls_df.columns, "robots_allowed", "crawl_delay")
 
 
 def audit_compliance(
     pages: DataFrame,
     postures: DataFrame,
     manifests: DataFrame,
-    hosts: DataFrame,
+    index: DataFrame,
     fetches: DataFrame,
     responses: DataFrame,
     now: Column,
 ) -> DataFrame:
     """One verdict and reason per URL. ``responses``: page_id, status."""
     posture = effective_posture(pages, postures, manifests, now)
-    rows = robots_filter(pages.select("page_id", "url", "domain"), hosts, fetches)
+    rows = robots_filter(pages.select("page_id", "url", "domain"), index, fetches)
     rows = rows.join(posture, "domain", "left").join(responses.select("page_id", "status"), "page_id", "left")
     reason = (
         F.when(~F.col("robots_allowed"), F.lit("robots_disallow"))

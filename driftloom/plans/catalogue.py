@@ -983,14 +983,14 @@ def _fetches(spark, sf):
 @query
 def robots_filter(spark, sf):
     rows = inputs.pages(spark, sf).select("page_id", "url")
-    out = compliance.robots_filter(rows, compliance.robots_hosts(_robots(spark, sf)), _fetches(spark, sf))
+    out = compliance.robots_filter(rows, compliance.robots_index(_robots(spark, sf)), _fetches(spark, sf))
     return out.select("page_id", "robots_allowed", "crawl_delay")
 
 
 @query
 def robots_named_agent(spark, sf):
     rows = inputs.pages(spark, sf).select("page_id", "url")
-    hosts = compliance.robots_hosts(_robots(spark, sf), "loombot")
+    hosts = compliance.robots_index(_robots(spark, sf), "loombot")
     out = compliance.robots_filter(rows, hosts, _fetches(spark, sf))
     return out.select("page_id", "robots_allowed", "crawl_delay")
 
@@ -1035,7 +1035,7 @@ def compliance_audit(spark, sf):
     responses = inputs.pages(spark, sf).select("page_id", status.alias("status"))
     out = compliance.audit_compliance(
         inputs.pages(spark, sf), _postures(spark, sf), _manifests(spark, sf),
-        compliance.robots_hosts(_robots(spark, sf)), _fetches(spark, sf), responses, F.lit("2024-02-01").cast("timestamp"),
+        compliance.robots_index(_robots(spark, sf)), _fetches(spark, sf), responses, F.lit("2024-02-01").cast("timestamp"),
     )
     return out.select("page_id", "posture", "allowed", "reason")
 
@@ -1199,7 +1199,7 @@ def site_outputs(spark, sf):
         F.lit("2024-02-01").cast("timestamp"),
         postures=_postures(spark, sf),
         manifests=_manifests(spark, sf),
-        robots=compliance.robots_hosts(_robots(spark, sf)),
+        robots=compliance.robots_index(_robots(spark, sf)),
         fetches=_fetches(spark, sf),
         responses=pages.select("page_id", status.alias("status")),
         rates=domains.select("domain", F.lit(2.0).alias("capacity"), F.lit(1 / 36000.0).alias("rate")),

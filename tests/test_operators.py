@@ -4,6 +4,7 @@ import ipaddress
 import json
 import math
 import random
+import re
 from datetime import datetime, timedelta
 from fractions import Fraction
 
@@ -309,7 +310,7 @@ def test_compliance_stops_and_robots(spark):
     )
     u = spark.createDataFrame([(f"http://{h}{p}",) for h, p in (("h", "/private/x"), ("h", "/private/ok/1"), ("h", "/a.pdf"), ("h", "/a.pdf?x"), ("e", "/"), ("m", "/"), ("u", "/"))], "url string")
     fetches = spark.createDataFrame([("h", 200), ("e", 500), ("m", 404)], "host string, status int")
-    got = {r["url"]: r["robots_allowed"] for r in compliance.robots_filter(u, compliance.robots_hosts(rules), fetches).collect()}
+    got = {r["url"]: r["robots_allowed"] for r in compliance.robots_filter(u, compliance.robots_index(rules), fetches).collect()}
     assert got == {
         "http://h/private/x": False, "http://h/private/ok/1": True, "http://h/a.pdf": False, "http://h/a.pdf?x": True,
         "http://e/": False, "http://m/": True, "http://u/": False,
@@ -532,3 +533,52 @@ def test_networks_of_any_length_by_brute_force(spark):
     got = network.cidr_prefix_join(hosts, spark.createDataFrame([(n,) for n in nets], "cidr string"))
     assert sorted((r.ip, r.cidr) for r in got.collect()) == sorted(want)
     assert network.cidr_prefix_join(hosts, spark.createDataFrame([], "cidr string")).count() == 0
+
+
+def _robots_by_pattern(rules, agent, host, path):
+    """The longest rule whose pattern matches; rules are (host, agent, allow, path, delay)."""
+    own = [r for r in rules if r[0] == host and r[1].lower() == agent] or [r for r in rules if r[0] == host and r[1] == "*"]
+    found = []
+    for _, _, allow, rule, _ in own:
+        body = rule[:-1] if rule.endswith("$") else rule
+        pattern = ".*".join(re.escape(p) for p in body.split("*")) + ("$" if rule.endswith("$") else "")
+        if rule and re.match("(?s)" + pattern.replace("$", r"\Z") if rule.endswith("$") else "(?s)" + pattern, path):
+            found.append((len(rule), allow))
+    return max(found)[1] if found else True
+
+
+@pytest.mark.parametrize("agent", ["*", "bot"])
+def test_robots_by_brute_force(spark, agent):
+    rng = random.Random(7)
+    piece = lambda: "".join(rng.choice("ab/.") for _ in range(rng.randint(0, 3)))
+    rules = []
+    for h in range(4):
+        for _ in range(25):
+            path = rng.choice(["", "/", "/", "*", "/a"]) + piece() + rng.choice(["", "*", "**", "*" + piece(), "$", "*$", piece() + "*" + piece() + "$", "?q=*a"])
+            rules.append((f"h{h}.com", rng.choice(["*", "Bot"] if h else ["*"]), rng.random() < 0.5, path, float(h)))
+    rules += [("empty.com", "*", False, "", 3.0), ("big.com", "*", False, "/", None), ("big.com", "*", True, "/", None)]
+    paths = ["/" + "".join(rng.choice("ab/.?q=") for _ in range(rng.randint(0, 9))) for _ in range(80)]
+    rows = [(i, f"https://{h}{p}", "kept") for i, (h, p) in enumerate((h, p) for h in ("h0.com", "h1.com", "h2.com", "h3.com", "empty.com", "big.com", "none.com") for p in paths)]
+    df = spark.createDataFrame(rows, "id long, url string, rules string")
+    fetches = spark.createDataFrame([(h, 200) for h in ("h0.com", "h1.com", "h2.com", "h3.com", "empty.com", "big.com", "none.com")], "host string, status int")
+    table = spark.createDataFrame(rules, "host string, user_agent string, allow boolean, path string, crawl_delay double")
+    out = compliance.robots_filter(df, compliance.robots_index(table, agent), fetches)
+    assert out.columns == ["id", "url", "rules", "robots_allowed", "crawl_delay"]
+    got = {r["id"]: r["robots_allowed"] for r in out.collect()}
+    want = {i: _robots_by_pattern(rules, agent, u.split("/")[2], "/" + u.split("/", 3)[3]) for i, u, _ in rows}
+    assert got == want and {r["crawl_delay"] for r in out.where("url like '%empty%'").collect()} == {3.0}
+
+
+def test_a_host_with_very_many_rules(spark):
+    many = spark.range(100_000).select(
+        F.lit("big.com").alias("host"), F.lit("*").alias("user_agent"), (F.col("id") % 2 == 0).alias("allow"),
+        F.concat(F.lit("/shop/"), F.col("id"), F.lit("/")).alias("path"), F.lit(1.0).alias("crawl_delay"),
+    )
+    extra = spark.createDataFrame([("big.com", "*", False, "/shop/", 1.0), ("big.com", "*", True, "/*.png$", 1.0)], many.schema)
+    urls_ = spark.range(20_000).select("id", F.concat(F.lit("http://big.com/shop/"), F.col("id") * 7, F.lit("/x"), F.when(F.col("id") % 10 == 0, F.lit(".png")).otherwise(F.lit(""))).alias("url"))
+    fetches = spark.createDataFrame([("big.com", 200)], "host string, status int")
+    out = compliance.robots_filter(urls_, compliance.robots_index(many.union(extra)), fetches)
+    # The numbered rule is the longest; without one the image rule, then the folder.
+    n = F.col("id") * 7
+    want = F.when(n < 100_000, n % 2 == 0).otherwise(F.col("id") % 10 == 0)
+    assert out.where(F.col("robots_allowed") != want).isEmpty() and out.count() == 20_000
