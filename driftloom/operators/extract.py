@@ -18,8 +18,8 @@ def oversize(length: Column) -> Column:
     return F.coalesce(length > MAX_PAGE_BYTES, F.lit(False))
 
 
-def bundle_fields(fields: DataFrame) -> DataFrame:
-    """One row per domain with its field definitions in order, so a page is parsed only once.
+def bundle_fields(fields: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per domain (and version) with its field definitions in order, so a page is parsed only once.
 
     ``parse`` tells whether any selector of the domain needs a parsed page. A group is one
     domain's configuration, never its data.
@@ -27,7 +27,7 @@ def bundle_fields(fields: DataFrame) -> DataFrame:
     defs = fields.withColumn("pattern", page.selector_pattern(F.col("selector"), F.col("strategy")))
     member = F.struct("position", *FIELD, "pattern")
     return (
-        defs.groupBy("domain")
+        defs.groupBy(*keys)
         .agg(F.sort_array(F.collect_list(member)).alias("wanted"), F.bool_or(F.col("pattern").isNull()).alias("parse"))
     )
 
@@ -56,8 +56,37 @@ def extract_fields(pages: DataFrame, fields: DataFrame, engine: str = "auto") ->
     all pages whose markup a pattern could misread, so both give the same rows. A page too large to handle is not read: each of its
     fields gets an error row.
     """
-    wide = pages.select("page_id", "url", "domain", "html", oversize(F.octet_length("html")).alias("_large"))
-    joined = join_small(wide, bundle_fields(fields), ["domain"])
+    return _extracted(join_small(_wide(pages), bundle_fields(fields, ["domain"]), ["domain"]), engine)
+
+
+def extract_at(pages: DataFrame, versions: DataFrame, at: str = "requested_at", engine: str = "auto", chunk_seconds: int = 86400) -> DataFrame:
+    """``extract_fields`` with the definitions in force at each page's time. ``versions``: of ``latest.locator_versions``.
+
+    An interval join: a version is listed in the time chunks that it touches and that have pages, so a page meets only the versions of
+    its domain and chunk, by an equi-join, and one of them holds at its time. Pages are not multiplied, and not shuffled while the
+    versions are small. A page without a time has no definitions in force and gives no rows.
+    """
+    chunk = lambda t: F.floor(F.unix_seconds(t) / chunk_seconds)
+    wide = _wide(pages, at).withColumn("_chunk", chunk(F.col("_at")))
+    bundles = bundle_fields(versions, ["domain", "valid_from", "valid_to"])
+    used = wide.select("domain", "_chunk").distinct()
+    spans = bundles.select("domain", "valid_from", "valid_to").join(used, "domain").where(
+        (F.col("_chunk") >= chunk(F.col("valid_from"))) & (F.col("valid_to").isNull() | (F.col("_chunk") <= chunk(F.col("valid_to"))))
+    )
+    listed = spans.join(bundles, (spans["domain"] == bundles["domain"]) & (spans["valid_from"] == bundles["valid_from"])).select(
+        spans["domain"], "_chunk", spans["valid_from"].alias("_from"), spans["valid_to"].alias("_to"), "wanted", "parse"
+    )
+    met = join_small(wide, listed, ["domain", "_chunk"])
+    holds = (F.col("_from") <= F.col("_at")) & (F.col("_to").isNull() | (F.col("_at") < F.col("_to")))
+    return _extracted(met.where(holds), engine)
+
+
+def _wide(pages: DataFrame, at: str | None = None) -> DataFrame:
+    time = [F.col(at).alias("_at")] if at else []
+    return pages.select("page_id", "url", "domain", "html", oversize(F.octet_length("html")).alias("_large"), *time)
+
+
+def _extracted(joined: DataFrame, engine: str) -> DataFrame:
     html = F.when(~F.col("_large"), F.col("html"))
     if engine == "parser":
         nodes = hits(html, F.col("wanted"))

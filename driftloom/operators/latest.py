@@ -97,3 +97,21 @@ def effective_locators(fields: DataFrame, registry: DataFrame) -> DataFrame:
         .withColumns({"selector": F.coalesce("_sel", "selector"), "strategy": F.coalesce("_strat", "strategy")})
         .drop("_sel", "_strat")
     )
+
+
+def locator_versions(fields: DataFrame, reloads: DataFrame) -> DataFrame:
+    """Field definitions with the time they hold: (domain, valid_from, valid_to) and the columns of ``fields``.
+
+    Every reload of a domain begins a version of all its fields; each field has the newest reload at or before that time, else its
+    configured selector. The first version holds from time zero, the last one has no end. ``reloads``: domain, field_name, selector,
+    strategy, updated_at, seq; of reloads at one time the highest seq wins. All of it is configuration and its history, not data.
+    """
+    starts = reloads.select("domain", F.col("updated_at").alias("valid_from")).where("valid_from is not null")
+    zero = fields.select("domain", F.timestamp_seconds(F.lit(0)).alias("valid_from"))
+    # A time before zero begins no version of its own: what it set holds from zero on.
+    starts = starts.where(F.col("valid_from") >= F.timestamp_seconds(F.lit(0))).union(zero).distinct()
+    ends = starts.withColumn("valid_to", F.lead("valid_from").over(W.partitionBy("domain").orderBy("valid_from")))
+    grid = fields.join(ends, "domain").withColumn("field_name", F.col("name"))
+    found = lkg_as_of(grid, reloads.select(*LKG_KEYS, "updated_at", "seq", "selector", "strategy"), "valid_from", "domain", ["updated_at", "seq"])
+    override = {c: F.when(F.col("lkg").isNotNull(), F.col(f"lkg.{c}")).otherwise(F.col(c)) for c in ("selector", "strategy")}
+    return found.withColumns(override).select(*fields.columns, "valid_from", "valid_to")

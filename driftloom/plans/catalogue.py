@@ -572,6 +572,20 @@ def effective_locators(spark, sf):
     return latest.effective_locators(inputs.fields(spark, sf), registry).select("domain", "name", "selector", "strategy")
 
 
+@query
+def extract_at_fetch_time(spark, sf):
+    """Every fourth page's fetch changes its domain's title locator; each page is read with the one of its own moment."""
+    n = F.col("page_id")
+    reloads = inputs.pages(spark, sf).where("page_id % 4 = 0").select(
+        "domain", F.lit("title").alias("field_name"),
+        F.when(n % 12 == 0, F.lit("title")).when(n % 12 == 4, F.lit(".nothing")).otherwise(F.lit("h1")).alias("selector"),
+        F.lit("css").alias("strategy"), inputs.fetched_at(n).alias("updated_at"), n.alias("seq"),
+    )
+    pages = inputs.pages(spark, sf).withColumn("requested_at", inputs.fetched_at(n))
+    versions = latest.locator_versions(inputs.fields(spark, sf), reloads)
+    return extract.extract_at(pages, versions, chunk_seconds=3600).select(EXTRACTED)
+
+
 # --- similarity and repairs -------------------------------------------------------------------
 
 

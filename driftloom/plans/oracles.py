@@ -342,6 +342,15 @@ ORACLES["effective_locators"] = f"""
 {REGISTRY} SELECT cfg.domain, cfg.field_name AS name, coalesce(reg.selector, cfg.selector) AS selector, coalesce(reg.strategy, cfg.strategy) AS strategy
 FROM cfg LEFT JOIN reg ON reg.domain = cfg.domain AND reg.field_name = cfg.field_name AND reg.seq >= 0"""
 
+ORACLES["extract_at_fetch_time"] = f"""
+{EXTRACTIONS}, rel AS (SELECT domain, page_id AS since, CASE page_id % 12 WHEN 0 THEN 'title' WHEN 4 THEN '.nothing' ELSE 'h1' END AS sel FROM p WHERE page_id % 4 = 0),
+nw AS (SELECT p.page_id, arg_max(sel, since) AS sel FROM p JOIN rel ON rel.domain = p.domain AND since <= p.page_id GROUP BY p.page_id),
+tt AS (SELECT page_id, {inner('title')} AS title, {inner('h1')} AS h1 FROM p),
+y AS (SELECT x.page_id, x.domain, x.field_name, coalesce(CASE WHEN field_name = 'title' THEN sel END, selector_used) AS selector_used,
+    CASE WHEN field_name = 'title' AND sel IS NOT NULL THEN CASE sel WHEN 'title' THEN title WHEN 'h1' THEN h1 END ELSE value END AS value
+  FROM x LEFT JOIN nw ON nw.page_id = x.page_id JOIN tt ON tt.page_id = x.page_id)
+SELECT page_id, domain, field_name, selector_used, value, value IS NOT NULL AS success, CASE WHEN value IS NULL THEN 'no_match' END AS error FROM y"""
+
 # --- similarity and repairs
 
 NEIGHBOURS = "nb AS (SELECT a.doc_id, a.text, b.text AS other FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1)"

@@ -8,7 +8,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftloom.operators import compliance, drift, extract, quarantine, ratelimit, repair, reports
+from driftloom.operators import compliance, drift, extract, latest, quarantine, ratelimit, repair, reports
 from driftloom.operators.sized import MAX_BROADCAST_IDS, join_small
 
 
@@ -82,13 +82,15 @@ def run_site(
     holdouts: DataFrame,
     lkg: DataFrame,
     locks: DataFrame,
+    reloads: DataFrame | None = None,
     threshold: float = repair.THRESHOLD,
 ) -> SiteRun:
     """Gate, extract, classify and decide; the result builds each output table when asked.
 
     ``pages``: page_id, url, html, domain, requested_at. ``open_breakers``: domains whose breaker
     is open. The gates run on narrow columns; pages are read again only to be parsed, and only
-    those that passed.
+    those that passed. ``reloads``: the log of changed locators (``registry_updates`` of earlier runs belong to it); a page is
+    extracted with the locators of its ``requested_at``, proposals are judged with those in force at the end of the log.
     """
     narrow = pages.select("page_id", "url", "domain", "requested_at")
     known = fields.select("domain").distinct().withColumn("_known", F.lit(True))
@@ -116,7 +118,13 @@ def run_site(
     # themselves are only shuffled when there are too many stops to broadcast.
     stopped = entry.where("error is not null").select("page_id")
     passed = join_small(pages, stopped, ["page_id"], "left_anti", MAX_BROADCAST_IDS)
-    extractions = extract.extract_fields(passed, fields).persist(StorageLevel.MEMORY_AND_DISK)
+    if reloads is None:
+        found = extract.extract_fields(passed, fields)
+    else:
+        found = extract.extract_at(passed, latest.locator_versions(fields, reloads))
+        current = latest.latest(reloads, latest.LKG_KEYS, ["updated_at", "seq"])
+        fields = latest.effective_locators(fields, current)
+    extractions = found.persist(StorageLevel.MEMORY_AND_DISK)
     verdicts = drift.classify_drift(extractions)
     local = verdicts.where("drift_type = 'local'").select("page_id")
     failed = extractions.where("not success").join(local, "page_id", "left_semi")

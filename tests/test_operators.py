@@ -16,7 +16,7 @@ from driftloom.functions import exact, urls
 from driftloom.operators import (
     bucket, chunks, compliance, drift, extract, gate, items, latest, metrics, network, quarantine, ratelimit, repair, reports, stats, validate,
 )
-from driftloom.plans import inputs
+from driftloom.plans import inputs, run
 
 T0 = datetime(2024, 1, 1)
 
@@ -582,3 +582,59 @@ def test_a_host_with_very_many_rules(spark):
     n = F.col("id") * 7
     want = F.when(n < 100_000, n % 2 == 0).otherwise(F.col("id") % 10 == 0)
     assert out.where(F.col("robots_allowed") != want).isEmpty() and out.count() == 20_000
+
+
+def test_locators_in_force_by_brute_force(spark):
+    rng = random.Random(4)
+    fields = [("d", 0, "title", "c0"), ("d", 1, "price", "c1"), ("e", 0, "title", "c2")]
+    reloads = [(rng.choice("de"), rng.choice(["title", "price", "gone"]), f"s{k}", "css", T0 + timedelta(hours=rng.randint(-3, 60)), k) for k in range(25)]
+    reloads += [("d", "title", "old", "css", datetime(1960, 1, 1), 99), ("none", "title", "x", "css", T0, 100)]
+    shape = "domain string, position int, name string, selector string"
+    table = spark.createDataFrame(fields, shape).selectExpr("*", "'css' strategy", "'string' field_type", "'low' volatility", "true required")
+    log = spark.createDataFrame(reloads, "domain string, field_name string, selector string, strategy string, updated_at timestamp, seq long")
+    versions = latest.locator_versions(table, log).collect()
+    for hour in range(-4, 62):
+        at = T0 + timedelta(hours=hour, minutes=30)
+        for d, _, name, configured in fields:
+            past = [(t, k, sel) for dd, f, sel, _, t, k in reloads if (dd, f) == (d, name) and t <= at]
+            own = [v for v in versions if (v["domain"], v["name"]) == (d, name) and v["valid_from"] <= at and (v["valid_to"] is None or at < v["valid_to"])]
+            assert [v["selector"] for v in own] == [max(past)[2] if past else configured]
+
+
+def test_pages_are_read_with_the_locators_of_their_moment(spark):
+    html = "<h1>one</h1><h2>two</h2><h3>three</h3>"
+    pages = spark.createDataFrame([(i, "http://d/", "d", html, T0 + timedelta(hours=i)) for i in range(48)] + [(99, "http://d/", "d", html, None)], "page_id long, url string, domain string, html string, requested_at timestamp")
+    fields = spark.createDataFrame([("d", 0, "title", "h1", "css", "string", "low", True)], "domain string, position int, name string, selector string, strategy string, field_type string, volatility string, required boolean")
+    log = spark.createDataFrame([("d", "title", "h2", "css", T0 + timedelta(hours=10), 1), ("d", "title", "h3", "css", T0 + timedelta(hours=30), 2)], "domain string, field_name string, selector string, strategy string, updated_at timestamp, seq long")
+    for chunk in (3600, 86400, 10**7):
+        out = extract.extract_at(pages, latest.locator_versions(fields, log), chunk_seconds=chunk).collect()
+        assert {r["page_id"]: r["value"] for r in out} == {i: "one" if i < 10 else "two" if i < 30 else "three" for i in range(48)}
+
+
+def test_an_approved_repair_reaches_the_next_run(spark):
+    html = "<html><head><title>t</title></head><body><main><h2 class='name'>Lamp</h2><p>about</p></main></body></html>"
+    pages = spark.createDataFrame([(i, f"http://shop.example/{i}", "shop.example", html, T0 + timedelta(hours=i)) for i in range(4)], "page_id long, url string, domain string, html string, requested_at timestamp")
+    fields = spark.createDataFrame(
+        [("shop.example", p, n, s, "css", "string", "low", True) for p, (n, s) in enumerate((("name", "h1.name"), ("page", "title"), ("about", "p")))],
+        "domain string, position int, name string, selector string, strategy string, field_type string, volatility string, required boolean",
+    )
+    empty = lambda schema: spark.createDataFrame([], schema)
+    rest = dict(
+        postures=empty("domain string, posture string"), manifests=empty("authorized_domains array<string>, expiration_date timestamp, signature_ok boolean"),
+        robots=compliance.robots_index(empty("host string, user_agent string, allow boolean, path string, crawl_delay double")),
+        fetches=spark.createDataFrame([("shop.example", 404)], "host string, status int"), responses=pages.selectExpr("page_id", "200 status"),
+        rates=empty("domain string, capacity double, rate double"), open_breakers=empty("domain string"),
+        candidates=pages.selectExpr("page_id", "domain", "'name' field_name", "'h2.name' selector", "'css' strategy", "cast(null as string) role_name", "cast(null as string) role_type"),
+        holdouts=pages.select("domain", "url", "html"),
+        lkg=spark.createDataFrame([("shop.example", "name", "h1.name", "css", '- heading "Lamp" [level=2]', "Lamp", "Lamp", "u", T0, 1)], "domain string, field_name string, selector string, strategy string, outline string, text_signature string, sample_value string, page_url string, snapshot_at timestamp, snapshot_id long"),
+        locks=empty("domain string, field_name string"), threshold=0.0,
+    )
+    first = run.run_site(pages, fields, F.lit(T0 + timedelta(days=1)), **rest)
+    updates = first.registry_updates().cache()
+    assert {r["selector"] for r in updates.collect()} == {"h2.name"}
+    later = pages.withColumn("requested_at", F.col("requested_at") + F.expr("INTERVAL 2 DAYS"))
+    again = run.run_site(pages.union(later.withColumn("page_id", F.col("page_id") + 100)), fields, F.lit(T0 + timedelta(days=3)), reloads=updates, **{**rest, "responses": empty("page_id long, status int")})
+    got = {(r["page_id"] >= 100, r["success"], r["selector_used"]) for r in again.extractions.where("field_name = 'name'").collect()}
+    assert got == {(False, False, "h1.name"), (True, True, "h2.name")}
+    first.release()
+    again.release()
