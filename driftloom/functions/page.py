@@ -236,3 +236,8 @@ def sanitize(raw: Column, limit: int = 500) -> Column:
     clean = strip_hidden(text.strip_executable(text.strip_obfuscation(raw)))
     clean = text.strip_data_attributes(text.strip_event_handlers(clean))
     return text.wrap_untrusted(text.escape_delimiter(text.truncate(clean, limit)))
+
+
+def sanitize_checked(raw: Column, limit: int = 500) -> Column:
+    """``content`` as ``sanitize`` gives it, and ``patterns``: the injection patterns found in the raw text, before anything is cut."""
+    return F.struct(sanitize(raw, limit).alias("content"), text.injection_patterns(raw).alias("patterns"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftloom.functions.let import let
 
@@ -64,6 +65,47 @@ def redact_map(values: Column, skip_fields: list[str] = (), order: str = "refere
     )
 
 
+def redact_nested(value: Column, kind: T.DataType, skip_fields: list[str] = (), allow_fields: list[str] = (), lists: bool = False, order: str = "reference") -> Column:
+    """Redact every string of a nested value, at any depth; the type stays as it is.
+
+    The schema is walked once, when the expression is built: structs and maps are rebuilt field by field, and parts without strings pass
+    as they are. A field or map key in ``skip_fields`` keeps its whole value, whatever lies below; one in ``allow_fields`` keeps its
+    own string only. Lists are kept, unless ``lists``: then their members are redacted as well, under the name of the list.
+    Nulls stay null at every level; map keys are never changed.
+    """
+
+    def has_text(t: T.DataType) -> bool:
+        if isinstance(t, T.StructType):
+            return any(f.name not in skip_fields and has_text(f.dataType) for f in t)
+        if isinstance(t, T.MapType):
+            return has_text(t.valueType)
+        if isinstance(t, T.ArrayType):
+            return lists and has_text(t.elementType)
+        return isinstance(t, T.StringType)
+
+    def named(name: Column | str, v: Column, t: T.DataType) -> Column:
+        """A value under a name: a field's, or a map key that is known only at run time."""
+        if not has_text(t):
+            return v
+        inner = walk(v, t)
+        plain = isinstance(t, T.StringType)
+        if isinstance(name, str):
+            return v if name in skip_fields or (plain and name in allow_fields) else inner
+        kept = [*skip_fields, *(allow_fields if plain else ())]
+        return F.when(F.coalesce(name.isin(*kept), F.lit(False)), v).otherwise(inner) if kept else inner
+
+    def walk(v: Column, t: T.DataType) -> Column:
+        if isinstance(t, T.StructType):
+            return F.when(v.isNotNull(), F.struct(*[named(f.name, v.getField(f.name), f.dataType).alias(f.name) for f in t]))
+        if isinstance(t, T.MapType):
+            return F.transform_values(v, lambda k, x: named(k, x, t.valueType))
+        if isinstance(t, T.ArrayType):
+            return F.transform(v, lambda x: walk(x, t.elementType))
+        return redact(v, order)
+
+    return walk(value, kind) if has_text(kind) else value
+
+
 def matches(text: Column, kind: str) -> Column:
     return F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
 

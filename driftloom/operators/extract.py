@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from driftloom.functions import page, text
 from driftloom.operators.once import with_once
 from driftloom.operators.sized import join_small
+from driftloom.session import reliable_checkpoint
 
 MAX_PAGE_BYTES = 50 * 1024 * 1024
 FIELD = ["name", "selector", "strategy", "field_type", "volatility", "required"]
@@ -68,8 +69,9 @@ def extract_at(pages: DataFrame, versions: DataFrame, at: str = "requested_at",
     """
     chunk = lambda t: F.floor(F.unix_seconds(t) / chunk_seconds)
     wide = _wide(pages, at).withColumn("_chunk", chunk(F.col("_at")))
-    bundles = bundle_fields(versions, ["domain", "valid_from", "valid_to"])
-    used = wide.select("domain", "_chunk").distinct()
+    # Configuration and the chunks in use are small and read several times over: written once.
+    bundles = reliable_checkpoint(bundle_fields(versions, ["domain", "valid_from", "valid_to"]))
+    used = reliable_checkpoint(wide.select("domain", "_chunk").distinct())
     spans = bundles.select("domain", "valid_from", "valid_to").join(used, "domain").where(
         (F.col("_chunk") >= chunk(F.col("valid_from"))) & (F.col("valid_to").isNull() | (F.col("_chunk") <= chunk(F.col("valid_to"))))
     )

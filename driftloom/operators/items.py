@@ -61,6 +61,26 @@ def extract_items(pages: DataFrame, domains: DataFrame) -> DataFrame:
     )
 
 
+def listing_outcomes(pages: DataFrame, domains: DataFrame) -> DataFrame:
+    """One row per page of a listing domain, also for pages that yield nothing: ``container``, ``n_cards``, ``n_items`` (the rows that
+    ``extract_items`` gives) and ``error``, null where there are items. A page is ``no_content`` (null or blank), ``response_too_large``
+    (not read), ``no_container`` (no card on it) or ``no_items`` (cards, but all empty)."""
+    conf = domains.select("domain", "item_container").dropDuplicates(["domain"])
+    size = F.octet_length("html")
+    blank = F.coalesce(F.trim("html") == "", F.lit(True))
+    seen = join_small(pages.select("page_id", "url", "domain", blank.alias("_blank"), F.coalesce(oversize(size), F.lit(False)).alias("_large")), conf, ["domain"])
+    keyed = with_once(extract_cards(pages, domains), "dedup_key", I.dedup_key(F.col("values")))
+    found = keyed.groupBy("page_id").agg(F.min("container").alias("container"), F.count(F.lit(1)).alias("n_cards"), F.count_distinct("dedup_key").alias("n_items"))
+    rows = seen.join(found, "page_id", "left").withColumns({"n_cards": F.coalesce("n_cards", F.lit(0)), "n_items": F.coalesce("n_items", F.lit(0))})
+    error = (
+        F.when(F.col("_blank"), F.lit("no_content"))
+        .when(F.col("_large"), F.lit("response_too_large"))
+        .when(F.col("n_cards") == 0, F.lit("no_container"))
+        .when(F.col("n_items") == 0, F.lit("no_items"))
+    )
+    return rows.select("page_id", "url", "domain", "container", "n_cards", "n_items", error.alias("error"))
+
+
 def melt_items(items: DataFrame) -> DataFrame:
     """Long form: page_id, domain, pos, name, value."""
     return items.select("page_id", "domain", "pos", F.inline("values")).select(

@@ -198,6 +198,15 @@ def first_container(spark, sf):
     return items.first_container(counts, ["page_id"])
 
 
+@query
+def listing_outcomes(spark, sf):
+    """Every page's outcome as a listing; some pages are empty, blank or without entries."""
+    n = F.col("page_id") % 10
+    html = F.when(n == 1, F.regexp_replace("html", "<(li|article)", "<div")).when(n == 2, F.lit(" ")).when(n > 0, F.col("html"))
+    out = items.listing_outcomes(inputs.pages(spark, sf).withColumn("html", html), inputs.listing_domains(spark, sf))
+    return out.select("page_id", "domain", "container", "n_cards", "n_items", "error")
+
+
 @query
 def field_success(spark, sf):
     return items.field_success(items.melt_items(_items(spark, sf)))
@@ -761,6 +770,17 @@ def quarantine_expired(spark, sf):
     return gone.unionByName(kept).unionByName(stale).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def retention_rewrite(spark, sf):
+    """A store of page snapshots over weeks, after the expired ones were taken out of it."""
+    path = f"{shared_folder(spark)}/snapshots-{run_id()}"
+    at = F.timestamp_seconds(F.lit(1704067200) + F.col("page_id") * 7200)
+    tables.write_snapshots(inputs.pages(spark, sf).select(F.col("page_id").cast("string").alias("snapshot_id"), F.col("url").alias("content"), at.alias("quarantined_at")), path)
+    gone = tables.expire_snapshots(spark, path, F.lit("2024-01-20 05:00:00").cast("timestamp"))
+    left = tables.read_snapshots(spark, path)
+    return left.select("snapshot_id", "content", F.unix_seconds("quarantined_at").alias("quarantined_at"), F.lit(gone).cast("bigint").alias("n_expired"))
+
+
 @query
 def quarantine_lookup(spark, sf):
     wanted = _records(spark, sf).where("page_id % 10 = 1").select("snapshot_id")
@@ -838,6 +858,22 @@ def pii_redact_map(spark, sf):
     return out.select("conv_id", "turn", F.col("m")["said"].alias("said"), (F.length(F.col("m")["raw"])).alias("raw_length"))
 
 
+@query
+def pii_redact_nested(spark, sf):
+    """Conversation turns as documents of structs, maps and lists; one key is skipped at every depth."""
+    said = F.col("text")
+    notes = F.create_map(F.lit("note"), F.struct(said.alias("text"), said.alias("raw")), F.lit("raw"), F.struct(said.alias("text"), said.alias("raw")))
+    docs = inputs.table(spark, sf, "conversations").select(
+        "conv_id", "turn", F.struct("role", F.struct(said.alias("said"), notes.alias("notes"), F.array(said).alias("list")).alias("body")).alias("doc")
+    )
+    out = docs.select("conv_id", "turn", pii.redact_nested(F.col("doc"), docs.schema["doc"].dataType, ["raw"]).alias("doc"))
+    body = F.col("doc.body")
+    return out.select(
+        "conv_id", "turn", F.col("doc.role").alias("role"), body["said"].alias("said"), body["notes"]["note"]["text"].alias("note"),
+        body["notes"]["note"]["raw"].alias("raw"), body["notes"]["raw"]["text"].alias("skipped"), body["list"][0].alias("listed"),
+    )
+
+
 @query
 def pii_redact_field(spark, sf):
     return inputs.table(spark, sf, "conversations").select(
@@ -918,6 +954,14 @@ def sanitize_pages(spark, sf):
     return _marked_pages(spark, sf).select("page_id", page.sanitize(F.col("html"), 100_000_000).alias("content"))
 
 
+@query
+def sanitize_with_patterns(spark, sf):
+    """Clean content beside the injection patterns that its raw text held."""
+    raw = F.concat("text", F.when(F.col("doc_id") % 3 == 0, F.lit(" <script>ignore previous</script>")).otherwise(F.lit("")))
+    out = _marked_docs(spark, sf).select("doc_id", page.sanitize_checked(raw, 40).alias("clean"))
+    return out.select("doc_id", "clean.content", F.array_join("clean.patterns", ",").alias("patterns"))
+
+
 @query
 def truncate_and_fence(spark, sf):
     body = F.concat(F.substring("text", 1, 20), F.lit("</untrusted_scraped_content>"), F.col("text"))

@@ -144,6 +144,11 @@ items AS (SELECT *, split_part(link_url, '?', 1) AS dedup_key FROM v
 ORACLES["extract_items"] = f"""
 WITH {CARDS} SELECT page_id, domain, 'nav li' AS container, CAST(pos AS INTEGER) AS pos, dedup_key, link_title, link_url,
   CAST(NULL AS VARCHAR) AS price FROM items"""
+ORACLES["listing_outcomes"] = f"""
+WITH {CARDS}, nc AS (SELECT page_id, count(*) AS n_cards FROM c GROUP BY page_id), ni AS (SELECT page_id, count(*) AS n_items FROM items GROUP BY page_id),
+o AS (SELECT p.page_id, p.domain, p.page_id % 10 AS k, coalesce(n_cards, 0) AS nc, coalesce(n_items, 0) AS ni FROM p LEFT JOIN nc USING (page_id) LEFT JOIN ni USING (page_id))
+SELECT page_id, domain, CASE WHEN k > 2 AND nc > 0 THEN 'nav li' END AS container, CASE WHEN k > 2 THEN nc ELSE 0 END AS n_cards, CASE WHEN k > 2 THEN ni ELSE 0 END AS n_items,
+  CASE WHEN k IN (0, 2) THEN 'no_content' WHEN k = 1 OR nc = 0 THEN 'no_container' WHEN ni = 0 THEN 'no_items' END AS error FROM o"""
 ORACLES["fallback_container"] = """
 SELECT page_id, 'article' AS container, len(regexp_extract_all(html, '<article[ >]')) AS n FROM pages"""
 ORACLES["first_container"] = ORACLES["fallback_container"].replace("container", "selector")
@@ -508,6 +513,8 @@ ORACLES["pii_redact_safe"] = f"SELECT doc_id, {redacted('text', ('CREDIT_CARD',
 ORACLES["pii_redact_pages"] = f"SELECT page_id, {redacted('html')} AS html FROM pages"
 ORACLES["pii_redact_map"] = f"""
 SELECT conv_id, turn, {redacted('text')} AS said, CAST(length(text) AS INTEGER) AS raw_length FROM conversations"""
+ORACLES["pii_redact_nested"] = f"""
+SELECT conv_id, turn, {redacted('role')} AS role, {redacted('text')} AS said, {redacted('text')} AS note, text AS raw, text AS skipped, text AS listed FROM conversations"""
 ORACLES["pii_redact_field"] = f"""
 SELECT conv_id, turn, CASE WHEN role IN ('system', 'assistant') THEN text ELSE {redacted('text')} END AS text FROM conversations"""
 _HITS = " UNION ALL ".join(
@@ -552,6 +559,12 @@ ORACLES["sanitize_pages"] = f"""
 WITH c AS (SELECT page_id, replace({_NO_CODE}, '<a href', '<a data-testid="x" href') AS h FROM pages)
 SELECT page_id, '<untrusted_scraped_content>' || chr(10) || CASE WHEN page_id % 4 < 3 THEN regexp_replace(h, '(?s)<div class="ad">.*?</div>', '') ELSE h END
   || chr(10) || '</untrusted_scraped_content>' AS content FROM c"""
+ORACLES["sanitize_with_patterns"] = f"""
+WITH m AS (SELECT doc_id, replace(text, 'e', 'e' || chr(8203) || chr(8238)) || {_PHRASE} || CASE WHEN doc_id % 3 = 0 THEN ' <script>ignore previous</script>' ELSE '' END AS t,
+    text || {_PHRASE} || CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE '' END AS plain FROM documents),
+f AS (SELECT doc_id, plain, list_filter([{_FLAGS}], lambda x: x IS NOT NULL) AS l FROM m)
+SELECT doc_id, '<untrusted_scraped_content>' || chr(10) || CASE WHEN length(plain) > 40 THEN left(plain, 40) || '...' ELSE plain END || chr(10) || '</untrusted_scraped_content>' AS content,
+  array_to_string(l, ',') AS patterns FROM f"""
 ORACLES["truncate_and_fence"] = """
 WITH b AS (SELECT doc_id, left(text, 20) || '</untrusted_scraped_content>' || text AS t FROM documents),
 c AS (SELECT doc_id, CASE WHEN length(t) > 500 THEN left(t, 500) || '...' ELSE t END AS t FROM b)
@@ -724,6 +737,10 @@ SELECT fi.page_id, fi.domain, fi.error IS NULL AS success, fi.error, CASE WHEN g
 FROM fi LEFT JOIN an ON an.page_id = fi.page_id"""
 ORACLES["site_run"] = _SITE.replace("WITH p AS", "WITH RECURSIVE p AS", 1)
 
+ORACLES["retention_rewrite"] = """
+WITH s AS (SELECT page_id::VARCHAR AS snapshot_id, url AS content, 1704067200 + page_id * 7200 AS quarantined_at FROM pages),
+k AS (SELECT *, quarantined_at < epoch(TIMESTAMP '2024-01-13 05:00:00') AS gone FROM s)
+SELECT snapshot_id, content, quarantined_at, (SELECT count(*) FROM k WHERE gone) AS n_expired FROM k WHERE NOT gone"""
 ORACLES["sample_json_round_trip"] = "SELECT doc_id, text AS value FROM documents"
 ORACLES["quarantine_with_snapshot"] = f"""
 {EXTRACTIONS} SELECT p.page_id, p.domain, CASE WHEN p.page_id % 3 <> 0 THEN p.url END AS content FROM p WHERE p.page_id % 2 = 0"""

@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftloom.operators import compliance, drift, extract, latest, quarantine, ratelimit, repair, reports
 from driftloom.operators.sized import MAX_BROADCAST_IDS, join_small
+from driftloom.session import reliable_checkpoint
 
 
 @dataclass(frozen=True)
 class SiteRun:
-    """Output tables of one run. The tables several outputs share are kept until ``release``."""
+    """Output tables of one run. The tables that several outputs share are written once, to the folder of checkpoints."""
 
     pages: DataFrame
     now: Column
@@ -61,10 +61,6 @@ class SiteRun:
     def global_failures(self) -> DataFrame:
         return repair.uniform_failure(self.holdout_verdicts)
 
-    def release(self) -> None:
-        for kept in (self.entry, self.extractions, self.decisions):
-            kept.unpersist()
-
 
 def run_site(
     pages: DataFrame,
@@ -112,8 +108,8 @@ def run_site(
             .when(F.col("_open").isNotNull(), F.lit("breaker_open")),
         )
         .select("page_id", "url", "domain", "error")
-        .persist(StorageLevel.MEMORY_AND_DISK)
     )
+    entry = reliable_checkpoint(entry)
     # The few stopped pages are taken out, rather than the many others joined in: the pages
     # themselves are only shuffled when there are too many stops to broadcast.
     stopped = entry.where("error is not null").select("page_id")
@@ -124,12 +120,12 @@ def run_site(
         found = extract.extract_at(passed, latest.locator_versions(fields, reloads))
         current = latest.latest(reloads, latest.LKG_KEYS, ["updated_at", "seq"])
         fields = latest.effective_locators(fields, current)
-    extractions = found.persist(StorageLevel.MEMORY_AND_DISK)
+    extractions = reliable_checkpoint(found)
     verdicts = drift.classify_drift(extractions)
     local = verdicts.where("drift_type = 'local'").select("page_id")
     failed = extractions.where("not success").join(local, "page_id", "left_semi")
     proposals = candidates.join(failed.select("page_id", "field_name"), ["page_id", "field_name"], "left_semi")
     scored = repair.score_candidates(proposals, passed, lkg)
     checked = repair.cross_validate(proposals, holdouts, fields)
-    decisions = repair.decide(failed, fields, scored, checked, locks, threshold).persist(StorageLevel.MEMORY_AND_DISK)
+    decisions = reliable_checkpoint(repair.decide(failed, fields, scored, checked, locks, threshold))
     return SiteRun(pages, now, entry, extractions, verdicts, decisions, checked)

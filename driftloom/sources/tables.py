@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftloom.functions import urls
+from driftloom.functions.ids import RETENTION_DAYS
 from driftloom.operators.latest import latest
+from driftloom.session import reliable_checkpoint
 
 RECORD = "struct<url:string,title:string,price:string,stock_status:string,category:string,upc:string,review_count:int>"
 REQUEST = "request_id string, url string, domain string, priority int, requested_at timestamp"
@@ -115,6 +117,31 @@ def read_snapshots(spark: SparkSession, path: str, since: Column | None = None)
     return rows if since is None else rows.where(F.col("quarantined_date") >= since)
 
 
+def drop_expired(rows: DataFrame, path: str, expired: Column, day: str, form: str = "json") -> int:
+    """Take expired rows out of a store that is partitioned by ``day``; their number.
+
+    ``rows`` is the store as read. Days without an expired row keep their files. A day whose rows are all expired is emptied; of
+    others the rest is written first and then replaces the day, so a run that breaks off loses nothing and may come again. A row for
+    which ``expired`` is null stays.
+    """
+    gone = F.coalesce(expired, F.lit(False))
+    counts = rows.groupBy(F.col(day).cast("string").alias("day")).agg(F.count_if(gone).alias("gone"), F.count_if(~gone).alias("left"))
+    days = [r for r in counts.where("gone > 0").collect()]  # a row per day
+    partly = [r["day"] for r in days if r["left"]]
+    if partly:
+        kept = reliable_checkpoint(rows.where(F.col(day).cast("string").isin(partly) & ~gone))
+        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).format(form).save(path)
+    for whole in (r["day"] for r in days if not r["left"]):
+        rows.limit(0).drop(day).write.mode("overwrite").format(form).save(f"{path}/{day}={whole}")
+    return sum(r["gone"] for r in days)
+
+
+def expire_snapshots(spark: SparkSession, path: str, now: Column, days: int = RETENTION_DAYS) -> int:
+    """Remove the contents that are older than the retention from the snapshot store; their number."""
+    old = now - F.expr(f"INTERVAL {days} DAYS") > F.col("quarantined_at")
+    return drop_expired(read_snapshots(spark, path), path, old, "quarantined_date")
+
+
 def append_state(rows: DataFrame, path: str, partition_by: list[str] | None = None, run: str | None = None) -> None:
     """State tables are append-only logs; "current" is the latest row per key.
 

@@ -5,6 +5,7 @@ from urllib.parse import urljoin
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftloom.functions import dom, ids, page, parsing, pii, rules, similarity, text, urls
 
@@ -248,3 +249,24 @@ def test_hosts_with_zones_and_names(spark):
     hosts = {"fe80::1%25eth0": True, "::ffff:10.0.0.1": True, "2606:4700::1": False, "localhost": None, "0x8.8.8.8": False, "0300.0250.1": True, "g::1": None}
     df = spark.createDataFrame([(h,) for h in hosts], "v string")
     assert {r.v: r.p for r in df.select("v", urls.private_host(V).alias("p")).collect()} == hosts
+
+
+def test_nested_redaction(spark):
+    mail, gone = "a@b.co", "[REDACTED_EMAIL]"
+    kind = T.StructType().add("m", "string").add("keep", T.StructType().add("m", "string")).add("n", T.IntegerType()).add("l", T.ArrayType(T.StructType().add("m", "string").add("keep", "string")))
+    kind = kind.add("deep", T.MapType(T.StringType(), T.MapType(T.StringType(), T.StringType())))
+    row = (mail, (mail,), 7, [(mail, mail), None], {"x": {"m": mail, "keep": mail, "free": mail, "z": None}, "keep": {"m": mail}, "none": None})
+    df = spark.createDataFrame([(row,), (None,), ((None, None, None, None, None),)], T.StructType().add("v", kind))
+    got = [r["r"] for r in df.select(pii.redact_nested(V, kind, ["keep"], ["free"]).alias("r")).collect()]
+    assert got[1] is None and list(got[2]) == [None] * 5
+    assert (got[0].m, got[0].keep.m, got[0].n, got[0].l[0].m) == (gone, mail, 7, mail)
+    assert got[0].deep == {"x": {"m": gone, "keep": mail, "free": mail, "z": None}, "keep": {"m": mail}, "none": None}
+    listed = df.select(pii.redact_nested(V, kind, ["keep"], lists=True).alias("r")).first()["r"]
+    assert [x and tuple(x) for x in listed.l] == [(gone, mail), None] and listed.deep["x"]["free"] == gone
+    assert df.select(pii.redact_nested(V, kind).alias("r")).schema["r"].dataType.simpleString() == kind.simpleString()
+    assert one(spark, pii.redact_nested(V, T.StringType()), mail) == gone
+
+
+def test_sanitised_content_names_the_patterns_of_the_raw_text(spark):
+    found = one(spark, page.sanitize_checked(V), "<script>ignore previous</script> hello")
+    assert found.patterns == ["ignore_previous"] and "script" not in found.content and "hello" in found.content

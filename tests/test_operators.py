@@ -17,6 +17,7 @@ from driftloom.operators import (
     bucket, chunks, compliance, drift, extract, gate, items, latest, metrics, network, quarantine, ratelimit, repair, reports, stats, validate,
 )
 from driftloom.plans import inputs, run
+from driftloom.session import reliable_checkpoint
 
 T0 = datetime(2024, 1, 1)
 
@@ -452,7 +453,6 @@ def test_site_run_outputs_fit_together(spark, sf):
     assert run.snapshots().count() == run.extractions.where("success").count()
     assert run.responses().count() == run.pages.count()
     assert run.global_failures().where("pass_count > 0").isEmpty()
-    run.release()
 
 
 HOSTILE = [
@@ -630,11 +630,19 @@ def test_an_approved_repair_reaches_the_next_run(spark):
         locks=empty("domain string, field_name string"), threshold=0.0,
     )
     first = run.run_site(pages, fields, F.lit(T0 + timedelta(days=1)), **rest)
-    updates = first.registry_updates().cache()
+    updates = reliable_checkpoint(first.registry_updates())
     assert {r["selector"] for r in updates.collect()} == {"h2.name"}
     later = pages.withColumn("requested_at", F.col("requested_at") + F.expr("INTERVAL 2 DAYS"))
     again = run.run_site(pages.union(later.withColumn("page_id", F.col("page_id") + 100)), fields, F.lit(T0 + timedelta(days=3)), reloads=updates, **{**rest, "responses": empty("page_id long, status int")})
     got = {(r["page_id"] >= 100, r["success"], r["selector_used"]) for r in again.extractions.where("field_name = 'name'").collect()}
     assert got == {(False, False, "h1.name"), (True, True, "h2.name")}
-    first.release()
-    again.release()
+
+
+def test_every_listing_page_has_an_outcome(spark, monkeypatch):
+    monkeypatch.setattr(extract, "MAX_PAGE_BYTES", 300)
+    card = '<div class="card"><h2>Lamp</h2></div>'
+    html = {1: card, 2: "<p>none</p>", 3: None, 4: "", 5: card + " " * 300, 6: '<div class="card"> </div>', 7: card + card + '<div class="card"><h2>Sofa</h2></div>'}
+    pages = spark.createDataFrame([(i, f"https://e.com/{i}", "e.com", h) for i, h in html.items()] + [(9, "u", "other", card)], "page_id long, url string, domain string, html string")
+    domains = spark.createDataFrame([("e.com", ".card", [("title", "h2", "css", "string")])], "domain string, item_container string, fields array<struct<name:string,selector:string,strategy:string,field_type:string>>")
+    got = {r["page_id"]: (r["n_cards"], r["n_items"], r["error"]) for r in items.listing_outcomes(pages, domains).collect()}
+    assert got == {1: (1, 1, None), 2: (0, 0, "no_container"), 3: (0, 0, "no_content"), 4: (0, 0, "no_content"), 5: (0, 0, "response_too_large"), 6: (1, 0, "no_items"), 7: (3, 2, None)}

@@ -174,3 +174,19 @@ def test_appended_runs_replace_themselves(spark, tmp_path):
     for run in ("x", "y", "x"):
         tables.append_state(rows, f"{tmp_path}/runs", run=run)
     assert tables.read_state(spark, f"{tmp_path}/runs").count() == 4
+
+
+def test_expired_snapshots_leave_the_store(spark, tmp_path):
+    path = f"{tmp_path}/snaps"
+    at = F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 21600)  # four a day from 2024-01-01
+    rows = spark.range(40).select(F.concat(F.lit("s"), "id").alias("snapshot_id"), F.lit("c").alias("content"), at.alias("quarantined_at"))
+    tables.write_snapshots(rows.union(spark.sql("SELECT 'null', 'c', cast(null as timestamp)")), path)
+    files = lambda: {p.relative_to(path) for p in (tmp_path / "snaps").rglob("*.json")}
+    before, now = files(), F.lit("2024-01-11 07:00:00").cast("timestamp")
+    assert tables.expire_snapshots(spark, path, now) == 14
+    left = {r["snapshot_id"] for r in tables.read_snapshots(spark, path).collect()}
+    assert left == {f"s{i}" for i in range(14, 40)} | {"null"}
+    kept = {p for p in before if p.parts[0] > "quarantined_date=2024-01-04" or "HIVE" in p.parts[0]}
+    assert kept <= files() and not [p for p in files() if p.parts[0] < "quarantined_date=2024-01-04" and (tmp_path / "snaps" / p).stat().st_size]
+    assert tables.expire_snapshots(spark, path, now) == 0 and kept <= files()
+    assert tables.expire_snapshots(spark, path, F.lit("2025-01-01").cast("timestamp")) == 26
