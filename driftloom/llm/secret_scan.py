@@ -6,19 +6,25 @@ Three kinds are found by pattern alone (``assign``, ``access``, ``hex``), leftmo
 * Each run's encoding is inferred from its characters (hex, base32, base36, base64 with both of its last pairs); its symbols are
   tested for a uniform alphabet (chi-squared, by the Wilson-Hilferty normal), for runs above and below the alphabet's middle
   (Wald-Wolfowitz) and for serial correlation. The three two-sided p-values are combined by Bonferroni.
-* Runs of letters alone are words of a language. They are the control group: the same battery says how often ordinary text of a
-  length class passes. A class of (encoding, length) accepts at the lowest level whose false discoveries, estimated as that rate
-  times all runs of the class, are at most ``RATE`` of what it accepts. Short classes therefore need better evidence than long ones.
+* Passing these tests is weak evidence, as 20 symbols contradict little. So a run must also contradict ordinary text: a model of
+  adjacent letters and digits is counted over all tokens of the corpus, and a run is read in segments, cut at marks (``/ _ + -``)
+  and where a capital follows a small letter, so that paths, slugs and names of functions are judged by their words; pairs of digits
+  are numbers and say nothing. The mean log
+  probability of its pairs, against that of text, gives a p-value for being text.
+* A length class accepts the p-values that keep its false discoveries at ``RATE`` (Benjamini-Hochberg over whole decimal places): a
+  class with few or doubtful discoveries needs better evidence. Runs of letters of one case, or capitalised, are never spans.
 
-DataFrame functions only. The scan is one pass over the texts and its narrow result is checkpointed; the class table has at most
-(encodings x length classes) rows, so it becomes
-a literal. Positions are code points, ends exclusive.
+DataFrame functions only. The pairs are one pass over the texts that gives at most 36 x 36 rows, the scan another; its narrow result is
+checkpointed, and the limits have one row per length class, so both become literals. Positions are code points, ends exclusive.
 
 Null texts scan as empty, repeated rows each by themselves, and texts of any length whole. Other columns are not touched.
 """
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,8 +48,14 @@ ENCODINGS = (
     ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", r"[A-Za-z]"),
 )
 
-#: Levels of the combined p-value, lowest first; the share of false discoveries; ends of the length classes.
-LEVELS, RATE, LENGTHS = (0.001, 0.01, 0.05, 0.2), 0.05, (24, 32, 48, 64, 128)
+#: The combined p-value that a run must reach; the share of false discoveries, small since names are made of words that the corpus may lack;
+#: ends of the length classes.
+LEVEL, RATE, LENGTHS = 0.001, 1e-6, (24, 32, 48, 64, 128)
+
+#: Symbols of the text model, what ends a segment, the least log probability of a pair, by how much the pairs of a word vary together,
+#: and the decimal places to which p-values are told apart.
+SYMBOLS = "abcdefghijklmnopqrstuvwxyz0123456789"
+CUTS, FLOOR, SPREAD, PLACES = r"[/_+-]+|(?<=[a-z])(?=[A-Z])", -5.0, 1.5, 30
 
 
 def occurrences(text: Column, pattern: str, group: int = 0) -> Column:
@@ -97,18 +109,60 @@ def tested(run: Column, name: str, alphabet: str) -> Column:
     return let(symbols, lambda codes: battery(codes, len(alphabet)))
 
 
-def judged(run: Column) -> Column:
-    """Encoding, length class and p-value of a run; the encoding is null for digits alone and marks alone."""
+def text_pairs(docs: DataFrame, text: str = "text") -> dict[str, int]:
+    """How often two letters or digits (small ones) stand side by side in the tokens of all texts. Tokens are counted first, in pieces of
+    19 characters at most; a piece is short, so its pairs are taken one by one."""
+    tokens = docs.select(F.explode_outer(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]{2,19}"), F.lit(0))).alias("token"))
+    counted = tokens.where("token is not null").groupBy("token").agg(F.count("*").alias("n"))
+    pairs = counted.select("n", F.explode(F.transform(F.sequence(F.lit(1), F.length("token") - 1), lambda i: F.substring("token", i, 2))).alias("pair"))
+    return {r["pair"]: r["n"] for r in pairs.groupBy("pair").agg(F.sum("n").alias("n")).collect()}
+
+
+class TextModel:
+    """Log probabilities of a symbol after another, and their mean and variance in text."""
+
+    def __init__(self, pairs: dict[str, int]) -> None:
+        k = len(SYMBOLS)
+        count = np.array([[pairs.get(a + b, 0) for b in SYMBOLS] for a in SYMBOLS], dtype=float)
+        count[26:, 26:] = 0  # numbers say nothing
+        self.log_p = np.maximum(FLOOR, np.log((count + 0.5) / (count.sum(1, keepdims=True) + 0.5 * k)))
+        share = count / max(1.0, count.sum())
+        self.mean = float((share * self.log_p).sum())
+        self.variance = float((share * (self.log_p - self.mean) ** 2).sum())
+
+    def places(self, run: Column) -> Column:
+        """Decimal places of the p-value of a run being text, rounded down; 0 for all above a tenth."""
+        if not self.variance:
+            return F.lit(0)
+        values, k = F.lit([float(v) for v in self.log_p.ravel()]), len(SYMBOLS)
+        plain = F.lower(F.regexp_replace(run, CUTS, " "))
+        codes = F.transform(F.filter(F.split(plain, ""), lambda c: c != ""), lambda c: F.instr(F.lit(SYMBOLS), c))
+
+        def found(x: Column) -> Column:
+            pairs = F.zip_with(F.slice(x, 1, F.size(x) - 1), F.slice(x, 2, F.size(x) - 1), lambda a, b: F.when((F.least(a, b) > 0) & (F.least(a, b) <= 26), F.get(values, (a - 1) * k + b - 1)))
+            return F.filter(pairs, lambda v: v.isNotNull())
+
+        def score(v: Column) -> Column:
+            n = F.size(v).cast("double")
+            return F.when(n > 0, (F.aggregate(v, F.lit(0.0), lambda s, x: s + x) - n * self.mean) / F.sqrt(n * self.variance * SPREAD)).otherwise(F.lit(0.0))
+
+        # The normal's lower tail is below its density over the distance.
+        tail = lambda z: F.when(z < -1.3, (z * z / 2 + F.log(-z * 2.506628274631)) / math.log(10)).otherwise(F.lit(0.0))
+        return F.least(F.floor(let(let(let(codes, found), score), tail)), F.lit(PLACES)).cast("int")
+
+
+def judged(run: Column, model: TextModel) -> Column:
+    """Encoding, length class, p-value of the battery and ``places`` of a run; the encoding is null for digits alone and marks alone."""
     kind = F.coalesce(*(F.when(run.hit.rlike(pattern), F.lit(name)) for name, _, pattern in ENCODINGS))
     value = F.lit(None).cast("double")
     for name, alphabet, _ in reversed(ENCODINGS):
         value = F.when(kind == name, tested(run.hit, name, alphabet)).otherwise(value)
     size = run.end - run.start
     length = sum(((size >= end).cast("int") for end in LENGTHS), F.lit(0))
-    return F.struct(run.start.alias("start"), run.end.alias("end"), kind.alias("encoding"), length.alias("length"), value.alias("p"))
+    return F.struct(run.start.alias("start"), run.end.alias("end"), kind.alias("encoding"), length.alias("length"), value.alias("p"), model.places(run.hit).alias("places"))
 
 
-def scan(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, keys: list[str], model: TextModel, text: str = "text") -> DataFrame:
     """(keys, assign, access, hex, runs): matches by kind, and the judged runs outside them. ``keys`` without these names."""
     rows = docs.select(*keys, F.coalesce(F.col(text), F.lit("")).alias("_text"))
     found = F.struct(
@@ -124,49 +178,47 @@ def scan(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     base = F.concat("assign", "access", "hex")
     free = F.filter("runs", lambda r: ~F.exists(base, lambda b: (b.start < r.end) & (r.start < b.end)))
     bare = lambda c: F.transform(c, lambda s: F.struct(s.start.alias("start"), s.end.alias("end"))).alias(c)
-    judged_runs = F.filter(F.transform(free, judged), lambda r: r.encoding.isNotNull())
+    judged_runs = F.filter(F.transform(free, lambda r: judged(r, model)), lambda r: r.encoding.isNotNull())
     return rows.select(*keys, bare("assign"), bare("access"), bare("hex"), judged_runs.alias("runs"))
 
 
-def levels(scanned: DataFrame) -> DataFrame:
-    """(encoding, length, level): the lowest level that keeps false discoveries of a class within ``RATE``, null where none does."""
-    runs = scanned.select(F.explode("runs").alias("r")).select("r.*")
-    passes = [F.count(F.when(F.col("p") >= level, 1)).alias(f"at{i}") for i, level in enumerate(LEVELS)]
-    classes = runs.groupBy("encoding", "length").agg(F.count("*").alias("all"), *passes)
-    control = classes.filter("encoding = 'letters'").select("length", F.col("all").alias("words"), *(F.col(f"at{i}").alias(f"word{i}") for i in range(len(LEVELS))))
-    both = classes.filter("encoding <> 'letters'").join(F.broadcast(control), "length", "left")
-    # One more than was seen: a class without control runs is not taken for a class without false discoveries.
-    rate = lambda i: (F.coalesce(f"word{i}", F.lit(0)) + 1) / (F.coalesce("words", F.lit(0)) + 1 / LEVELS[0])
-    level = F.coalesce(*(F.when((F.col(f"at{i}") > 0) & (rate(i) * F.col("all") <= RATE * F.col(f"at{i}")), F.lit(v)) for i, v in enumerate(LEVELS)))
-    return both.select("encoding", "length", level.alias("level"))
-
-
-def class_levels(scanned: DataFrame) -> list[tuple[str, int, float]]:
-    """``levels`` as a list: a handful of rows, whatever the input."""
-    return [(r["encoding"], r["length"], r["level"]) for r in levels(scanned).filter("level IS NOT NULL").collect()]
+def limits(scanned: DataFrame) -> list[tuple[int, int]]:
+    """(length class, decimal places that a run must have): the fewest for which the runs expected to have them by chance are at most
+    ``RATE`` of those that do. A row per class and place, whatever the input."""
+    runs = scanned.select(F.explode("runs").alias("r")).select("r.*").filter("encoding <> 'letters'")
+    counts: dict[int, list[int]] = {}
+    for r in runs.groupBy("length", "places").count().collect():
+        counts.setdefault(r["length"], [0] * (PLACES + 1))[r["places"]] += r["count"]
+    out = []
+    for length, found in sorted(counts.items()):
+        fewest = [k for k in range(1, PLACES + 1) if sum(found[k:]) and sum(found) * 10.0**-k <= RATE * sum(found[k:])]
+        out += [(length, fewest[0])] if fewest else []
+    return out
 
 
-def accepted(table: list[tuple[str, int, float]], runs: str = "runs") -> Column:
-    """The spans of the runs that their class accepts."""
-    sure = lambda r: F.coalesce(*(F.when((r.encoding == e) & (r.length == n), r.p >= level) for e, n, level in table), F.lit(False))
-    return F.transform(F.filter(runs, sure), lambda r: F.struct(r.start.alias("start"), r.end.alias("end")))
+def accepted(table: list[tuple[int, int]], runs: str = "runs") -> Column:
+    """The spans of the runs that pass the battery and that their length class accepts."""
+    sure = lambda r: F.coalesce(*(F.when(r.length == n, r.places >= least) for n, least in table), F.lit(False))
+    good = lambda r: (r.encoding != "letters") & (r.p >= LEVEL) & sure(r)
+    return F.transform(F.filter(runs, good), lambda r: F.struct(r.start.alias("start"), r.end.alias("end")))
 
 
 def spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, assign, access, hex, random) for each row: arrays of (start, end)."""
-    scanned = reliable_checkpoint(scan(docs, [key], text))
-    return scanned.select(key, "assign", "access", "hex", accepted(class_levels(scanned)).alias("random"))
+    scanned = reliable_checkpoint(scan(docs, [key], TextModel(text_pairs(docs, text)), text))
+    return scanned.select(key, "assign", "access", "hex", accepted(limits(scanned)).alias("random"))
 
 
 def redacted(docs: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:
     """The rows with every secret in ``text`` replaced by a mark, and ``length`` (where there is one) set to the new length.
 
-    The class table is read off a first scan. The second finds the spans beside the text, so texts are never joined or shuffled.
+    The limits are read off a first scan. The second finds the spans beside the text, so texts are never joined or shuffled.
     """
-    table = class_levels(reliable_checkpoint(scan(docs, [], text).select("runs")))
+    model = TextModel(text_pairs(docs, text))
+    table = limits(reliable_checkpoint(scan(docs, [], model, text).select("runs")))
     packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_given"))
     spans_of = F.array_sort(F.concat("assign", "access", "hex", accepted(table)))
-    done = with_once(scan(packed, ["_row"], "_given"), "_clean", masked(F.col("_row")[text], spans_of))
+    done = with_once(scan(packed, ["_row"], model, "_given"), "_clean", masked(F.col("_row")[text], spans_of))
     new = {text: F.col("_clean")}
     if length in docs.columns:
         new[length] = F.when(F.size(spans_of) > 0, F.length("_clean")).otherwise(F.col("_row")[length]).cast(docs.schema[length].dataType)

@@ -125,3 +125,87 @@ def test_redaction(spark, docs, none, texts):
     assert secret_scan.redacted(none).count() == 0 and secret_scan.spans(none).count() == 0
 
 
+
+
+def by_plain_python(rows):
+    """The method's spans (row, text) one run at a time: battery, text model and limits."""
+    count = defaultdict(int)
+    for _, text in rows:
+        for token in re.findall("[a-z0-9]{2,19}", (text or "").lower()):
+            for a, b in zip(token, token[1:]):
+                count[a, b] += not (a.isdigit() and b.isdigit())
+    symbols = "abcdefghijklmnopqrstuvwxyz0123456789"
+    after = {a: sum(count[a, b] for b in symbols) for a in symbols}
+    log_p = {(a, b): max(-5.0, math.log((count[a, b] + 0.5) / (after[a] + 18))) for a in symbols for b in symbols}
+    total = sum(count.values())
+    mean = sum(n * log_p[p] for p, n in count.items() if n) / total
+    variance = sum(n * (log_p[p] - mean) ** 2 for p, n in count.items() if n) / total
+    normal = lambda z: math.erfc(abs(z) / math.sqrt(2))
+    runs = []
+    for i, text in rows:
+        base = [(m.start(), m.end()) for m in secret_base(text)]
+        for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}", text):
+            if any(a < m.end() and m.start() < b for a, b in base):
+                continue
+            name, alphabet = next(((n, a) for n, a, p in secret_scan.ENCODINGS if re.search(p, m[0])), (None, None))
+            if name in (None, "letters"):
+                continue
+            plain = m[0].replace("-", "+").replace("_", "/") if name == "base64" else m[0].lower()
+            x, k = [alphabet.index(c) for c in plain], len(alphabet)
+            n, free = len(x), k - 1
+            chi = ((max(0, k / n * sum(x.count(v) ** 2 for v in set(x)) - n) / free) ** (1 / 3) - (1 - 2 / (9 * free))) / (2 / (9 * free)) ** 0.5
+            low, turns = sum(v < k / 2 for v in x), 1 + sum((a < k / 2) != (b < k / 2) for a, b in zip(x, x[1:]))
+            t = 2 * low * (n - low)
+            z_runs = (turns - 1 - t / n) / math.sqrt(t * (t - n) / (n * n * (n - 1))) if t > n else 40.0
+            mid = sum(x) / n
+            spread = sum((v - mid) ** 2 for v in x)
+            z_serial = sum((a - mid) * (b - mid) for a, b in zip(x, x[1:])) / spread * math.sqrt(n) if spread else 40.0
+            p = min(1.0, 3 * min(normal(chi), normal(z_runs), normal(z_serial)))
+            segments = re.split(r"[/_+-]+|(?<=[a-z])(?=[A-Z])", m[0])
+            own = [log_p[a, b] for s in segments for a, b in zip(s.lower(), s.lower()[1:]) if not (a.isdigit() and b.isdigit())]
+            z = (sum(own) - len(own) * mean) / math.sqrt(len(own) * variance * 1.5) if own else 0.0
+            places = min(30, math.floor((z * z / 2 + math.log(-z * math.sqrt(2 * math.pi))) / math.log(10))) if z < -1.3 else 0
+            runs.append((i, m[0], sum(len(m[0]) >= e for e in (24, 32, 48, 64, 128)), p, places))
+    out = []
+    for length in {r[2] for r in runs}:
+        mine = [r for r in runs if r[2] == length]
+        fits = [k for k in range(1, 31) if (found := sum(r[4] >= k for r in mine)) and len(mine) * 10.0**-k <= secret_scan.RATE * found]
+        out += [r[:2] for r in mine if fits and r[4] >= fits[0] and r[3] >= 0.001]
+    return sorted(out)
+
+
+def secret_base(text):
+    yield from (m for m in ASSIGN.finditer(text) if len(m[2]) >= 6)
+    yield from (m for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20)
+    yield from (m for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24)
+
+
+NAMES = [
+    "static/js/main/bundle/vendor", "https://x.com/blog/2024/05/why-we-moved-to-rust ok", "org/apache/spark/sql/functions", "updateUserProfileSettings",
+    "requestAnimationFrameCallback", "src/components/navigation/HeaderDropdownMenu", "AbstractSingletonProxyFactoryBean", "2024-05-17-release-notes-for-version-3",
+]
+
+
+@pytest.fixture(scope="module")
+def keyed(spark, sf):
+    """The test documents, names and paths of programs, and keys of several kinds."""
+    rng = random.Random(3)
+    kinds = [("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 40), ("abcdefghijklmnopqrstuvwxyz0123456789", 32), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 32), ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 36)]
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()] + [(10_000 + i, n) for i, n in enumerate(NAMES)]
+    for k, (letters, n) in enumerate(kinds):
+        rows += [(20_000 + 1000 * k + i, "key " + "ghp_" * (k == 3) + "".join(rng.choice(letters) for _ in range(n))) for i in range(40)]
+    found = secret_scan.spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).filter("size(random) > 0").collect()
+    texts = dict(rows)
+    return rows, sorted((r.doc_id, texts[r.doc_id][s.start : s.end]) for r in found for s in r.random)
+
+
+def test_names_and_paths_are_text_and_keys_are_not(keyed):
+    _, found = keyed
+    assert not [f for f in found if f[0] < 20_000]
+    for k in range(4):
+        assert len([f for f in found if 20_000 + 1000 * k <= f[0] < 21_000 + 1000 * k]) >= 38
+
+
+def test_random_spans_by_plain_python(keyed):
+    rows, found = keyed
+    assert found == by_plain_python(rows)
