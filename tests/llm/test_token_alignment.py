@@ -33,9 +33,10 @@ def groups(text):
     if b"".join(raw_a) != (" " + text).encode() or b"".join(raw_b) != (" " + text).encode():
         return []
     end_a, end_b = ends(raw_a), ends(raw_b)
+    at_a, at_b = ({end: k + 1 for k, end in enumerate(ends)} for ends in (end_a, end_b))
     out, i, j = [], 0, 0
     for cut in sorted(set(end_a) & set(end_b)):
-        k, m = end_a.index(cut) + 1, end_b.index(cut) + 1
+        k, m = at_a[cut], at_b[cut]
         out.append((a[i:k], b[j:m]))
         i, j = k, m
     return out
