@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from driftloom.functions import ids, parsing, rules
 from driftloom.functions.let import let
 from driftloom.operators import stats
+from driftloom.operators.once import with_once
 from driftloom.operators.sized import join_small
 
 CHECK = "struct<check_type:string,passed:boolean,failure_reason:string>"
@@ -51,7 +52,9 @@ def check_values(extractions: DataFrame, rule_table: DataFrame, stored_stats: Da
             *stats.KEYS, F.col("value_count").alias("_n"), F.col("value_sum").alias("_s"), F.col("value_sum_sq").alias("_ss")
         )
         rows = rows.join(totals, stats.KEYS, "left")
-    rows = join_small(rows, rules_by_field(rule_table), ["field_name"], "left")
+    # As an attribute of its own: a field name that is a constant would leave no key to join on.
+    named = rules_by_field(rule_table).withColumnRenamed("field_name", "_field")
+    rows = join_small(with_once(rows, "_field", F.col("field_name")), named, ["_field"], "left").drop("_field")
     value, nothing = F.col("value"), F.array().cast(f"array<{CHECK}>")
     reason = parsing.type_failure(value, F.col("field_type"), F.col("required"))
     typed = rows.withColumn("_type", let(reason, lambda r: _check("type", r.isNull(), r)))

@@ -646,3 +646,10 @@ def test_every_listing_page_has_an_outcome(spark, monkeypatch):
     domains = spark.createDataFrame([("e.com", ".card", [("title", "h2", "css", "string")])], "domain string, item_container string, fields array<struct<name:string,selector:string,strategy:string,field_type:string>>")
     got = {r["page_id"]: (r["n_cards"], r["n_items"], r["error"]) for r in items.listing_outcomes(pages, domains).collect()}
     assert got == {1: (1, 1, None), 2: (0, 0, "no_container"), 3: (0, 0, "no_content"), 4: (0, 0, "no_content"), 5: (0, 0, "response_too_large"), 6: (1, 0, "no_items"), 7: (3, 2, None)}
+
+
+def test_a_constant_field_name_still_meets_its_rules_by_key(spark):
+    rows = spark.range(5).selectExpr("id", "'title' field_name", "'x' value", "'string' field_type", "true required", "'low' volatility", "cast(null as map<string,string>) context")
+    checked = validate.check_values(rows, inputs.rules(spark))
+    assert "NestedLoop" not in checked._jdf.queryExecution().toString()
+    assert {len(r["checks"]) for r in checked.collect()} == {3}
