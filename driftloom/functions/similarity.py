@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,34 +40,53 @@ def structure_similarity(a: Column, b: Column) -> Column:
     return let(F.struct(_letters(a).alias("l"), _letters(b).alias("r")), jaccard)
 
 
-def text_similarity(a: Column, b: Column) -> Column:
-    """Cosine of word counts, for field-sized texts; see ``cosine_pairs`` for whole documents."""
+def _squares(ordered: Column) -> Column:
+    """Sum of the squared counts of the words of a sorted bag: the k-th copy of a word adds ``2 * k - 1``."""
+    start = F.struct(F.lit(None).cast("string").alias("word"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("sum"))
 
-    def count(bag: Column, term: Column) -> Column:
-        return F.size(F.filter(bag, lambda w: w == term)).cast("double")
+    def step(acc: Column, w: Column) -> Column:
+        before = F.when(acc["word"] == w, acc["run"]).otherwise(F.lit(0).cast("long"))
+        return F.struct(w.alias("word"), (before + 1).alias("run"), (acc["sum"] + 2 * before + 1).alias("sum"))
+
+    return F.aggregate(ordered, start, step, lambda acc: acc["sum"])
 
-    def norm(bag: Column) -> Column:
-        return F.sqrt(
-            F.aggregate(F.array_distinct(bag), F.lit(0.0), lambda acc, t: acc + F.pow(count(bag, t), F.lit(2.0)))
-        )
+
+def text_similarity(a: Column, b: Column) -> Column:
+    """Cosine of word counts, in time and memory of one sort of both texts' words.
+
+    The words of both texts together have the squares of each and twice the product, so sorted bags are all that is needed.
+    """
 
     def cosine(p: Column) -> Column:
-        dot = F.aggregate(
-            F.array_intersect(p["l"], p["r"]),
-            F.lit(0.0),
-            lambda acc, t: acc + count(p["l"], t) * count(p["r"], t),
-        )
-        return _empty_cases(p, dot / (norm(p["l"]) * norm(p["r"])))
+        dot = (p["both"] - p["left"] - p["right"]) / F.lit(2.0)
+        return dot / (F.sqrt(p["left"].cast("double")) * F.sqrt(p["right"].cast("double")))
+
+    def counted(p: Column) -> Column:
+        both = F.sort_array(F.concat(p["l"], p["r"]))
+        sums = F.struct(_squares(p["l"]).alias("left"), _squares(p["r"]).alias("right"), _squares(both).alias("both"))
+        return _empty_cases(p, let(sums, cosine))
 
-    return let(F.struct(words(a).alias("l"), words(b).alias("r")), cosine)
+    return let(F.struct(F.sort_array(words(a)).alias("l"), F.sort_array(words(b)).alias("r")), counted)
 
 
 def cosine_pairs(pairs: DataFrame, keys: list[str], left: str, right: str) -> DataFrame:
-    """``keys, text_similarity`` for pairs of whole texts.
+    """``keys, text_similarity`` for pairs of whole texts; rows that agree in their keys are one pair, of all their words.
 
-    Words become rows and are counted with map-side combine, so the work per pair is linear
-    in its text instead of quadratic and no row ever holds a pairwise table.
+    A pair is scored where it lies, so a task holds the words of one pair. Only rows that share their keys, which one job looks for
+    by the keys alone, become rows of words and are counted with map-side combine.
     """
+    score = text_similarity(F.coalesce(left, F.lit("")), F.coalesce(right, F.lit("")))
+    repeated = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)])
+    if repeated.isEmpty():
+        return pairs.select(*keys, score.alias("text_similarity"))
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{i}")) for i, k in enumerate(keys)])
+    once = pairs.join(repeated, same, "left_anti").select(*keys, score.alias("text_similarity"))
+    return once.unionByName(_cosine_rows(pairs.join(repeated, same, "left_semi"), keys, left, right))
+
+
+def _cosine_rows(pairs: DataFrame, keys: list[str], left: str, right: str) -> DataFrame:
+    """``cosine_pairs`` by rows of words."""
+
     def side(column: str, is_left: bool) -> DataFrame:
         # posexplode_outer keeps a pair whose text has no word at all.
         return pairs.select(

@@ -97,6 +97,18 @@ def test_cosine_pairs_equals_the_column_form(spark):
     assert pairs == cols
 
 
+def test_cosine_pairs_scores_a_pair_where_it_lies(spark):
+    rows = [(1, "a b b", "b c"), (2, None, "a"), (3, None, None), (None, "q w", "q")]
+    df = spark.createDataFrame(rows, "k int, l string, r string")
+    # Words of unique pairs are never rows of an aggregate.
+    plan = similarity.cosine_pairs(df, ["k"], "l", "r")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan
+    twice = df.union(spark.createDataFrame([(1, "z z", "z"), (None, "w", "w")], df.schema))
+    got = {r["k"]: round(r["text_similarity"], 9) for r in similarity.cosine_pairs(twice, ["k"], "l", "r").collect()}
+    # Rows of one key are one pair: a b b z z against b c z, and q w w against q w.
+    assert got == {1: round(4 / (9 * 3) ** 0.5, 9), 2: 0.5, 3: 1.0, None: round(3 / (5 * 2) ** 0.5, 9)}
+
+
 def test_confidence_without_baseline_and_bounds(spark):
     none = F.lit(None).cast("string")
     no_lkg = similarity.confidence(F.lit("- x"), V, F.lit("css"), F.lit(False), none, none, none, none)
