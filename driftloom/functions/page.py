@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from html.entities import html5
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,7 +15,6 @@ from driftloom.functions import dom, text
 from driftloom.functions.let import let
 
 
-
 def _struct(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
 
@@ -43,8 +43,25 @@ FALLBACK_CONTAINERS = (
 )
 
 
-@F.pandas_udf(NODES)
-def select_nodes(html: pd.Series, wanted: pd.Series) -> pd.Series:
+#: Rows of a batch that are Python objects at a time. A batch may hold ten thousand pages.
+SLICE = 64
+
+_TEXT, _TEXTS = pa.string(), pa.list_(pa.string())
+_NODES = pa.list_(pa.struct([(name, _TEXT) for name in ("tag", "value", "href", "error")]))
+_CARD = pa.struct([("text", _TEXT), ("link", _TEXT), ("label", _TEXT), ("values", _TEXTS), ("hrefs", _TEXTS)])
+_CARDS = pa.struct([("container", _TEXT), ("cards", pa.list_(_CARD))])
+
+
+def by_slices(one: Callable, kind: pa.DataType, *columns: pa.Array) -> pa.Array:
+    """``one`` of each row; beside the batch and its result only a slice's rows and one page's tree are in memory."""
+    parts = [pa.array([], kind)]
+    for at in range(0, len(columns[0]), SLICE):
+        parts.append(pa.array([one(*row) for row in zip(*(c.slice(at, SLICE).to_pylist() for c in columns))], kind))
+    return pa.concat_arrays(parts)
+
+
+@F.arrow_udf(NODES)
+def select_nodes(html: pa.Array, wanted: pa.Array) -> pa.Array:
     """First match of each ``struct<selector,strategy>``; a null page is not parsed."""
 
     def one(page_html, selectors):
@@ -61,13 +78,14 @@ def select_nodes(html: pd.Series, wanted: pd.Series) -> pd.Series:
                 out.append((None, None, None, "no_match"))
             else:
                 out.append((node.tag, node.text().strip(), node.attrs.get("href"), None))
+        page.close()
         return out
 
-    return pd.Series([one(h, w) for h, w in zip(html, wanted)], dtype=object)
+    return by_slices(one, _NODES, html, wanted)
 
 
-@F.pandas_udf(CARDS)
-def select_cards(html: pd.Series, container: pd.Series, wanted: pd.Series) -> pd.DataFrame:
+@F.arrow_udf(CARDS)
+def select_cards(html: pa.Array, container: pa.Array, wanted: pa.Array) -> pa.Array:
     """The repeated containers of a listing page and each field's match inside them.
 
     ``container`` in the result is the selector that matched: the configured one or the first
@@ -78,6 +96,11 @@ def select_cards(html: pd.Series, container: pd.Series, wanted: pd.Series) -> pd
         if page_html is None:
             return None, []
         page = dom.parse(page_html)
+        out = cards_of(page, own, selectors)
+        page.close()
+        return out
+
+    def cards_of(page, own, selectors):
         for candidate in ([own] if own else []) + list(FALLBACK_CONTAINERS):
             try:
                 test = dom.compile_selector(candidate, "css")
@@ -112,13 +135,12 @@ def select_cards(html: pd.Series, container: pd.Series, wanted: pd.Series) -> pd
             "hrefs": hrefs,
         }
 
-    rows = [one(*args) for args in zip(html, container, wanted)]
-    return pd.DataFrame({"container": [r[0] for r in rows], "cards": [r[1] for r in rows]})
+    return by_slices(one, _CARDS, html, container, wanted)
 
 
-@F.pandas_udf(_S)
-def _drop_hidden(html: pd.Series) -> pd.Series:
-    return html.map(lambda h: None if h is None else dom.drop_hidden(h))
+@F.arrow_udf(_S)
+def _drop_hidden(html: pa.Array) -> pa.Array:
+    return by_slices(lambda h: None if h is None else dom.drop_hidden(h), _TEXT, html)
 
 
 def selector_pattern(selector: Column, strategy: Column) -> Column:

@@ -1,8 +1,10 @@
+import gc
 import ipaddress
 import socket
 from datetime import datetime, timezone
 from urllib.parse import urljoin
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -282,3 +284,21 @@ def test_nested_redaction(spark):
 def test_sanitised_content_names_the_patterns_of_the_raw_text(spark):
     found = one(spark, page.sanitize_checked(V), "<script>ignore previous</script> hello")
     assert found.patterns == ["ignore_previous"] and "script" not in found.content and "hello" in found.content
+
+
+def test_page_trees_are_taken_apart_without_the_collector():
+    gc.collect()
+    gc.disable()
+    try:
+        pages = pa.array([f"<div><p>{i}</p><p hidden>x</p></div>" if i % 9 else None for i in range(page.SLICE + 9)])
+        wanted = pa.array([[{"selector": "p", "strategy": "css"}]] * len(pages))
+        clean = page._drop_hidden.func(pages).to_pylist()
+        nodes = page.select_nodes.func(pages, wanted).to_pylist()
+        cards = page.select_cards.func(pages, pa.array(["p"] * len(pages)), pa.array([[]] * len(pages), wanted.type)).to_pylist()
+        left = [o for o in gc.get_objects() if isinstance(o, dom.Node)]
+    finally:
+        gc.enable()
+    assert not left
+    assert clean == [f"<div><p>{i}</p></div>" if i % 9 else None for i in range(len(pages))]
+    assert [n and n[0]["value"] for n in nodes] == [str(i) if i % 9 else None for i in range(len(pages))]
+    assert [[c["text"] for c in r["cards"]] for r in cards] == [[str(i), "x"] if i % 9 else [] for i in range(len(pages))]
