@@ -35,7 +35,8 @@ def score_candidates(candidates: DataFrame, pages: DataFrame, lkg: DataFrame) ->
         F.col("strategy").alias("_role"),
         F.col("sample_value").alias("_sample"),
     )
-    scored = nodes.join(known, FIELD_KEYS, "left")
+    # One sample per field of a domain, usually few: page outlines are then not shuffled to meet them.
+    scored = join_small(nodes, known, FIELD_KEYS, "left")
     outline = F.coalesce(page.element_outline(F.col("tag"), F.col("value")), F.col("_page"))
     score = similarity.confidence(
         outline=outline,

@@ -644,7 +644,7 @@ def role_and_format_scores(spark, sf):
 
 
 def _scored(spark, sf, found):
-    lkg = latest.lkg_latest(inputs.snapshots(spark, sf)).withColumn("field_name", F.lit("title"))
+    lkg = latest.lkg_latest(inputs.snapshots_of(found)).withColumn("field_name", F.lit("title"))
     return repair.score_candidates(inputs.candidates(found), inputs.pages(spark, sf), lkg)
 
 

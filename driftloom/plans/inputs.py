@@ -118,7 +118,15 @@ def fetched_at(page_id: Column) -> Column:
 def snapshots(spark: SparkSession, sf: str) -> DataFrame:
     """Last-known-good candidates: the page title of every page of its domain."""
     only = fields(spark, sf).where("name = 'page_title'")
-    found = extract.extract_fields(pages(spark, sf), only)
+    return _title_snapshots(extract.extract_fields(pages(spark, sf), only))
+
+
+def snapshots_of(found: DataFrame) -> DataFrame:
+    """The rows of ``snapshots`` out of extractions of all fields, so that no page is read for them again."""
+    return _title_snapshots(found.where("field_name = 'page_title'"))
+
+
+def _title_snapshots(found: DataFrame) -> DataFrame:
     return extract.lkg_snapshots(found, fetched_at(F.col("page_id")))
 
 
