@@ -16,7 +16,7 @@ from driftloom.functions import exact, urls
 from driftloom.operators import (
     bucket, chunks, compliance, drift, extract, gate, items, latest, metrics, network, quarantine, ratelimit, repair, reports, stats, validate,
 )
-from driftloom.plans import inputs, run
+from driftloom.plans import catalogue, inputs, run
 from driftloom.session import reliable_checkpoint
 
 T0 = datetime(2024, 1, 1)
@@ -653,3 +653,18 @@ def test_a_constant_field_name_still_meets_its_rules_by_key(spark):
     checked = validate.check_values(rows, inputs.rules(spark))
     assert "NestedLoop" not in checked._jdf.queryExecution().toString()
     assert {len(r["checks"]) for r in checked.collect()} == {3}
+
+
+def test_scores_read_the_samples_from_the_extractions_given(spark, tmp_path):
+    made = [(i, f"https://{d}/{i}", f"<title>{d} {i}</title><h2>part {i}</h2>" if i % 5 else None) for i, d in enumerate(["a.example", "b.example"] * 6)]
+    pages = spark.createDataFrame([(1, "https://a.example/1", "<title>again</title>"), *made], "page_id long, url string, html string")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    folder = str(tmp_path)
+    found = reliable_checkpoint(inputs.extractions(spark, folder))
+    rows = lambda df: sorted(map(repr, df.collect()))
+    assert rows(inputs.snapshots_of(found)) == rows(inputs.snapshots(spark, folder))
+    scored = catalogue._scored(spark, folder, found)
+    # Pages are read for the proposals alone, and outlines are not shuffled to meet a domain's sample.
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parquet") == 1 and "strategy=broadcast" in plan
+    assert {r["field_name"] for r in scored.collect()} >= {"title", "price"}
