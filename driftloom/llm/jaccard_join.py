@@ -50,8 +50,13 @@ BATCH_LEAST, FREQUENT = 4, 2000
 #: The share of hashes below which a large set lists all its shingles: some more than its first quarter.
 CUT = 0.3
 
-#: The parts of a frequent shingle's list.
-SALTS = 64
+#: Entries of a block's run at most, and shingles whose entries share a bucket, about: both bound a task's memory, whatever the corpus.
+BLOCK_ENTRIES, BUCKET_SHINGLES = 2_000_000, 500_000
+
+#: Sets of so many shingles find their leader by a fourth of their lists.
+LARGE = 64
+
+LOW = np.uint64(0xFFFFFFFF)
 
 #: Sizes at which light sets may end.
 BOUNDARIES = (0, 4, 6, 8, 12, 16, 24, 32, 48, 64)
@@ -144,117 +149,167 @@ def boundary(sizes: Counter, scan: float) -> int:
     return min(BOUNDARIES, key=lambda x: (cost(x), x))
 
 
-def entries_of(docs: DataFrame, shared, x: int) -> DataFrame:
-    """(token, salt, class, n, q) per list entry. The lowest bit of a token tells a subset of K shingles from one shingle; the salt cuts
-    the lists of frequent shingles in parts, and is 0 for all others. ``q`` counts the shingles below the cut, frequent ones aside; it is
-    0 for subsets. ``shared``: a broadcast of the frequent shingles, sorted, and their counts."""
-    cut = np.uint64(int(CUT * 2**64))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def head_of(s: np.ndarray, frequent: np.ndarray, weight: np.ndarray, x: int) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray], int]:
+    """What the set ``s`` lists: its subsets of K shingles if it is light, its shingles if it is heavy or may meet one that is, each with a
+    mask of those without a frequent shingle, and ``q``, the number of its shingles below the cut, frequent ones aside. The lowest bit
+    of a token tells a subset from a shingle. ``frequent``: the frequent shingles, sorted; ``weight``: their counts."""
+    n = len(s)
+    often = is_frequent(s, frequent)
+    last = s[often]
+    last = last[np.argsort(weight[np.searchsorted(frequent, last)], kind="stable")] if len(last) else last
+    order, rare = np.concatenate((s[~often], last)), n - len(last)
+    light = heavy = (s[:0], np.zeros(0, dtype=bool))
+    if n < x:
+        head = order[: n - needed(n) + K]
+        i, j = np.triu_indices(len(head), 1)
+        light = words.chain(head[i], head[j]) | np.uint64(1), j < rare
+    q = int(np.searchsorted(order[:rare], np.uint64(int(CUT * 2**64))))
+    if 4 * n >= 3 * x:
+        head = order[: max(q, n - needed(n) + 1)]
+        heavy = head & ~np.uint64(1), np.arange(len(head)) < rare
+    return light, heavy, q
+
+
+def is_frequent(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    if not len(frequent):
+        return np.zeros(len(s), dtype=bool)
+    return frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
+
+
+def blocks(listed: Iterator[tuple[int, np.ndarray, int]], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Entries in blocks: for each run of sets and each bucket of tokens one row, with the entries of the run in the bucket as 32 bits of the
+    token and 32 of the class each, and a row that names the run's classes. ``listed``: (class, tokens, spare) of each set, where
+    ``spare`` is how many of its tokens may stand in no other list although the set links. ``least`` is how many must stand in one."""
+    held: list[tuple[int, np.ndarray, int, bool]] = []
+    size = 0
+    for name, tokens, spare in listed:
+        # Tokens that fall together count once, so a set is never thought to miss more than it does.
+        places = np.unique(((tokens >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32)) | (tokens & LOW))
+        held.append((name, places, len(places) - spare, bool(len(tokens) and tokens[0] & np.uint64(1))))
+        size += len(places) + 1
+        if size > BLOCK_ENTRIES:
+            yield block(held, buckets)
+            held, size = [], 0
+    if held:
+        yield block(held, buckets)
+
+
+def block(held: list[tuple[int, np.ndarray, int, bool]], buckets: int) -> pa.RecordBatch:
+    names = np.array([h[0] for h in held], dtype=np.int64)
+    places = np.concatenate([h[1] for h in held])
+    pairs = ((places & LOW) << np.uint64(32)) | (np.repeat(names.astype(np.uint64), [len(h[1]) for h in held]) & LOW)
+    bucket = (places >> np.uint64(32)).astype(np.uint16 if buckets <= 1 << 16 else np.int32)
+    order = np.argsort(bucket, kind="stable")
+    used, start = np.unique(bucket[order], return_index=True)
+    rows = [part.tobytes() for part in np.split(pairs[order], start[1:])] if len(used) else []
+    nulls = [None] * len(rows)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([*used.tolist(), int(names[0] % buckets)], pa.int32()),
+            pa.array([*rows, b""], pa.binary()),
+            pa.array([*nulls, names], pa.list_(pa.int64())),
+            pa.array([*nulls, np.array([h[2] for h in held])], pa.list_(pa.int32())),
+            pa.array([*nulls, [h[3] for h in held]], pa.list_(pa.bool_())),
+        ],
+        schema=pa.schema([("bucket", pa.int32()), ("pairs", pa.binary()), ("classes", pa.list_(pa.int64())), ("least", pa.list_(pa.int32())), ("subset", pa.list_(pa.bool_()))]),
+    )
+
+
+BLOCK = "bucket int, pairs binary, classes array<long>, least array<int>, subset array<boolean>"
+
+
+def head_blocks(docs: DataFrame, shared, x: int, buckets: int) -> DataFrame:
+    """The entries of all heads, in blocks. Frequent shingles are known to be in several lists and are not written."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, int]]:
         frequent, weight = shared.value
         for batch in batches:
             seen: set[int] = set()
-            held: list[tuple] = []
-            rows = 0
             for s in shingle_sets(batch.column("text").to_pylist()):
                 n = len(s)
                 name = class_of(s) if n > K else 0
                 if n <= K or name in seen:
                     continue
                 seen.add(name)
-                at = np.minimum(np.searchsorted(frequent, s), max(0, len(frequent) - 1))
-                often = frequent[at] == s if len(frequent) else np.zeros(n, dtype=bool)
-                last = s[often][np.argsort(weight[at[often]], kind="stable")] if often.any() else s[:0]
-                order, rare = np.concatenate((s[~often], last)), n - int(often.sum())
-                salt = name % SALTS + 1
+                (light, light_rare), (heavy, heavy_rare), _ = head_of(s, frequent, weight, x)
                 if n < x:
-                    head = order[: n - needed(n) + K]
-                    i, j = np.triu_indices(len(head), 1)
-                    held.append((words.chain(head[i], head[j]) | np.uint64(1), np.where(i >= rare, salt, 0), name, n, 0))
+                    yield name, light[light_rare], len(light) - 1 if light_rare.all() else len(light)
                 if 4 * n >= 3 * x:
-                    q = int(np.searchsorted(order[:rare], cut))
-                    head = order[: max(q, n - needed(n) + 1)]
-                    held.append((head & ~np.uint64(1), np.where(np.arange(len(head)) >= rare, salt, 0), name, n, q))
-                rows += n
-                if rows > 400_000:
-                    yield table(held)
-                    held, rows = [], 0
-            if held:
-                yield table(held)
-
-    def table(held: list[tuple]) -> pa.RecordBatch:
-        count = [len(h[0]) for h in held]
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate([h[0] for h in held]).astype(np.int64)),
-                pa.array(np.concatenate([h[1] for h in held]).astype(np.int32)),
-                *(pa.array(np.repeat(np.array([h[k] for h in held], dtype=kind), count)) for k, kind in ((2, np.int64), (3, np.int32), (4, np.int32))),
-            ],
-            ["token", "salt", "class", "n", "q"],
-        )
-
-    return docs.select("text").mapInArrow(run, "token long, salt int, class long, n int, q int")
-
-
-def met(entries: DataFrame) -> DataFrame:
-    """The entries of lists with two classes or more, each once; lists of frequent shingles are known to be such.
-
-    All entries are shuffled once, by list or part of a list, and both steps here read that one shuffle.
-    """
-    own = Window.partitionBy("token", "salt")
-    ends = entries.withColumn("low", F.min("class").over(own)).withColumn("high", F.max("class").over(own))
-    return ends.filter("low <> high OR salt > 0").groupBy("token", "salt", "class").agg(F.first("n").alias("n"), F.first("q").alias("q")).drop("salt")
+                    yield name, heavy[heavy_rare], n - needed(n)
 
-
-def is_subset() -> Column:
-    return F.col("token").bitwiseAND(F.lit(1)) == 1
+    return docs.select("text").mapInArrow(lambda batches: blocks(listed(batches), buckets), BLOCK)
 
 
-def enough(lists: DataFrame) -> DataFrame:
-    """(class, q, met) of the sets that stand in enough lists to link at all; ``met`` is the number of these lists.
+def whole_blocks(sets: DataFrame, shared, buckets: int) -> DataFrame:
+    """The entries of all shingles of the sets given, in blocks."""
 
-    Of n shingles q are below the cut. A partner shares ``needed(n)`` or more, at most n - q of them beyond the cut, so at least
-    ``needed(n) - (n - q)`` stand in lists.
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, int]]:
+        frequent, _ = shared.value
+        for batch in batches:
+            for name, raw in zip(batch.column("class").to_pylist(), batch.column("shingles")):
+                s = np.frombuffer(raw.as_buffer(), np.uint64)
+                yield name, s[~is_frequent(s, frequent)] & ~np.uint64(1), len(s) - needed(len(s))
+
+    return sets.mapInArrow(lambda batches: blocks(listed(batches), buckets), BLOCK)
+
+
+def meetings(rows: pa.Table) -> pa.Table:
+    """Of one bucket: (low, subset, met) for the classes, by their lower 32 bits, that meet another one in lists of the bucket, and
+    (low, subset, class, least) for the classes that are named in it."""
+    raw = [np.frombuffer(r.as_buffer(), np.uint64) for r in rows.column("pairs")]
+    pairs = np.unique(np.concatenate(raw))
+    same = pairs[1:] >> np.uint64(32) == pairs[:-1] >> np.uint64(32)
+    several = np.zeros(len(pairs), dtype=bool)
+    several[1:] |= same
+    several[:-1] |= same
+    found = pairs[several]
+    key, met = np.unique((found & LOW) << np.uint64(1) | (found >> np.uint64(32) & np.uint64(1)), return_counts=True)
+    classes = rows.column("classes").combine_chunks().flatten()
+    named, none = classes.to_numpy(zero_copy_only=False).astype(np.int64), len(classes)
+    subset = rows.column("subset").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(bool)
+    return pa.table(
+        {
+            "low": np.concatenate(((key >> np.uint64(1)).astype(np.int64), named & int(LOW))),
+            "subset": np.concatenate(((key & np.uint64(1)).astype(bool), subset)),
+            "class": pa.concat_arrays([pa.nulls(len(key), pa.int64()), classes.cast(pa.int64())]),
+            "least": pa.concat_arrays([pa.nulls(len(key), pa.int32()), rows.column("least").combine_chunks().flatten().cast(pa.int32())]),
+            "met": np.concatenate((met.astype(np.int32), np.zeros(none, dtype=np.int32))),
+        }
+    )
+
+
+def hopeful(entries: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows of ``classes`` (class, n, ...) whose sets stand in enough lists to link at all, with ``met``, how many of their
+    shingles may have partners.
+
+    Of n shingles at most ``n - needed(n)`` are missing in a partner, so no more may stand in lists without another class. Classes that
+    agree in their lower bits, which blocks tell them by, all stay.
     """
-    counts = lists.groupBy("class", "q").agg(F.count("*").alias("met"), F.first("n").alias("n"))
-    return counts.filter("q = 0 OR met >= div(3 * n + 3, 4) - n + q").select("class", "q", "met")
-
-
-def hopeful(lists: DataFrame) -> DataFrame:
-    """The entries of such sets, without the lists that then keep one set only."""
-    lists = lists.join(enough(lists).drop("met"), ["class", "q"])
-    many = lists.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("token")
-    return reliable_checkpoint(lists.join(many, "token", "left_semi").select("token", "class", "n", "q"))
+    found = entries.groupBy("bucket").applyInArrow(meetings, "low long, subset boolean, class long, least int, met int")
+    one = found.groupBy("low", "subset").agg(F.sum("met").alias("met"), F.min("least").alias("least"), (F.min("class") != F.max("class")).alias("several"))
+    good = one.filter("several OR met >= least").groupBy("low").agg(F.max(F.expr("IF(several, 2147483647, met - least)")).alias("spare"))
+    named = classes.withColumn("low", F.col("class").bitwiseAND(F.lit(int(LOW)))).join(good, "low")
+    return named.select(*classes.columns, F.expr("least(n, div(3 * n + 3, 4) + spare)").alias("met"))
 
 
-def whole_entries(sets: DataFrame, shared) -> DataFrame:
-    """Entries, as ``entries_of`` writes them, of all shingles of the sets given: nothing lies beyond the cut, so q is n."""
+def heads_of(sets: DataFrame, shared, x: int) -> DataFrame:
+    """(class, q, tokens) of the sets given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, _ = shared.value
-        held: list[tuple] = []
-        rows = 0
+        frequent, weight = shared.value
         for batch in batches:
-            for name, raw in zip(batch.column("class").to_pylist(), batch.column("shingles")):
-                s = np.frombuffer(raw.as_buffer(), np.uint64)
-                at = np.minimum(np.searchsorted(frequent, s), max(0, len(frequent) - 1))
-                often = frequent[at] == s if len(frequent) else np.zeros(len(s), dtype=bool)
-                held.append((s.astype(np.int64), np.where(often, name % SALTS + 1, 0).astype(np.int32), np.full(len(s), name), np.full(len(s), len(s), dtype=np.int32)))
-                rows += len(s)
-                if rows > 400_000:
-                    yield table(held)
-                    held, rows = [], 0
-        if held:
-            yield table(held)
+            heads = [head_of(np.frombuffer(raw.as_buffer(), np.uint64), frequent, weight, x) for raw in batch.column("shingles")]
+            tokens = [np.concatenate((light, heavy)).astype(np.int64) for (light, _), (heavy, _), _ in heads]
+            yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array([h[2] for h in heads], pa.int32()), pa.array(tokens, pa.list_(pa.int64()))], ["class", "q", "tokens"])
+
+    return sets.mapInArrow(run, "class long, q int, tokens array<long>")
 
-    def table(held: list[tuple]) -> pa.RecordBatch:
-        columns = [pa.array(np.concatenate(c)) for c in zip(*held)]
-        return pa.RecordBatch.from_arrays([*columns, columns[-1]], ["token", "salt", "class", "n", "q"])
 
-    return sets.mapInArrow(run, "token long, salt int, class long, n int, q int")
+def is_subset() -> Column:
+    return F.col("token").bitwiseAND(F.lit(1)) == 1
 
 
-def fetch_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def fetch_sets(docs: DataFrame, ids: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(class, shingles) of the classes that ``ids`` (doc_id, each once) stand for: only their texts are hashed once more."""
     texts = meet(docs.select("doc_id", "text"), ids, "doc_id", "left_semi").select("text")
 
@@ -263,8 +318,12 @@ def fetch_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
             sets = {class_of(s): s.tobytes() for s in shingle_sets(batch.column("text").to_pylist())}
             yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.int64()), pa.array(list(sets.values()), pa.binary())], ["class", "shingles"])
 
-    # A row that is repeated gives its set again.
-    return texts.mapInArrow(run, "class long, shingles binary").dropDuplicates(["class"])
+    found = keep(texts.mapInArrow(run, "class long, shingles binary"))
+    # A row that is repeated gives its set again; only such sets are shuffled.
+    again = found.groupBy("class").agg(F.count("*").alias("rows")).filter("rows > 1").select("class")
+    if again.isEmpty():
+        return found
+    return keep(meet(found, again, "class", "left_anti").union(meet(found, again, "class", "left_semi").dropDuplicates(["class"])))
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -279,7 +338,9 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(100 * common >= 75 * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    rows = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    # The few pairs come to the sets, so only sets that are asked for are shuffled.
+    left, right = meet(sets.toDF("a", "x"), pairs, "a"), meet(sets.toDF("b", "y"), pairs, "b")
+    rows = left.join(right, ["a", "b"]).select("a", "b", "x", "y")
     return rows.mapInArrow(run, "a long, b long")
 
 
@@ -287,27 +348,31 @@ def sized(a: str, b: str):
     return F.expr(f"4 * {a} >= 3 * {b} AND 4 * {b} >= 3 * {a}")
 
 
-def leader_pairs(lists: DataFrame, turn: int) -> DataFrame:
+def leader_pairs(heads: DataFrame, turn: int) -> DataFrame:
     """For each component the pair of classes that joins it with the leader of the lists it shares most, if these are a third of
-    its prefix at least.
+    its prefix at least. Large sets use every fourth list here: what is not found so is left to ``cross_pairs``.
 
     First a list's leader is the class with the largest share of its shingles in lists: among edited copies of a text that is the
     text itself, or the least edited copy. In later turns it is one by hash, as what did not link with the first needs another.
     """
     weight = F.xxhash64("class", F.lit(turn)).cast("double") if turn else F.col("met") / F.col("n")
-    ranked = lists.withColumn("weight", weight)
+    lists = heads.withColumn("weight", weight).select("component", "class", "n", "weight", F.explode_outer("tokens").alias("token"))
+    ranked = lists.filter(F.col("token").isNotNull() & ((F.col("n") < LARGE) | (F.col("token").bitwiseAND(F.lit(6)) == 0)))
     own = ranked.groupBy("token", "component").agg(F.max(F.struct("weight", "class", "n")).alias("it"))
     lead = own.groupBy("token").agg(F.max(F.struct("it.weight", "component", "it")).alias("lead"), F.count("*").alias("size")).filter("size > 1")
     pairs = own.join(lead, "token").filter("component <> lead.component").filter(sized("it.n", "lead.it.n"))
     votes = pairs.groupBy("component", F.col("it.class").alias("a"), F.col("it.n").alias("n"), F.col("lead.it.class").alias("b")).agg(F.count("*").alias("votes"))
     best = votes.groupBy("component").agg(F.max(F.struct("votes", "a", "b", "n")).alias("best"))
-    return best.filter("12 * best.votes >= best.n").select("best.a", "best.b")
+    return best.filter(F.expr(f"IF(best.n < {LARGE}, 12, 48) * best.votes >= best.n")).select("best.a", "best.b")
 
 
-def cross_pairs(lists: DataFrame, x: int) -> DataFrame:
+def cross_pairs(heads: DataFrame, x: int) -> DataFrame:
     """All pairs of classes of different components that may link, by size and by what their lists say of the overlap."""
-    mixed = lists.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-    lists = lists.join(mixed.select("token"), "token", "left_semi")
+    own = Window.partitionBy("token")
+    lists = heads.select("component", "class", F.explode_outer("tokens").alias("token"))
+    # Lists of several components, and the sides of the pairs, from one shuffle of the entries.
+    ends = lists.withColumn("low", F.min("component").over(own)).withColumn("high", F.max("component").over(own)).filter("token IS NOT NULL AND low <> high")
+    lists = meet(ends.select("token", "component", "class"), heads.select("class", "n", "q", "met"), "class")
     side = lambda x: lists.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("n", "q", "met", "component")), F.col("class").alias(x))
     pairs = side("a").join(side("b"), "token").filter("a < b AND component_a <> component_b").filter(sized("n_a", "n_b"))
     # What both have in lists, of all their shingles, can reach the overlap; and both write a subset, or one at least is heavy.
@@ -332,19 +397,19 @@ def join(docs: DataFrame, rounds: int = 2, keep: Callable[[DataFrame], DataFrame
     sizes = Counter({r["size"]: r["count"] for r in classes.groupBy(F.least("n", F.lit(256)).alias("size")).count().collect()})
     x = boundary(sizes, scan)
     shared = spark.sparkContext.broadcast((np.array([f[0] for f in frequent], dtype=np.uint64), np.array([f[1] for f in frequent], dtype=np.int64)))
-    lists = hopeful(keep(met(entries_of(docs, shared, x))))
+    buckets = 1 + (total["shingles"] or 0) // BUCKET_SHINGLES
+    few = keep(hopeful(head_blocks(docs, shared, x, buckets), classes).drop("met"))
     # What is left is few sets. These are read whole: one that links has ``needed(n)`` of all its shingles in lists.
-    ids = lists.select("class").distinct().join(classes, "class").select(F.col("first_id").alias("doc_id")).distinct()
-    sets = keep(fetch_sets(docs, ids))
-    whole = enough(met(whole_entries(sets, shared))).select("class", "met")
-    lists = keep(lists.join(whole, "class"))
+    sets = fetch_sets(docs, few.select(F.col("first_id").alias("doc_id")).distinct(), keep)
+    buckets = 1 + (few.agg(F.sum("n")).first()[0] or 0) // BUCKET_SHINGLES
+    fewer = keep(hopeful(whole_blocks(sets, shared, buckets), few).select("class", "n", "met"))
+    heads = keep(meet(heads_of(sets, shared, x), fewer, "class"))
 
     labels, links = None, spark.createDataFrame([], "a long, b long")
     for turn in [*range(rounds), None]:
-        named = lists.withColumn("component", F.col("class")) if labels is None else lists.join(labels.toDF("class", "label"), "class", "left").withColumn("component", F.coalesce("label", "class"))
+        named = heads.withColumn("component", F.col("class")) if labels is None else meet(heads, labels.toDF("class", "label"), "class", "left").withColumn("component", F.coalesce("label", "class"))
         pairs = keep(cross_pairs(named, x) if turn is None else leader_pairs(named, turn))
-        asked = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-        links = keep(links.union(linked(pairs, keep(meet(sets, asked, "class", "left_semi")))))
+        links = keep(links.union(linked(pairs, sets)))
         labels = components(links)
 
     named = rows.select("doc_id", "n", "class").join(labels.toDF("class", "label"), "class", "left").withColumn("component", F.coalesce("label", "class"))

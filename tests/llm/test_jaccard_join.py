@@ -1,9 +1,14 @@
 import itertools
+import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from conftest import sentence
 from graphs import components_of
 
+from driftloom import session
 from driftloom.llm import components, jaccard_join
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -44,6 +49,51 @@ def test_frequent_shingles_and_salted_lists(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in found} == component
 
 
+def test_no_step_keeps_a_row_for_each_shingle(spark):
+    """Families of edited copies that share most lists without linking: what is kept grows with the texts, not with their shingles."""
+    rng, rows = random.Random(3), []
+    for family in range(12):
+        base = sentence(rng, 200).split()
+        for _ in range(5):
+            own = list(base)
+            for _ in range(9):
+                own[rng.randrange(len(own))] = f"x{rng.random()}"
+            rows.append((len(rows), " ".join(own)))
+    kept = []
+
+    def keep(df):
+        out = session.reliable_checkpoint(df)
+        kept.append(out.count())
+        return out
+
+    _, component = by_hand(rows)
+    found = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), keep=keep).collect()
+    assert {r.doc_id: r.component_id for r in found} == component
+    assert max(kept) <= 3 * len(rows)
+
+
+def test_hopeful_sets_of_blocks(spark):
+    """Copies of a class in several blocks are one class; classes that agree in their lower bits stay; too few lists are too few."""
+    rng = np.random.default_rng(4)
+    new = lambda k: np.unique(rng.integers(0, 2**63, k).astype(np.uint64) & ~np.uint64(1))
+    one, other, alone, few = new(40), new(40), new(40), new(40)
+    sets = {11: one, 12: np.concatenate((one[:30], new(10))), 13: np.concatenate((one[:29], new(11))), 7: alone, 21: other, 21 + (5 << 32): other, -9: few}
+    blocks = []
+    for names in ([11, 7, 21], [7, 12, 13], [7, -9, 21 + (5 << 32), 11]):
+        blocks += jaccard_join.blocks(((k, sets[k], 10) for k in names), 3)
+    entries = spark.createDataFrame(pa.Table.from_batches(blocks))
+    assert entries.schema.simpleString() == spark.createDataFrame([], jaccard_join.BLOCK).schema.simpleString()
+    classes = spark.createDataFrame([(k, len(s)) for k, s in sets.items()], "class long, n int")
+    assert {r["class"]: r.met for r in jaccard_join.hopeful(entries, classes).collect()} == {11: 30, 12: 30, 21: 40, 21 + (5 << 32): 40}
+
+
+def test_a_repeated_row_gives_its_set_once(spark):
+    rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "h i j"), (1, "k l m n o")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = jaccard_join.fetch_sets(docs, spark.createDataFrame([(1,)], "doc_id long"), session.reliable_checkpoint).collect()
+    assert sorted(len(r.shingles) for r in found) == [8, 24]
+
+
 def test_empty_table(none):
     assert jaccard_join.join(none).count() == 0
 
