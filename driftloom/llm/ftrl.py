@@ -43,9 +43,18 @@ def features(texts: list[str], bits: int = BITS) -> Iterator[np.ndarray]:
 
 def fit(texts: list[str], labels: np.ndarray, bits: int = BITS, alpha: float = 0.3, beta: float = 1.0, l1: float = 8.0, l2: float = 1.0, epochs: int = 3) -> dict[int, float]:
     """FTRL-proximal over the rows in order, ``epochs`` times; weights that are not zero. The intercept has the key -1."""
+    return fit_rows(coordinates(texts, bits), labels, bits, alpha, beta, l1, l2, epochs)
+
+
+def coordinates(texts: list[str], bits: int) -> list[np.ndarray]:
+    """The coordinates of each text and the intercept's, which is the last; in four bytes each, as all of a sample are held at once."""
+    return [np.append(f.astype(np.int32), np.int32(1 << bits)) for f in features(texts, bits)]
+
+
+def fit_rows(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, alpha: float = 0.3, beta: float = 1.0, l1: float = 8.0, l2: float = 1.0, epochs: int = 3) -> dict[int, float]:
+    """``fit`` of rows of ``coordinates``."""
     size = 1 << bits
     z, n = np.zeros(size + 1), np.zeros(size + 1)
-    rows = [np.append(f, size) for f in features(texts, bits)]
 
     def weights(at: np.ndarray) -> np.ndarray:
         zs = z[at]
@@ -92,10 +101,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     """Fit on the labelled sample in one task; the compact weights come back."""
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat([pd.DataFrame({"doc_id": [], "text": [], "label": []}), *batches])
-        order = words.mix(rows["doc_id"].to_numpy().astype(np.int64).astype(np.uint64))
-        rows = rows.assign(order=order).sort_values(["order", "text"], kind="stable")
-        model = fit(rows["text"].tolist(), rows["label"].to_numpy(dtype=float), bits, **rates) if len(rows) else {}
+        # Texts become coordinates batch by batch. Ids stand once each and their hash is one-to-one, so the order is theirs alone.
+        rows, order, marks = [], [np.zeros(0, np.uint64)], [np.zeros(0)]
+        for batch in batches:
+            for start in range(0, len(batch), 500):
+                rows += coordinates(batch["text"].iloc[start : start + 500].tolist(), bits)
+            order.append(words.mix(batch["doc_id"].to_numpy().astype(np.int64).astype(np.uint64)))
+            marks.append(batch["label"].to_numpy(dtype=float))
+        at = np.argsort(np.concatenate(order), kind="stable")
+        model = fit_rows([rows[k] for k in at], np.concatenate(marks)[at], bits, **rates) if rows else {}
         yield pd.DataFrame({"feature": list(model), "weight": list(model.values())}).astype({"feature": "int64", "weight": "float64"})
 
     return {r.feature: r.weight for r in labelled_sample(docs, labels, label, sample).mapInPandas(learn, "feature long, weight double").collect()}

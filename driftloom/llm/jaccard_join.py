@@ -28,7 +28,7 @@ no component (null). Other columns are not read.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +51,7 @@ BATCH_LEAST, FREQUENT = 4, 2000
 CUT = 0.3
 
 #: Entries of a block's run at most, and shingles whose entries share a bucket, about: both bound a task's memory, whatever the corpus.
-BLOCK_ENTRIES, BUCKET_SHINGLES = 2_000_000, 500_000
+BLOCK_ENTRIES, BUCKET_SHINGLES = 500_000, 500_000
 
 #: Sets of so many shingles find their leader by a fourth of their lists.
 LARGE = 64
@@ -67,7 +67,7 @@ def needed(n):
     return (3 * n + 3) // 4
 
 
-def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
+def shingle_sets(texts: Iterable[str | None]) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     for part in words.parts(texts):
         value, ends = words.hash_words(part)
@@ -94,28 +94,39 @@ def class_of(shingles: np.ndarray) -> int:
     return int(both.astype(np.int64)[0])
 
 
+def frequent_in(pool: list[np.ndarray], parts: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that ``BATCH_LEAST`` sets or more hold, sorted, and in how many they are; counted in ranges of hashes, as the
+    shingles of a whole batch would need the space several times."""
+    tokens, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    edges = [np.searchsorted(s, np.arange(1, parts, dtype=np.uint64) * np.uint64(2**64 // parts)).tolist() for s in pool]
+    for k in range(parts if pool else 0):
+        found, count = np.unique(np.concatenate([s[([0] + e)[k] : (e + [len(s)])[k]] for s, e in zip(pool, edges)]), return_counts=True)
+        tokens.append(found[count >= BATCH_LEAST])
+        counts.append(count[count >= BATCH_LEAST])
+    return np.concatenate(tokens), np.concatenate(counts)
+
+
 def sets_of(docs: DataFrame) -> DataFrame:
     """(doc_id, n, class) of each document; on one row of each batch also the shingles that are frequent in the batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, names, seen, pool = [], [], set(), []
-            for s in shingle_sets(batch.column("text").to_pylist()):
+            for s in shingle_sets(words.texts_of(batch.column("text"))):
                 sizes.append(len(s))
                 names.append(class_of(s) if len(s) else 0)
                 if len(s) and names[-1] not in seen:
                     seen.add(names[-1])
                     pool.append(s)
-            tokens, counts = np.unique(np.concatenate(pool), return_counts=True) if pool else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            often = counts >= BATCH_LEAST
+            tokens, counts = frequent_in(pool)
             nulls = [None] * (len(sizes) - 1)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
                     pa.array(sizes, pa.int64()),
                     pa.array(names, pa.int64()),
-                    pa.array([tokens[often].astype(np.int64), *nulls][: len(sizes)], pa.list_(pa.int64())),
-                    pa.array([counts[often], *nulls][: len(sizes)], pa.list_(pa.int64())),
+                    pa.array([tokens.astype(np.int64), *nulls][: len(sizes)], pa.list_(pa.int64())),
+                    pa.array([counts, *nulls][: len(sizes)], pa.list_(pa.int64())),
                 ],
                 ["doc_id", "n", "class", "tokens", "counts"],
             )
@@ -130,7 +141,7 @@ def with_class(docs: DataFrame, column: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = [class_of(s) if len(s) else 0 for s in shingle_sets(batch.column("text").to_pylist())]
+            names = [class_of(s) if len(s) else 0 for s in shingle_sets(words.texts_of(batch.column("text")))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.int64())], schema.names)
 
     return docs.mapInArrow(run, schema)
@@ -225,7 +236,7 @@ def head_blocks(docs: DataFrame, shared, x: int, buckets: int) -> DataFrame:
         frequent, weight = shared.value
         for batch in batches:
             seen: set[int] = set()
-            for s in shingle_sets(batch.column("text").to_pylist()):
+            for s in shingle_sets(words.texts_of(batch.column("text"))):
                 n = len(s)
                 name = class_of(s) if n > K else 0
                 if n <= K or name in seen:
@@ -315,7 +326,7 @@ def fetch_sets(docs: DataFrame, ids: DataFrame, keep: Callable[[DataFrame], Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = {class_of(s): s.tobytes() for s in shingle_sets(batch.column("text").to_pylist())}
+            sets = {class_of(s): s.tobytes() for s in shingle_sets(words.texts_of(batch.column("text")))}
             yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.int64()), pa.array(list(sets.values()), pa.binary())], ["class", "shingles"])
 
     found = keep(texts.mapInArrow(run, "class long, shingles binary"))

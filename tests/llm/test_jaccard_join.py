@@ -1,6 +1,7 @@
 import itertools
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -112,3 +113,18 @@ def test_connected_components(spark):
     found = components.components(spark.createDataFrame(links, "a long, b long")).collect()
     want = components_of([x for x in links if None not in x])
     assert {r.node: r.component for r in found} == want and len(found) == len(want)
+
+
+def test_frequent_shingles_of_a_batch_in_little_memory():
+    """Counted in ranges of hashes: the same shingles and counts as all at once, and no copy of the whole pool."""
+    rng = np.random.default_rng(6)
+    often = rng.integers(0, 2**64, 50, dtype=np.uint64)
+    pool = [np.unique(np.concatenate((rng.integers(0, 2**64, 2000, dtype=np.uint64), rng.choice(often, 5)))) for _ in range(300)]
+    tokens, counts = np.unique(np.concatenate(pool), return_counts=True)
+    tracemalloc.start()
+    found, many = jaccard_join.frequent_in(pool)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    enough = counts >= jaccard_join.BATCH_LEAST
+    assert (found == tokens[enough]).all() and (many == counts[enough]).all() and len(found) > 40
+    assert peak < sum(s.nbytes for s in pool)

@@ -73,3 +73,13 @@ def test_word_hashes_tell_words_apart():
     assert len(set(words.hash_words([" ".join(many)])[0].tolist())) == 50_000
     _, _, stem = words.hash_words(["idiot idiots"], stems=(5,))
     assert stem[0] == 0 and stem[1] != 0
+
+
+def test_rows_of_the_toxicity_fit_take_four_bytes_a_coordinate():
+    rng = random.Random(2)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(300)) for _ in range(200)]
+    labels = np.array([float("w1 " in t) for t in texts])
+    wide = [np.append(f, 1 << ftrl.BITS) for f in ftrl.features(texts)]
+    rows = ftrl.coordinates(texts, ftrl.BITS)
+    assert all((a == b).all() for a, b in zip(rows, wide)) and sum(r.nbytes for r in rows) * 2 == sum(r.nbytes for r in wide)
+    assert ftrl.fit_rows(rows, labels) == ftrl.fit_rows(wide, labels) == ftrl.fit(texts, labels)
