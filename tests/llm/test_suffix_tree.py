@@ -126,3 +126,40 @@ def test_empty_and_untrained(spark, none):
     only = next(i for i in range(100) if out(i))
     row = suffix_tree.scores(spark.createDataFrame([(only, "a b")], "doc_id long, text string")).first()
     assert row.n_tokens == 3 and row.n_known == 0 and row.train_tokens == 0 and row.score == row.base_score == 0.0
+
+
+def test_no_string_is_left_out(spark, monkeypatch):
+    monkeypatch.setattr(chunks, "CHUNK", 300)
+    monkeypatch.setattr(suffix_tree, "PIECE", 50)
+    rows = [*prose(80), (3000, "never said before"), (3001, "never said before"), (3002, "only here once"), (3003, "said never before")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert suffix_tree.chunked(frame).count() > 10
+    plain = Plain(rows, 1)
+    want = sorted((plain.row(i, t) for i, t in rows), key=repr)
+    for least in ({}, {"least": 1}):
+        got = sorted((tuple(r) for r in suffix_tree.scores(frame, **least).collect()), key=repr)
+        assert [r[:5] for r in got] == [r[:5] for r in want]
+        by = lambda found: [r[5:] for r in sorted(found, key=lambda r: (r[0] is not None, r[:5], r[5]) if r[0] is not None else (False, (), 0))]
+        np.testing.assert_allclose(by(got), by(want), rtol=1e-9)
+    assert any(n == 1 and len(s) == 3 for s, n in plain.strings.items()) and any(k and plain.strings[c] < 8 for c, k in plain.kept.items())
+
+
+@pytest.mark.parametrize("least, depth", [(1, 0), (1, 1), (1, 3), (2, 3), (3, 1)])
+def test_depths_by_brute_force(spark, monkeypatch, least, depth):
+    monkeypatch.setattr(chunks, "CHUNK", 500)
+    rows = [(i, t) for i, t in prose(40) if i is not None and i != 3]
+    plain = Plain(rows, least, depth)
+    found = {r.doc_id: r.score for r in suffix_tree.scores(spark.createDataFrame(rows, "doc_id long, text string"), least=least, depth=depth).collect()}
+    for i, t in rows:
+        full = [None, *tokens(t)]
+        assert found[i] == pytest.approx(sum(math.log10(plain.p(full[k], tuple(full[max(0, k - depth) : k]))) for k in range(1, len(full))), rel=1e-9)
+
+
+def test_a_larger_corpus_keeps_its_rare_strings(spark):
+    twice = "never said before in any other place"
+    rows = [(i, "one two three four five six") for i in range(4000)] + [(9000 + i, twice) for i in range(2)]
+    rows = [(i, t) for i, t in rows if not out(i)]
+    found = {r.doc_id: r for r in suffix_tree.scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    plain = Plain(rows, 1)
+    for i, t in rows[-2:]:
+        assert found[i].score == pytest.approx(plain.row(i, t)[-1], rel=1e-9) and found[i].score > found[i].base_score + 10
